@@ -1,6 +1,6 @@
 """Importing the plan modules fills the registry."""
 
-from tracemill.plans import corpus_plans, state_plans  # noqa: F401
+from tracemill.plans import corpus_plans, scoring_plans, state_plans  # noqa: F401
 from tracemill.plans.registry import PLANS, SQL
 
 __all__ = ["PLANS", "SQL"]
