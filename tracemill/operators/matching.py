@@ -77,18 +77,24 @@ def skips_leaf(path: Column) -> Column:
     return F.coalesce(soft, F.lit(False))
 
 
-def contained(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+def contained(
+    expected: DataFrame, actual: DataFrame, keys: Sequence[str], empty_objects: bool = True
+) -> DataFrame:
     """Per key: are all expected leaves present with the same value in the actual leaves?
 
-    An expected empty object only needs an object there.  Soft leaves are skipped.
+    An expected empty object only needs an object there.  Soft leaves are skipped.  Pass
+    ``empty_objects=False`` when no expected leaf is an empty object, which saves listing the
+    inner nodes of the actual side.
     """
     keys = list(keys)
     needed = expected.withColumn("_skip", skips_leaf(F.col("path")))
     leaf = actual.select(*keys, "path", F.col("kind").alias("a_kind"), F.col("value").alias("a_value"))
-    objects = _nodes(actual, keys).filter("is_object")
-    nodes = leaf.filter("a_kind <> 'object'").unionByName(
-        objects.select(*keys, F.col("node").alias("path"), F.lit("object").alias("a_kind"), F.lit("{}").alias("a_value"))
-    )
+    nodes = leaf
+    if empty_objects:
+        objects = _nodes(actual, keys).filter("is_object").select(
+            *keys, F.col("node").alias("path"), F.lit("object").alias("a_kind"), F.lit("{}").alias("a_value")
+        )
+        nodes = leaf.filter("a_kind <> 'object'").unionByName(objects)
     hit = (F.col("kind") == F.col("a_kind")) & F.col("value").eqNullSafe(F.col("a_value"))
     judged = needed.join(nodes, [*keys, "path"], "left").withColumn(
         "_ok", F.col("_skip") | F.coalesce(hit, F.lit(False))

@@ -253,10 +253,16 @@ def summarize_by_label(rows: DataFrame, column: str) -> DataFrame:
 
 def by_dimension(rows: DataFrame, scalars: Mapping[str, str], arrays: Mapping[str, str]) -> DataFrame:
     """Fan each row out to its (dimension, key) pairs, plus the overall one."""
-    pair = lambda name, key: F.struct(F.lit(name).alias("dimension"), key.alias("key"))
+
+    def pair(name: str, key: Column) -> Column:
+        return F.struct(F.lit(name).alias("dimension"), key.alias("key"))
+
+    def label_pairs(name: str, column: str) -> Column:
+        return F.transform(labels_of(column), lambda x: pair(name, x))
+
     pairs = F.concat(
         F.array(pair("overall", F.lit("all")), *[pair(n, group_key(c)) for n, c in scalars.items()]),
-        *[F.transform(labels_of(c), lambda x, n=n: pair(n, x)) for n, c in arrays.items()],
+        *[label_pairs(n, c) for n, c in arrays.items()],
     )
     return rows.withColumn("_p", F.explode(pairs)).select("*", "_p.dimension", "_p.key").drop("_p")
 

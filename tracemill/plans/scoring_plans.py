@@ -148,7 +148,7 @@ def diff_ok(t: Tables) -> DataFrame:
     made = order_diff(t).filter("op = 'changed'").select(
         "run_id", "path", F.lit("string").alias("kind"), F.col("new_value").alias("value")
     )
-    return matching.contained(gold.expected_diff(t), made, ["run_id"])
+    return matching.contained(gold.expected_diff(t), made, ["run_id"], empty_objects=False)
 
 
 def replies(t: Tables) -> DataFrame:
@@ -336,7 +336,7 @@ def _(t: Tables) -> DataFrame:
         F.lit("string").alias("kind"),
         F.lit("P").alias("value"),
     )
-    return matching.contained(need, made, ["run_id"])
+    return matching.contained(need, made, ["run_id"], empty_objects=False)
 
 
 @plan(

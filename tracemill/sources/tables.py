@@ -17,4 +17,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        # Keep the handle: opening a folder lists files and reads a footer every time.
+        frame = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self.__dict__[name] = frame
+        return frame
