@@ -37,6 +37,11 @@ def contains_any(c: Column | str, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(col(c), F.lit(n)) for n in needles])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` (lambdas re-evaluate outer expressions)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def before(c: Column, mark: str) -> Column:
     """Text before the first ``mark`` (all of it when absent)."""
     return F.substring_index(c, mark, 1)

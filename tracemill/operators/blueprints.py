@@ -70,7 +70,7 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
     actions = tx.col("agent_action_budget").cast("string").try_cast("int")
     none = F.array().cast("array<string>")
     entities = F.coalesce("relevant_entities", none)
-    turns = micro_turns(F.col("multi_turn_tasks"), entities, task_type, limit=3)
+    turns = F.col("_turns")
     plan = F.col("tool_plan")
     steps = F.size(plan)
     unknown = F.filter(
@@ -78,14 +78,22 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
         lambda s: ~F.array_contains("known_tools", s["tool"])
         | ~F.coalesce(F.startswith(F.to_json(F.try_parse_json(s["arguments"])), F.lit("{")), F.lit(False)),
     )
-    bad = F.get(unknown, F.lit(0))
+    # Named columns keep the costly pieces from being evaluated once per rule.
+    staged = df.withColumns(
+        {
+            "_turns": micro_turns(F.col("multi_turn_tasks"), entities, task_type, limit=3),
+            "_bad": F.get(unknown, F.lit(0)),
+            "_leaks": (F.size(leaked_tools(request, F.col("known_tools"))) > 0)
+            | (F.size(leaked_entities(request, entities)) > 0),
+        }
+    )
+    bad = F.col("_bad")
     bad_step = F.when(
         F.array_contains("known_tools", bad["tool"]),
         F.concat(F.lit("tool_plan step "), bad["step"].cast("string"), F.lit(" arguments must be an object")),
     ).otherwise(
         F.concat(F.lit("tool_plan step "), bad["step"].cast("string"), F.lit(" uses unknown tool '"), bad["tool"], F.lit("'"))
     )
-    leaks = (F.size(leaked_tools(request, F.col("known_tools"))) > 0) | (F.size(leaked_entities(request, entities)) > 0)
     reason = (
         F.when(goal.isNull() | request.isNull() | outcome.isNull(), "candidate is missing goal_summary, user_request, or expected_final_outcome")
         .when(~mode.isin(fixed.DIALOGUE_MODES), "dialogue_mode must be single_turn or multi_turn")
@@ -109,11 +117,11 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
             (steps == 0) & (task_type == "refuse_or_scope") & (F.size(_texts("refusal_requirements")) == 0),
             "refuse_or_scope tasks without tool steps must include refusal_requirements",
         )
-        .when(F.size(unknown) > 0, bad_step)
+        .when(bad.isNotNull(), bad_step)
         .when(calls < steps, "tool_call_budget is smaller than the proposed tool plan length")
-        .when(leaks, "user_request leaks hidden tool names or identifiers")
+        .when(F.col("_leaks"), "user_request leaks hidden tool names or identifiers")
     )
-    return df.withColumn("reason", reason)
+    return staged.withColumn("reason", reason).drop("_turns", "_bad", "_leaks")
 
 
 # --- containment join -------------------------------------------------------------------------
@@ -146,15 +154,20 @@ def _anchor(needle: Column, level: Column) -> Column:
 
 def _grams(text: Column, level: str) -> Column:
     empty = F.array().cast("array<bigint>")
-    if level in _WORDS:
-        n, items = _WORDS[level], _tokens(text)
-        count = F.size(items) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(items, i, n)))
-    else:
-        n, body = _CHARS[level], F.lower(text)
-        count = F.length(body) - (n - 1)
-        grams = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.substr(body, i, F.lit(n))))
-    return F.array_distinct(F.when(count >= 1, grams).otherwise(empty))
+
+    def word_grams(items: Column) -> Column:
+        n = _WORDS[level]
+        starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
+        grams = F.transform(starts, lambda i: F.xxhash64(F.slice(items, i, n)))
+        return F.when(F.size(items) >= n, F.array_distinct(grams)).otherwise(empty)
+
+    def char_grams(body: Column) -> Column:
+        n = _CHARS[level]
+        starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
+        grams = F.transform(starts, lambda i: F.xxhash64(F.substr(body, i, F.lit(n))))
+        return F.when(F.length(body) >= n, F.array_distinct(grams)).otherwise(empty)
+
+    return tx.let(_tokens(text), word_grams) if level in _WORDS else tx.let(F.lower(text), char_grams)
 
 
 def containment_join(

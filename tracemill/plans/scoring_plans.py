@@ -276,11 +276,11 @@ def _(t: Tables) -> DataFrame:
     actual = F.concat(F.lit('{"timestamp": 2, "k": '), F.get_json_object("props", "$.k"), F.lit(".0}"))
     required = F.array(F.lit("k"), F.lit("timestamp"))
     defaults = matching.argument_map(F.lit('{"limit": 50.0}'))
-    return t.events.select(
-        "event_id",
-        matching.arguments_match(
-            matching.argument_map(expected), matching.argument_map(actual), required, defaults
-        ).alias("matched"),
+    maps = t.events.select(
+        "event_id", matching.argument_map(expected).alias("e"), matching.argument_map(actual).alias("a"), defaults.alias("d")
+    )
+    return maps.select(
+        "event_id", matching.arguments_match(F.col("e"), F.col("a"), required, F.col("d")).alias("matched")
     )
 
 
