@@ -157,29 +157,30 @@ def action_budget(df: DataFrame, user_turns: str, tool_calls: str, allowed: str)
     )
 
 
-def behavior_bounds(total: Column) -> Column:
-    """Cumulative quotas per behaviour by largest remainder, as an array of upper ranks."""
-    priors = list(fixed.BEHAVIOR_PRIORS.values())
-    raw = [F.lit(p) * total for p in priors]
-    whole = [F.floor(r) for r in raw]
-    fraction = [r - w for r, w in zip(raw, whole)]
-    left = total - sum(whole[1:], whole[0])
-
-    def ahead(j: int, i: int) -> Column:
-        """Does behaviour j get a spare unit before behaviour i?"""
-        tie = fraction[j] == fraction[i]
-        same = priors[j] > priors[i] or (priors[j] == priors[i] and j < i)
-        return F.when((fraction[j] > fraction[i]) | (tie & F.lit(same)), 1).otherwise(0)
-
-    bounds, running = [], F.lit(0)
-    for i in range(len(priors)):
-        rank = F.lit(0)
-        for j in range(len(priors)):
-            if j != i:
-                rank = rank + ahead(j, i)
-        running = running + whole[i] + F.when(rank < left, 1).otherwise(0)
-        bounds.append(running.cast("long"))
-    return F.array(*bounds)
+def behavior_quotas(counts: DataFrame, total: str) -> DataFrame:
+    """Add ``bounds``: cumulative quota per behaviour by largest remainder (upper ranks).
+
+    ``counts`` is a one-row frame, so this is computed once and not per dialogue.
+    """
+    priors = F.array(*[F.lit(p) for p in fixed.BEHAVIOR_PRIORS.values()])
+    out = counts.withColumn("_p", priors).withColumn("_raw", F.transform("_p", lambda p: p * F.col(total)))
+    out = out.withColumn("_whole", F.transform("_raw", F.floor))
+    out = out.withColumn("_frac", F.zip_with("_raw", "_whole", lambda r, w: r - w))
+    # Sorted by remainder, then prior, then listed order.
+    order = F.array_sort(
+        F.transform("_frac", lambda f, i: F.struct((-f).alias("f"), (-F.get("_p", i)).alias("p"), i.alias("i")))
+    )
+    out = out.withColumn("_order", F.transform(order, lambda x: x["i"]))
+    zero = F.lit(0).cast("long")
+    left = F.col(total) - F.aggregate("_whole", zero, lambda acc, x: acc + x)
+    out = out.withColumn("_left", left).withColumn(
+        "_quota",
+        F.transform(
+            "_whole", lambda w, i: w + F.when(F.array_position("_order", i) <= F.col("_left"), 1).otherwise(0)
+        ),
+    )
+    bounds = F.transform("_quota", lambda _, i: F.aggregate(F.slice("_quota", F.lit(1), i + 1), zero, lambda acc, x: acc + x))
+    return out.withColumn("bounds", bounds).select(*counts.columns, "bounds")
 
 
 def plan_behaviors(df: DataFrame, order: str, block: Column, max_behaviors: int = 2) -> DataFrame:
@@ -193,16 +194,18 @@ def plan_behaviors(df: DataFrame, order: str, block: Column, max_behaviors: int
     hardness = F.when(bucket == "hard", 0).when(bucket == "medium", 1).when(bucket == "easy", 2).otherwise(3)
     classed = df.withColumn("_class", F.when(mode == "multi_turn", 0).otherwise(4) + hardness)
     sizes = classed.groupBy("_class").agg(F.count(F.lit(1)).alias("n"))  # at most eight rows
-    table = sizes.agg(F.map_from_entries(F.collect_list(F.struct("_class", "n"))).alias("m")).scalar()
-    placed = with_position(classed, ["_class"], [order], block, "_pos").withColumn("_sizes", table)
+    totals = sizes.agg(
+        F.map_from_entries(F.collect_list(F.struct("_class", "n"))).alias("sizes"), F.sum("n").alias("total")
+    )
+    table = behavior_quotas(totals, "total").select(F.struct("sizes", "bounds")).scalar()
+    placed = with_position(classed, ["_class"], [order], block, "_pos").withColumn("_t", table)
     earlier = F.aggregate(
-        F.map_entries("_sizes"),
+        F.map_entries("_t.sizes"),
         F.lit(0).cast("long"),
         lambda acc, e: acc + F.when(e["key"] < F.col("_class"), e["value"]).otherwise(0),
     )
-    total = F.aggregate(F.map_values("_sizes"), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    ranked = placed.withColumn("rank", earlier + F.col("_pos")).withColumn("_bounds", behavior_bounds(total))
-    taken = F.size(F.filter("_bounds", lambda b: b < F.col("rank")))
+    ranked = placed.withColumn("rank", earlier + F.col("_pos"))
+    taken = F.size(F.filter("_t.bounds", lambda b: b < F.col("rank")))
     names = F.array(*[F.lit(b) for b in fixed.BEHAVIORS])
     out = ranked.withColumn("primary_behavior", F.coalesce(F.get(names, taken), F.lit("underspecification")))
     second = F.create_map(*[F.lit(x) for p in fixed.SECONDARY_BEHAVIOR.items() for x in p])
