@@ -164,7 +164,7 @@ def behavior_quotas(counts: DataFrame, total: str) -> DataFrame:
     """
     priors = F.array(*[F.lit(p) for p in fixed.BEHAVIOR_PRIORS.values()])
     out = counts.withColumn("_p", priors).withColumn("_raw", F.transform("_p", lambda p: p * F.col(total)))
-    out = out.withColumn("_whole", F.transform("_raw", F.floor))
+    out = out.withColumn("_whole", F.transform("_raw", lambda r: F.floor(r)))
     out = out.withColumn("_frac", F.zip_with("_raw", "_whole", lambda r, w: r - w))
     # Sorted by remainder, then prior, then listed order.
     order = F.array_sort(
