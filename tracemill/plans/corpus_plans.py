@@ -9,6 +9,7 @@ from tracemill.functions import text as tx
 from tracemill.operators import corpus
 from tracemill.plans import sqltext as q
 from tracemill.plans.registry import plan
+from tracemill.sources import files
 from tracemill.sources.tables import Tables
 
 CURATED_CTE = f"""cleaned AS (SELECT doc_id, source, {q.clean_task('text')} AS task FROM documents),
@@ -239,3 +240,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     return corpus.limit_groups(t.documents.select("doc_id", "source"), "source", "doc_id", 5)
+
+
+@plan("io3_read_parquet_tree", "SELECT n_nationkey, n_name FROM nation")
+def _(t: Tables) -> DataFrame:
+    return files.read_parquet_tree(t.spark, f"{t.folder}/nation.parquet").select("n_nationkey", "n_name")
