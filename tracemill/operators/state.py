@@ -40,7 +40,26 @@ def _kind(json_text: Column) -> Column:
     )
 
 
-def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def _children(v: Column, expand_arrays: bool) -> Column:
+    """(key, value) entries of an object, and of an array when those are opened too.
+
+    An opened array adds its length under ``[#]``, so containment can compare lengths.
+    """
+    entry = lambda k, x: F.struct(k.alias("key"), x.alias("value"))
+    fields = F.transform(
+        F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: entry(e["key"], e["value"])
+    )
+    if not expand_arrays:
+        return fields
+    items = F.try_variant_get(v, "$", "array<variant>")
+    numbered = F.transform(items, lambda x, i: entry(F.concat(F.lit("["), i.cast("string"), F.lit("]")), x))
+    length = F.array(entry(F.lit("[#]"), F.parse_json(F.size(items).cast("string"))))
+    return F.coalesce(fields, F.concat(numbered, F.when(items.isNotNull(), length)))
+
+
+def flatten_state(
+    df: DataFrame, keys: Sequence[str], json_col: str, max_depth: int = MAX_DEPTH, expand_arrays: bool = False
+) -> DataFrame:
     """Leaf table of a JSON object column, in one narrow pass without a shuffle.
 
     Every level opens the objects found at the level above; rows that are already leaves pass
@@ -50,17 +69,12 @@ def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, max_depth:
         *keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("_v")
     ).filter(F.col("_v").isNotNull())
     for _ in range(max_depth):
-        rows = rows.select(
-            *keys,
-            "path",
-            "_v",
-            F.explode_outer(F.try_variant_get("_v", "$", "map<string,variant>")).alias("_k", "_child"),
-        ).select(
+        opened = rows.select(*keys, "path", "_v", F.explode_outer(_children(F.col("_v"), expand_arrays)).alias("_e"))
+        leaf = F.col("_e").isNull()
+        rows = opened.select(
             *keys,
-            F.when(F.col("_k").isNull(), F.col("path"))
-            .otherwise(F.concat("path", F.array(F.coalesce("_k", F.lit("")))))
-            .alias("path"),
-            F.when(F.col("_k").isNull(), F.col("_v")).otherwise(F.col("_child")).alias("_v"),
+            F.when(leaf, F.col("path")).otherwise(F.concat("path", F.array("_e.key"))).alias("path"),
+            F.when(leaf, F.col("_v")).otherwise(F.col("_e.value")).alias("_v"),
         )
     text = F.to_json("_v")
     leaves = rows.select(*keys, "path", "_v", F.coalesce(text, F.lit("null")).alias("_t"))

@@ -242,6 +242,6 @@ def _(t: Tables) -> DataFrame:
     return corpus.limit_groups(t.documents.select("doc_id", "source"), "source", "doc_id", 5)
 
 
-@plan("io3_read_parquet_tree", "SELECT n_nationkey, n_name FROM nation")
+@plan("io3_read_parquet_tree", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(t: Tables) -> DataFrame:
-    return files.read_parquet_tree(t.spark, f"{t.folder}/nation.parquet").select("n_nationkey", "n_name")
+    return files.read_parquet_tree(t.spark, f"{t.folder}/orders.parquet").select("o_orderkey", "o_orderstatus")
