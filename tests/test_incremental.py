@@ -36,7 +36,6 @@ def test_stream_equals_batch(spark, tmp_path):
         arm_then_fire_stream(source, RULES).writeStream.format("memory").queryName("fired")
         .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     )
-    # A processing-time timeout keeps a continuous query busy for ever; availableNow ends it.
     assert query.awaitTermination(120)
     got = {(r.run_id, r.event_id, r.armed_at, r.fired_at) for r in spark.table("fired").collect()}
     assert got == want

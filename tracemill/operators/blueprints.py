@@ -146,7 +146,7 @@ def _anchor_level(needle: Column) -> Column:
 
 
 def _anchor(needle: Column, level: Column) -> Column:
-    inner = lambda n: F.xxhash64(F.slice(_tokens(needle), 2, n))
+    inner = lambda n: F.xxhash64(*[F.xxhash64(F.get(_tokens(needle), F.lit(1 + i))) for i in range(n)])
     chars = lambda n: F.xxhash64(F.substring(F.lower(needle), 1, n))
     out = F.when(level == "w5", inner(5)).when(level == "w2", inner(2)).when(level == "w1", inner(1))
     return out.when(level == "c3", chars(3)).otherwise(chars(1))
@@ -156,9 +156,10 @@ def _grams(text: Column, level: str) -> Column:
     empty = F.array().cast("array<bigint>")
 
     def word_grams(items: Column) -> Column:
+        # Hash each token once; a gram is the hash of its token hashes.
         n = _WORDS[level]
-        starts = F.sequence(F.lit(1), F.size(items) - (n - 1))
-        grams = F.transform(starts, lambda i: F.xxhash64(F.slice(items, i, n)))
+        starts = F.sequence(F.lit(0), F.size(items) - n)
+        grams = F.transform(starts, lambda i: F.xxhash64(*[F.get(items, i + j) for j in range(n)]))
         return F.when(F.size(items) >= n, F.array_distinct(grams)).otherwise(empty)
 
     def char_grams(body: Column) -> Column:
@@ -167,7 +168,8 @@ def _grams(text: Column, level: str) -> Column:
         grams = F.transform(starts, lambda i: F.xxhash64(F.substr(body, i, F.lit(n))))
         return F.when(F.length(body) >= n, F.array_distinct(grams)).otherwise(empty)
 
-    return tx.let(_tokens(text), word_grams) if level in _WORDS else tx.let(F.lower(text), char_grams)
+    hashed = F.transform(_tokens(text), lambda w: F.xxhash64(w))
+    return tx.let(hashed, word_grams) if level in _WORDS else tx.let(F.lower(text), char_grams)
 
 
 def containment_join(

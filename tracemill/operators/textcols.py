@@ -179,13 +179,16 @@ def extract_tool_calls(df: DataFrame, text: str) -> DataFrame:
         F.coalesce(F.try_variant_get(F.try_parse_json(whole), "$", "array<variant>"), F.array().cast("array<variant>")),
         lambda v: F.to_json(v),
     )
-    staged = df.withColumns(
-        {
-            "_1": _calls(F.regexp_extract_all(body, F.lit(TAGGED_CALL), 1), ["arguments"]),
-            "_2": _calls(F.regexp_extract_all(body, F.lit(PYTHON_TAG), 1), either),
-            "_3": F.when(F.startswith(whole, F.lit("{")), _calls(F.array(whole), either, strict=True)),
-            "_4": F.when(F.startswith(whole, F.lit("[")), _calls(items, either, strict=True)),
-        }
+    # Each encoding is only parsed where the one before it found nothing and its mark is present.
+    has = lambda mark: F.contains(body, F.lit(mark))
+    starts = lambda mark: F.startswith(whole, F.lit(mark))
+    one = F.when(has("<tool_call>"), _calls(F.regexp_extract_all(body, F.lit(TAGGED_CALL), 1), ["arguments"]))
+    two = F.when(has("<|python_tag|>"), _calls(F.regexp_extract_all(body, F.lit(PYTHON_TAG), 1), either))
+    staged = (
+        df.withColumn("_1", one)
+        .withColumn("_2", F.when(F.col("_1").isNull(), two))
+        .withColumn("_3", F.when(F.coalesce("_1", "_2").isNull() & starts("{"), _calls(F.array(whole), either, strict=True)))
+        .withColumn("_4", F.when(F.coalesce("_1", "_2").isNull() & starts("["), _calls(items, either, strict=True)))
     )
     found = [F.col(c).isNotNull() for c in ("_1", "_2", "_3", "_4")]
     chosen = F.when(found[0], "tagged").when(found[1], "python_tag").when(found[2], "json").when(found[3], "json_list").otherwise("none")

@@ -1,7 +1,9 @@
 """Rules that arm and fire, kept as per-run state of a stream of calls.
 
 Calls are taken in arrival order, so the batch form in ``operators.incremental`` is the
-definition.  State is a few numbers per rule and expires after ``ttl_ms`` without calls.
+definition.  State is a few numbers per rule.  Runs have no end marker: give ``ttl_ms`` so that
+idle runs are forgotten.  Spark then keeps scheduling batches to watch the clock, so such a query
+belongs under a processing-time trigger and never ends by itself.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Rule:
         return (not tools or tool in tools) and all(given.get(k) == v for k, v in args.items())
 
 
-def arm_then_fire_stream(calls: DataFrame, rules: Sequence[Rule], ttl_ms: int = 3_600_000) -> DataFrame:
+def arm_then_fire_stream(calls: DataFrame, rules: Sequence[Rule], ttl_ms: int | None = None) -> DataFrame:
     """One row per fired rule; ``calls(run_id, pos, tool, arguments)``."""
     plain = [asdict(r) for r in rules]
 
@@ -61,9 +63,9 @@ def arm_then_fire_stream(calls: DataFrame, rules: Sequence[Rule], ttl_ms: int =
                     if rule.event_id not in armed and rule.hits(rule.activation_tools, rule.activation_args, tool, given):
                         armed[rule.event_id] = count
         state.update((count, json.dumps(armed), json.dumps(sorted(fired))))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["run_id", "event_id", "armed_at", "fired_at"])
 
-    return calls.groupBy("run_id").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return calls.groupBy("run_id").applyInPandasWithState(update, OUTPUT, STATE, "append", timeout)
