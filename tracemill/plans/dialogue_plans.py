@@ -260,7 +260,7 @@ def _(t: Tables) -> DataFrame:
 
 @plan("d14_hostile_variants")
 def _(t: Tables) -> DataFrame:
-    return dg.hostile_variants(stable(t), 50, seed=42).select(
+    return dg.hostile_variants(stable(t), 20, seed=42).select(
         "sample_id", "source_sample_id", "unstable_behavior", "user_message"
     )
 
