@@ -164,12 +164,12 @@ def replies(t: Tables) -> DataFrame:
     )
 
 
-def completion(t: Tables) -> DataFrame:
+def completion(t: Tables, runs: DataFrame | None = None) -> DataFrame:
     calls = gold.calls(t)
     nodes = gold.nodes(t)
     given = matching.greedy_assign(nodes, matching.candidate_matches(nodes, calls))
     return scoring.completion_rows(
-        gold.samples(t).drop("clarify", "refuse"),
+        gold.samples(t).drop("clarify", "refuse") if runs is None else runs,
         given,
         matching.ordered_name_match(nodes.filter("role = 'write'"), calls),
         matching.check_precedence(gold.edges(t), given),
@@ -180,26 +180,31 @@ def completion(t: Tables) -> DataFrame:
     )
 
 
-def score_rows(t: Tables) -> DataFrame:
-    """Full score row per sample: completion, efficiency, reliability, relaxed success, failure mode."""
+def run_facts(t: Tables) -> DataFrame:
+    """Samples with their judge scores, turn counts and run error."""
     transcript = t.conversations.select(F.col("conv_id").alias("run_id"), "role")
     counts = scoring.turn_counts(transcript, gold.calls(t))
     zero = dict.fromkeys(["user_turn_count", "response_count", "tool_call_count", "write_call_count"], 0)
+    judged = scoring.reliability(gold.samples(t).drop("clarify", "refuse"), "payload")
+    judged = judged.withColumn("variant", scoring.normalize_variant("variant"))
     ran = gold.calls(t).select("run_id").distinct()
-    rows = completion(t).join(counts, "run_id", "left").fillna(zero)
-    rows = scoring.with_run_errors(rows, ran, {}, "no recorded run")
-    rows = rows.withColumn(
-        "min_required_action_turns",
-        blueprints.min_action_turns(
-            F.col("given_turns"), F.col("user_turn_count"), F.col("read_total") + F.col("write_total")
-        ),
+    return scoring.with_run_errors(judged.join(counts, "run_id", "left"), ran, zero, "no recorded run")
+
+
+def score_rows(t: Tables) -> DataFrame:
+    """Full score row per sample: completion, efficiency, reliability, relaxed success, failure mode."""
+    rows = completion(t, run_facts(t))
+    steps = F.col("read_total") + F.col("write_total")
+    rows = rows.withColumns(
+        {
+            "min_required_action_turns": blueprints.min_action_turns(F.col("given_turns"), F.col("user_turn_count"), steps),
+            "strict_success": F.col("semantic_success"),
+        }
     )
     rows = scoring.efficiency(
         rows, "min_required_action_turns", "user_turn_count", "response_count", "tool_call_count", F.col("semantic_success")
     )
-    rows = scoring.relaxed_success(scoring.reliability(rows, "payload"))
-    rows = scoring.failure_mode(rows.withColumn("strict_success", F.col("semantic_success")))
-    return rows.withColumn("variant", scoring.normalize_variant("variant"))
+    return scoring.failure_mode(scoring.relaxed_success(rows))
 
 
 @plan(

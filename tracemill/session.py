@@ -1,9 +1,7 @@
-"""Session settings and the checkpoint folder."""
+"""Session settings."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 ENGINE_CONF = {
@@ -37,19 +35,3 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return tune(spark)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; fall back to a scratch one in local runs."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        current = tempfile.mkdtemp(prefix="tracemill-ckpt-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
