@@ -146,20 +146,26 @@ def _get(v: Column, path: str) -> Column:
 def _call(raw: Column, names: Sequence[str], strict: bool) -> Column:
     """(name, arguments) of one encoded call, or null.  ``strict`` wants an object as arguments."""
 
+    # With two possible fields an empty value falls through to the next one.
+    empty = ["null", "{}", "[]", '""', "0", "false"]
+
+    def field(v: Column, n: str) -> Column:
+        given = F.to_json(_get(v, f"$.{n}"))
+        return given if len(names) == 1 else tx.let(given, lambda g: F.when(~g.isin(empty), g))
+
     def build(v: Column) -> Column:
-        plain = F.to_json(v)
-        name = tx.clean(F.coalesce(F.try_variant_get(v, "$.name", "string"), F.lit("")))
-        given = [F.to_json(_get(v, f"$.{n}")) for n in names]
-        # With two possible fields an empty value falls through to the next one.
-        empty = ["null", "{}", "[]", '""', "0", "false"]
-        filled = [F.when(~g.isin(empty), g) for g in given] if len(names) > 1 else given
-        arguments = F.coalesce(*filled, F.lit("{}"))
-        ok = F.startswith(plain, F.lit("{")) & name.isNotNull()
+        name = tx.clean(F.try_variant_get(v, "$.name", "string"))
+        arguments = F.coalesce(*[field(v, n) for n in names], F.lit("{}"))
+        return F.struct(name.alias("name"), arguments.alias("arguments"))
+
+    def usable(call: Column) -> Column:
+        ok = call["name"].isNotNull()
         if strict:
-            ok = ok & F.startswith(arguments, F.lit("{"))
-        return F.when(ok, F.struct(name.alias("name"), arguments.alias("arguments")))
+            ok = ok & F.startswith(call["arguments"], F.lit("{"))
+        return F.when(ok, call)
 
-    return tx.let(F.try_parse_json(tx.strip(raw)), build)
+    # Only objects have a name, so anything else is dropped with the nameless calls.
+    return tx.let(tx.let(F.try_parse_json(tx.strip(raw)), build), usable)
 
 
 def _calls(raws: Column, names: Sequence[str], strict: bool = False) -> Column:
