@@ -1,6 +1,6 @@
 """Importing the query modules fills the registry."""
 
-from tracemill.llm import near_dup_query  # noqa: F401
+from tracemill.llm import embedding_query, mixing_query, near_dup_query, packing_query, url_query  # noqa: F401
 from tracemill.llm.queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -40,6 +42,18 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cached(key: tuple, make):
+    """``make()``, kept for the life of a Python worker.
+
+    Functions reach the workers by value, with globals of their own for each task, so what is to outlast a
+    task is kept in a module of the process.
+    """
+    store = sys.modules.setdefault("corpus_worker_cache", types.ModuleType("corpus_worker_cache")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each word, equal on every machine."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
