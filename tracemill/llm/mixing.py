@@ -216,3 +216,14 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
 def cycle_weights(names: list) -> dict:
     """Weights 1, 2, 3 and again, in the order of ``names``."""
     return {s: i % 3 + 1 for i, s in enumerate(names)}
+
+
+def mix_documents(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, each as many times as ``mix`` takes it, with all columns; rows with a null id go.
+
+    A repeated id counts once per size: its rows are all taken alike.
+    """
+    taken = mix(docs, weights, id_col, text_col, sources, seed).filter("id IS NOT NULL").groupBy("id").agg(F.max("copies").alias("_copies"))
+    rows = docs.join(taken.filter("_copies > 0"), docs[id_col].cast("long") == taken["id"]).select(*(docs[c] for c in docs.columns), "_copies")
+    times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
+    return rows.withColumn("_times", times).drop("_copies", "_times")

@@ -15,8 +15,8 @@ from tracemill.llm.common import Emitter, components, hash_words, materialize, m
 #: Base and offset of the register values, and registers per band.  With so small a base two registers
 #: agree about as often as the minima behind them.
 BASE, RATE, ROWS = 1.001, 20.0, 5
-#: Register pairs are compared in blocks of so many rows where a bucket holds several components.
-BLOCK = 256
+#: Where a bucket holds several components, up to so many members are paired in a join, more in blocks of ``BLOCK``.
+SMALL, BLOCK = 32, 512
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -50,7 +50,7 @@ def registers(items: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / math.log(BASE)) + 2**13, 0, 2**16 - 1).astype(np.uint16)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 96) -> np.ndarray:
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, grid: int = 48) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of sketch pairs (rows of ``a`` and ``b``) with known set sizes."""
     up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same = a.shape[1] - up - down
@@ -116,7 +116,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 
 def _likely(percent: int, m: int):
     """Row filter on Arrow batches: set sizes allow the threshold, and the joint estimate lies within five deviations of it."""
-    margin = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / m)
+    margin = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / m) - 1 / 48
 
     def keep(batch: pa.RecordBatch) -> np.ndarray:
         na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
@@ -139,31 +139,41 @@ def _filter_pairs(pairs: DataFrame, percent: int, m: int) -> DataFrame:
 
 
 def _cross_pairs(rows: DataFrame, percent: int, m: int) -> DataFrame:
-    """Likely pairs of different components within a bucket, for ``rows(key, id, n, regs, component, blocks)``.
+    """Pairs ``(a, b)`` of different components within a bucket, for ``rows(key, id, n, size, component)``.
 
-    A bucket is cut into ``blocks`` blocks by hash; each pair of blocks is one group, so no group holds more
-    than two blocks whatever the bucket's size, and only pairs that pass the joint estimate leave the task.
+    Buckets of at most ``SMALL`` members are joined with themselves.  Larger ones are cut into blocks by hash,
+    and each pair of blocks is one group, so no group holds more than two blocks whatever the bucket's size;
+    of these only pairs with enough equal registers leave the task.
     """
-    keep = _likely(percent, m)
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    spread = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    small = rows.filter(F.col("size") <= SMALL).select("key", "id", "n", "component")
+    one, two = (small.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component"))) for side in "ab")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = one.join(two, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    large = rows.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    spread = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "regs", "component")
+    enough = (percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / m)) * m
 
     def run(key, pdf):
         import pandas as pd
 
         one, two = pdf[pdf["block"] == key[1]], pdf[pdf["block"] == key[2]]
-        found = []
-        for row in one.itertuples(index=False):
-            far = two[(two["component"] != row.component) & ((two["id"] > row.id) if key[1] == key[2] else True)]
-            if len(far):
-                same = np.full(len(far), float(row.n))
-                batch = pa.RecordBatch.from_pydict({"na": same, "nb": far["n"].to_numpy(), "ra": [row.regs] * len(far), "rb": list(far["regs"])})
-                ids = far["id"].to_numpy()[keep(batch)]
-                found.append(pd.DataFrame({"a": np.minimum(ids, row.id), "b": np.maximum(ids, row.id)}))
-        return pd.concat(found) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    return spread.groupBy("key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        found = [np.empty((0, 2), np.int64)]
+        if len(one) and len(two):
+            x, y = (np.frombuffer(b"".join(p["regs"]), np.uint16).reshape(-1, m) for p in (one, two))
+            ids, parts, sizes = two["id"].to_numpy(), two["component"].to_numpy(), two["n"].to_numpy()
+            for i, (own, part, n) in enumerate(zip(one["id"], one["component"], one["n"], strict=True)):
+                far = (parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                if key[1] == key[2]:
+                    far &= ids > own
+                far = np.flatnonzero(far)
+                hit = ids[far[(y[far] == x[i]).sum(axis=1) >= enough]]
+                found.append(np.stack([np.minimum(hit, own), np.maximum(hit, own)], axis=1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    return pairs.union(spread.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -199,14 +209,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = first.select((-F.col("best.least")).alias("a"), F.col("id").alias("b"))
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    first = materialize(first, "first")
     likely = materialize(_filter_pairs(first.join(right, "b").join(left, "a"), percent, m), "likely")
     links = materialize(_verified(likely, base, shingle, percent), "links")
 
     label = components(links)
     placed = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = placed.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).join(sets.drop("set_key"), "id")
-    more = materialize(_cross_pairs(placed, percent, m).join(likely, ["a", "b"], "left_anti"), "likely")
+    placed = materialize(placed.join(mixed, "key").join(sets.drop("set_key"), "id"), "mixed")
+    crossed = _cross_pairs(placed, percent, m).join(first, ["a", "b"], "left_anti")
+    more = materialize(_filter_pairs(crossed.join(right, "b").join(left, "a"), percent, m), "likely")
     links = links.union(materialize(_verified(more, base, shingle, percent), "links"))
 
     # Every document of a set hangs on the set's representative.
@@ -223,5 +235,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     A repeated id is kept once per group: of its rows the one with the smallest text hash stays.
     """
     verdict = near_duplicates(docs, id_col, text_col, shingle, percent).filter("kept").select(F.col("id").alias("_kept")).distinct()
-    known = docs.join(verdict, docs[id_col].cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    known = docs.join(verdict, docs[id_col].cast("long") == verdict["_kept"], "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.filter(F.col(id_col).isNull()))
