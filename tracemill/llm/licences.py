@@ -170,7 +170,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Classifier:
     """Fit with a bounded background: one line each of the ``BACKGROUND`` distinct documents with the smallest hash."""
     text = F.col(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(x) > 20)
-    line = F.element_at(lines, (F.pmod(F.xxhash64(F.lit("line"), text), F.greatest(F.size(lines), F.lit(1))) + 1).cast("int"))
+    line = F.get(lines, F.pmod(F.xxhash64(F.lit("line"), text), F.greatest(F.size(lines), F.lit(1))).cast("int"))
     drawn = docs.select(F.xxhash64(F.lit("background"), text).alias("_h"), F.substring(line, 1, 400).alias("line")).filter("line IS NOT NULL")
     rows = drawn.distinct().orderBy("_h", "line").limit(BACKGROUND).collect()
     return fit([words_of(r["line"].encode())[:UNIT] for r in rows])
