@@ -19,6 +19,8 @@ MAX_OVERLAPS = 2_000
 #: Documents of a pattern are split into so many hash ranges when the share of one more copy is chosen.
 RANGES = 1 << 12
 SEED = 20_240_601
+#: Documents of each binary size class that may fill what whole documents leave of a pattern's amount.
+SPARES = 16
 
 
 def targets(sizes: dict, weights: dict, most: float = len(COPY_COST)) -> dict:
@@ -126,8 +128,8 @@ def select(sizes: DataFrame, amounts: dict[tuple, float], totals: dict[tuple, in
     """Copies per document so that each pattern gives its amount of words; ``sizes(id, sources, size, ...)`` plus ``copies``.
 
     Every document of a pattern gets ``amount div total`` copies.  One more goes to documents in the order of
-    a seeded hash while they fit the rest; what is then still missing is filled from each binary size class
-    of the others, largest first, with one document at most.  Only the hash range in which the rest ends is
+    a seeded hash while they fit the rest; what is then still missing is filled with others, ``SPARES``
+    of each binary size class at most, largest first.  Only the hash range in which the rest ends is
     put in order.
     """
     spark = sizes.sparkSession
@@ -159,21 +161,22 @@ def select(sizes: DataFrame, amounts: dict[tuple, float], totals: dict[tuple, in
     outer = docs.filter("_range <> _edge").withColumn("extra", F.when(F.col("_range") < F.col("_edge"), 1).otherwise(0))
     chosen = materialize(outer.unionByName(inner), "chosen")
 
-    # What is missing per pattern, and one candidate per size class among the documents left out.
-    classes = F.length(F.bin("size"))
-    spare = chosen.filter("extra = 0 AND size > 0").withColumn("class", classes).groupBy("sources", "class")
-    spare = spare.agg(F.min(F.struct("_draw", "id", "size")).alias("pick"))
-    spare = spare.groupBy("sources").agg(F.sort_array(F.collect_list(F.struct(F.col("class"), F.col("pick"))), False).alias("picks"))
+    # What is missing per pattern, and candidates of each size class among the documents left out.
+    order = Window.partitionBy("sources", "_class").orderBy("_draw", "id")
+    spare = chosen.filter("extra = 0 AND size > 0").withColumn("_class", F.length(F.bin("size")))
+    spare = spare.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= SPARES)
+    pick = F.struct("size", "_draw", "id")
+    spare = spare.groupBy("sources").agg(F.sort_array(F.collect_list(pick), False).alias("picks"))  # at most 64 x SPARES rows
     taken = chosen.groupBy("sources").agg(F.sum(F.col("extra") * F.col("size")).alias("got"), F.first("rest").alias("rest"))
     gap = taken.withColumn("gap", F.col("rest") - F.col("got")).join(spare, "sources")
     step = lambda acc, x: F.when(
-        x["pick"]["size"] <= acc["gap"],
-        F.struct((acc["gap"] - x["pick"]["size"]).alias("gap"), F.array_append(acc["ids"], F.struct(x["pick"]["id"].alias("id"), x["pick"]["_draw"].alias("draw"))).alias("ids")),
+        x["size"] <= acc["gap"],
+        F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["ids"], F.struct(x["id"].alias("id"), x["_draw"].alias("draw"))).alias("ids")),
     ).otherwise(acc)
     nothing = F.array().cast("array<struct<id:bigint,draw:bigint>>")
     filled = gap.withColumn("fill", F.aggregate("picks", F.struct(F.col("gap").alias("gap"), nothing.alias("ids")), step))
     added = filled.select("sources", F.explode("fill.ids").alias("_add")).select(F.col("sources").alias("_s"), "_add.id", "_add.draw")
-    added = F.broadcast(materialize(added, "added").withColumnRenamed("id", "_id"))  # at most 64 rows per pattern
+    added = F.broadcast(materialize(added, "added").withColumnRenamed("id", "_id"))  # at most 64 x SPARES rows per pattern
     hit = (F.col("id").eqNullSafe(F.col("_id"))) & (F.col("_draw") == F.col("draw")) & F.col("sources").eqNullSafe(F.col("_s"))
     out = chosen.join(added, hit, "left").withColumn("extra", F.when(F.col("_id").isNotNull(), 1).otherwise(F.col("extra")))
     return out.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(len(COPY_COST)))).drop("_draw", "_range", "whole", "rest", "_edge", "before", "extra", "_id", "draw", "_s")

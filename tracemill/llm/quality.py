@@ -24,7 +24,7 @@ SIGNALS = (
 #: A document fails a signal beyond ``quartile + FENCE * (interquartile range)``, and only if it is also at least this far
 #: from the quartile: narrow groups shall not lose documents over small differences.
 FENCE = 3
-LEAST_DISTANCE = {"word_length": 300, "symbol_share": 30, "line_share": 250, "repeat_share": 200}
+LEAST_DISTANCE = {"word_length": 300, "symbol_share": 30, "line_share": 400, "repeat_share": 280}
 #: Signals that also have a lower fence.
 TWO_SIDED = ("word_length",)
 #: A group with fewer documents borrows the sketch of its language, and a small language that of all documents.
