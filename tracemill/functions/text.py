@@ -69,8 +69,12 @@ def clean_task_text(c: Column | str) -> Column:
     return F.nullif(F.btrim(peeled, F.lit(fixed.TASK_EDGE_CHARS)), F.lit(""))
 
 
+# White space of any script counts as white space, separators \x1c-\x1f included.
+_ALLOWED = "(?U)" + fixed.ALLOWED_TASK_CHARS.replace(r"\s", r"\s\x1c-\x1f", 1).removesuffix("$") + r"\z"
+
+
 def is_allowed_charset(c: Column | str) -> Column:
-    return col(c).rlike(fixed.ALLOWED_TASK_CHARS)
+    return col(c).rlike(_ALLOWED)
 
 
 def mentions_media(c: Column | str) -> Column:

@@ -63,16 +63,21 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sources)
 
 
+def text_key(text: Column | str) -> Column:
+    """Short key of a long text: joins and dedupes shuffle 64 characters instead of the text."""
+    return F.sha2(tx.col(text), 256)
+
+
 def dedupe_keep_first(tasks: DataFrame, order: str) -> DataFrame:
     """One row per trimmed task text, the earliest in input order."""
     trimmed = tasks.withColumn("task", tx.strip("task")).filter(F.col("task") != "")
-    return first_per_key(trimmed, ["task"], [order])
+    return first_per_key(trimmed.withColumn("_key", text_key("task")), ["_key"], [order]).drop("_key")
 
 
 def pending_work(tasks: DataFrame, done: DataFrame) -> DataFrame:
     """Tasks whose trimmed text has no finished result yet."""
-    finished = done.select(tx.strip("task").alias("_key")).filter(F.col("_key") != "")
-    return tasks.join(finished, tx.strip(tasks["task"]) == finished["_key"], "left_anti")
+    finished = done.select(tx.strip("task").alias("_text")).filter(F.col("_text") != "").select(text_key("_text").alias("_key"))
+    return tasks.join(finished, text_key(tx.strip(tasks["task"])) == finished["_key"], "left_anti")
 
 
 def merge_results(batches: DataFrame, inputs: DataFrame, key: str, batch: str) -> DataFrame:
@@ -95,12 +100,12 @@ def score_threshold(df: DataFrame, modelability: str, usefulness: str, m_min: fl
 def sample_exact(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, the same for the same seed; raises at run time when n > total.
 
-    Rows are ranked by a seeded hash.  Ranks come from block counts over the hash range, so
-    no task ever sorts more than one 65536th of the input.
+    Rows are ranked by the SHA-256 of seed and key.  Ranks come from block counts over the hash
+    range, so no task ever sorts more than one 65536th of the input.
     """
-    # Non-negative 63-bit hash: its top 16 bits are a uniform, monotone block number.
-    hashed = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1))
-    ranked = with_position(hashed, [], ["_h", key], F.shiftright("_h", 47), "_rank")
+    hashed = df.withColumn("_h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256))
+    block = F.conv(F.substring("_h", 1, 4), 16, 10).cast("long")  # uniform and monotone in the hash
+    ranked = with_position(hashed, [], ["_h", key], block, "_rank")
     short = df.agg((F.count(F.lit(1)) < n).alias("short"))
     guard = F.when(short.scalar(), F.raise_error(F.lit(f"cannot sample {n} rows")).cast("boolean"))
     return ranked.filter(F.coalesce(guard, F.col("_rank") <= n)).drop("_h", "_rank")

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
-from tracemill.operators.running import BLOCK_ROWS, block_of, with_position
+from tracemill.operators.running import BLOCK_ROWS, block_of, first_per_key, with_position
 from tracemill.operators.state import _nodes, is_soft_path, path_parts
 
 
@@ -102,24 +102,67 @@ def contained(
     return judged.groupBy(*keys).agg(F.bool_and("_ok").alias("contained"))
 
 
-def candidate_matches(nodes: DataFrame, calls: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """(node, position) pairs agreeing on tool and arguments.
+def one_schema(schemas: DataFrame) -> DataFrame:
+    """``schemas`` with one row per key; two rows for one tool of a run raise an error."""
+    keys = [c for c in ("run_id", "tool") if c in schemas.columns]
+    counted = schemas.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    clash = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("two schemas for tool "), "tool")).cast("boolean"))
+    return counted.filter(F.coalesce(clash, F.lit(True))).select(*keys, "required", "defaults")
+
+
+def diff_facts(diff: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Leaf-level diff as comparable facts ``(keys, path, kind, value)``: the operation leads the path.
+
+    A changed leaf gives its old and its new value, so a diff holds another (:func:`contained`) only
+    if operations, old and new values and the leaves of added and removed subtrees agree.
+    """
+    fact = lambda path, value: F.struct(path.alias("path"), F.lit("leaf").alias("kind"), value.alias("value"))
+    under = lambda *after: F.concat(F.array("op"), F.col("path"), F.array(*[F.lit(x) for x in after]).cast("array<string>"))
+    facts = (
+        F.when(F.col("op") == "changed", F.array(fact(under("old"), F.col("old_value")), fact(under("new"), F.col("new_value"))))
+        .when(F.col("op") == "added", F.array(fact(under(), F.col("new_value"))))
+        .otherwise(F.array(fact(under(), F.col("old_value"))))
+    )
+    return diff.select(*keys, F.explode(facts).alias("_f")).select(*keys, "_f.*")
+
+
+def candidate_matches(
+    nodes: DataFrame,
+    calls: DataFrame,
+    schemas: DataFrame | None = None,
+    expected_facts: DataFrame | None = None,
+    step_facts: DataFrame | None = None,
+) -> DataFrame:
+    """(node, position) pairs agreeing on tool, arguments and state diff.
 
     ``nodes(run_id, node, step_index, role, tool, arguments)``, ``calls(run_id, pos, tool,
-    arguments)``; arguments are JSON text.  ``schemas(tool, required, defaults)`` is optional.
+    arguments)``; arguments are JSON text.  Several rows of one node are alternatives, any of which may
+    match.  ``schemas(run_id, tool, required, defaults)`` holds each run's own tools; without
+    ``run_id`` all runs share them.  ``expected_facts(run_id, node, path, kind, value)`` and
+    ``step_facts(run_id, pos, path, kind, value)`` are :func:`diff_facts`; a node with expected facts
+    only matches a call that shows them all.
     """
     wanted = nodes.withColumn("_exp", argument_map("arguments")).drop("arguments")
     if schemas is not None:
-        wanted = wanted.join(schemas.select("tool", "required", "defaults"), "tool", "left")
+        given = one_schema(schemas)
+        wanted = wanted.join(given, [c for c in ("run_id", "tool") if c in given.columns], "left")
         required = F.coalesce("required", _strings())
         defaults = F.coalesce("defaults", F.create_map().cast("map<string,string>"))
     else:
         required, defaults = _strings(), F.create_map().cast("map<string,string>")
     made = calls.select("run_id", "tool", "pos", argument_map("arguments").alias("_act"))
     pairs = wanted.join(made, ["run_id", "tool"])
-    return pairs.filter(arguments_match(F.col("_exp"), F.col("_act"), required, defaults)).select(
+    pairs = pairs.filter(arguments_match(F.col("_exp"), F.col("_act"), required, defaults)).select(
         "run_id", "node", "step_index", "role", "tool", "pos"
     )
+    if expected_facts is None:
+        return pairs
+    # Only the facts of candidate pairs meet: expected ones by node, shown ones by position.
+    shown = step_facts.select("run_id", "pos", "path", F.col("kind").alias("_k"), F.col("value").alias("_v"))
+    hit = F.col("kind").eqNullSafe(F.col("_k")) & F.col("value").eqNullSafe(F.col("_v"))
+    needed = pairs.select("run_id", "node", "pos").distinct().join(expected_facts, ["run_id", "node"])
+    judged = needed.join(shown, ["run_id", "pos", "path"], "left").filter(~(skips_leaf(F.col("path")) | hit))
+    return pairs.join(judged.select("run_id", "node", "pos").distinct(), ["run_id", "node", "pos"], "left_anti").select(*pairs.columns)
 
 
 def greedy_assign(nodes: DataFrame, candidates: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
@@ -127,11 +170,13 @@ def greedy_assign(nodes: DataFrame, candidates: DataFrame, width: int = BLOCK_RO
 
     With K nodes in a run at most K - 1 positions are taken before any node chooses, so the
     first K candidates of a node always contain its choice.  Only those are gathered, which
-    bounds the fold by K * K whatever the length of the run.
+    bounds the fold by K * K whatever the length of the run.  Rows that share a node are alternatives:
+    they give one result, under the tool of the first row by tool name.
     """
+    nodes = first_per_key(nodes.select("run_id", "node", "step_index", "role", "tool"), ["run_id", "node"], ["tool"])
     sizes = nodes.groupBy("run_id").agg(F.count(F.lit(1)).alias("_k"))
     early = with_position(
-        candidates.select("run_id", "node", "pos"), ["run_id", "node"], ["pos"], block_of("pos", width), "_rank"
+        candidates.select("run_id", "node", "pos").distinct(), ["run_id", "node"], ["pos"], block_of("pos", width), "_rank"
     )
     early = early.join(sizes, "run_id").filter(F.col("_rank") <= F.col("_k"))
     options = early.groupBy("run_id", "node").agg(F.collect_list("pos").alias("_options"))
@@ -275,7 +320,7 @@ def write_verb(tool: Column | str) -> Column:
 
 
 def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
-    """Rules broken by at least one executed write: ``(run_id, rule, tool)``.
+    """Rules broken by at least one executed write: ``(run_id, rule, tool)``, the tool of the first such call as spelled there.
 
     ``rules(run_id, rule)``, ``calls(run_id, pos, tool, is_write, arguments)``.  A rule names a
     tool (underscored or spaced), optionally followed by ``on <target>``, by ``with an inactive
@@ -283,7 +328,8 @@ def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None
     Rules meet the distinct tool names of a run first, so rules never multiply calls.
     """
     writes = calls.filter("is_write").withColumn("_tool", F.lower(tx.strip("tool")))
-    names = writes.select("run_id", "_tool").distinct()
+    seen = [F.min("pos").alias("pos"), F.min_by(tx.strip("tool"), "pos").alias("tool")]
+    names = writes.groupBy("run_id", "_tool").agg(*seen)
     text = rules.select("run_id", "rule", F.lower(tx.strip("rule")).alias("_text")).filter("_text <> ''").distinct()
     readable = F.replace("_tool", F.lit("_"), F.lit(" "))
     prefix = F.when(F.startswith("_text", F.col("_tool")), F.col("_tool")).when(
@@ -297,26 +343,30 @@ def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None
     )
     target = tx.strip(F.substr("_rest", F.lit(4)))
     anywhere = named.filter((F.col("_rest") == "") | (F.startswith("_rest", F.lit("on ")) & (target == "")))
-    hits = anywhere.select("run_id", "rule", F.col("_tool").alias("tool"))
+    found = ["run_id", "rule", "pos", "tool"]
+    hits = anywhere.select(*found)
     opened = F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
 
     def plain(v: Column) -> Column:
         return F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
 
     values = (
-        writes.select("run_id", "_tool", F.explode(F.map_values(opened)).alias("_v"))
-        .select("run_id", "_tool", F.lower(tx.strip(plain(F.col("_v")))).alias("_target"))
-        .distinct()
+        writes.select("run_id", "_tool", "pos", "tool", F.explode(F.map_values(opened)).alias("_v"))
+        .groupBy("run_id", "_tool", F.lower(tx.strip(plain(F.col("_v")))).alias("_target"))
+        .agg(*seen)
     )
+    named = named.drop("pos", "tool")
     aimed = named.filter(F.startswith("_rest", F.lit("on ")) & (target != "")).withColumn("_target", target)
     hits = hits.unionByName(
-        aimed.join(values, ["run_id", "_tool", "_target"], "left_semi").select("run_id", "rule", F.col("_tool").alias("tool"))
+        aimed.join(values, ["run_id", "_tool", "_target"]).select(*found)
     )
     if leaves is not None:
         args = F.from_json("arguments", "map<string,string>")
         used = writes.select(
             "run_id",
             "_tool",
+            "pos",
+            "tool",
             tx.clean(F.try_element_at(args, F.lit("medication_id"))).alias("medication_id"),
             tx.clean(F.try_element_at(args, F.lit("user_id"))).alias("user_id"),
             F.try_element_at(args, F.lit("scheduled_time")).alias("scheduled_time"),
@@ -336,16 +386,16 @@ def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None
             )
             .filter("status = 'scheduled'")
         )
-        idle = used.join(inactive, ["run_id", "medication_id"], "left_semi").select("run_id", "_tool").distinct()
+        idle = used.join(inactive, ["run_id", "medication_id"], "left_semi").groupBy("run_id", "_tool").agg(*seen)
         clash = (
             used.join(booked, ["run_id", "user_id", "medication_id", "scheduled_time"], "left_semi")
-            .select("run_id", "_tool")
-            .distinct()
+            .groupBy("run_id", "_tool")
+            .agg(*seen)
         )
-        for suffix, found in (("with an inactive medication", idle), ("at a conflicting scheduled_time", clash)):
-            broken = named.filter(F.col("_rest") == suffix).join(found, ["run_id", "_tool"], "left_semi")
-            hits = hits.unionByName(broken.select("run_id", "rule", F.col("_tool").alias("tool")))
-    return hits.groupBy("run_id", "rule").agg(F.min("tool").alias("tool"))
+        for suffix, calls_ in (("with an inactive medication", idle), ("at a conflicting scheduled_time", clash)):
+            broken = named.filter(F.col("_rest") == suffix).join(calls_, ["run_id", "_tool"])
+            hits = hits.unionByName(broken.select(*found))
+    return hits.groupBy("run_id", "rule").agg(F.min_by("tool", "pos").alias("tool"))
 
 
 def check_assertions(

@@ -92,8 +92,11 @@ def with_previous(
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """Keep the first (or last) row of each key with a partially aggregated ``min_by``/``max_by``."""
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.max_by if last else F.min_by
-    packed = df.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return packed.select(*keys, "_row.*").select(*df.columns)
+    """Keep the first (or last) row of each key.
+
+    ``row_number() <= 1`` is cut in every task before the shuffle (a window group limit), so a hot key
+    sends one row per task and no whole row goes through an aggregate.
+    """
+    wanted = [F.col(c).desc() if last else F.col(c) for c in order]
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*wanted))
+    return df.withColumn("_first", number).filter("_first <= 1").drop("_first")

@@ -19,21 +19,28 @@ CONFIG_WRAPPERS = ["init_config", "config", "data"]
 CALLS_TYPE = "array<struct<name:string,arguments:string>>"
 
 
-def extract_sections(df: DataFrame, text: str, sections: Mapping[str, str]) -> DataFrame:
+def extract_sections(
+    df: DataFrame, text: str, sections: Mapping[str, str], optional: Mapping[str, str] | None = None
+) -> DataFrame:
     """Text between consecutive headings; all null and ``parsed_ok`` false when one is missing.
 
-    ``sections`` maps output column to heading, in the order the headings are expected.
+    ``sections`` maps output column to heading, in the order the headings are expected.  ``optional``
+    gives, for sections at the end that may be absent, the value they then have.
     """
-    headings = list(sections.values())
+    headings, optional = list(sections.values()), dict(optional or {})
     ok = F.lit(True)
-    for h in headings:
-        ok = ok & F.contains(F.col(text), F.lit(h))
+    for name, h in sections.items():
+        if name not in optional:
+            ok = ok & F.contains(F.col(text), F.lit(h))
     out = df.withColumn("parsed_ok", F.coalesce(ok, F.lit(False)))
     for i, (name, heading) in enumerate(sections.items()):
         body = tx.part_after(F.col(text), heading)
         if i + 1 < len(headings):
             body = tx.before(body, headings[i + 1])
-        out = out.withColumn(name, F.when(F.col("parsed_ok"), tx.strip(body)))
+        body = tx.strip(body)
+        if name in optional:
+            body = F.when(F.contains(F.col(text), F.lit(heading)), body).otherwise(optional[name])
+        out = out.withColumn(name, F.when(F.col("parsed_ok"), body))
     return out
 
 
@@ -156,6 +163,9 @@ def _call(raw: Column, names: Sequence[str], strict: bool) -> Column:
     def build(v: Column) -> Column:
         name = tx.clean(F.try_variant_get(v, "$.name", "string"))
         arguments = F.coalesce(*[field(v, n) for n in names], F.lit("{}"))
+        if not strict:  # arguments are often encoded as a string: that text is passed on as it is
+            as_text = F.try_variant_get(F.try_parse_json(arguments), "$", "string")
+            arguments = F.when(F.startswith(arguments, F.lit('"')), as_text).otherwise(arguments)
         return F.struct(name.alias("name"), arguments.alias("arguments"))
 
     def usable(call: Column) -> Column:

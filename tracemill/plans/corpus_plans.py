@@ -54,10 +54,14 @@ def _(t: Tables) -> DataFrame:
 
 @plan(
     "c4_is_allowed_charset",
-    f"SELECT doc_id, {q.CHARSET} AS allowed FROM (SELECT doc_id, text AS task FROM documents)",
+    f"""SELECT doc_id, {q.CHARSET} AS allowed FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, ' ', chr(160))
+    WHEN 1 THEN replace(text, ' ', chr(12288)) ELSE text END AS task FROM documents)""",
 )
 def _(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.is_allowed_charset("text").alias("allowed"))
+    # No-break and ideographic spaces are white space too.
+    wide = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit(" "), F.lit("\u00a0")))
+    wide = wide.when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit(" "), F.lit("\u3000"))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", tx.is_allowed_charset(wide).alias("allowed"))
 
 
 @plan(
@@ -228,7 +232,10 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(F.lit("**"), "source", F.lit("**: "), "text").alias("joined"))
 
 
-@plan("c20_sample_exact")
+@plan(
+    "c20_sample_exact",
+    "SELECT doc_id, source FROM documents ORDER BY sha256('42:' || doc_id), doc_id LIMIT 100",
+)
 def _(t: Tables) -> DataFrame:
     return corpus.sample_exact(t.documents.select("doc_id", "source"), "doc_id", 100, seed=42)
 

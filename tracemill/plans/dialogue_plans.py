@@ -258,7 +258,12 @@ def _(t: Tables) -> DataFrame:
     return dg.expand_variants(stable(t)).select("sample_id", "source_sample_id", "unstable_behavior", "user_message")
 
 
-@plan("d14_hostile_variants")
+@plan(
+    "d14_hostile_variants",
+    f"""WITH {STABLE_CTE}, p AS (SELECT * FROM st ORDER BY sha256('42:' || sample_id), sample_id LIMIT 20)
+    SELECT replace(sample_id, '_stable', '_ih') AS sample_id, sample_id AS source_sample_id, 'impatience_and_hostility' AS unstable_behavior,
+      {q.quote(fixed.HOSTILE_TEMPLATE[0])} || {q.strip('user_message')} || {q.quote(fixed.HOSTILE_TEMPLATE[1])} AS user_message FROM p""",
+)
 def _(t: Tables) -> DataFrame:
     return dg.hostile_variants(stable(t), 20, seed=42).select(
         "sample_id", "source_sample_id", "unstable_behavior", "user_message"

@@ -299,6 +299,66 @@ def _(t: Tables) -> DataFrame:
     return matching.candidate_matches(gold.nodes(t), gold.calls(t)).select("run_id", "step_index", "pos")
 
 
+# Two environments with one tool name: only in one of them must ``k`` be given and agree.
+SCHEMA_CTE = f"""{CALLS}, own AS (SELECT DISTINCT run_id, run_id % 2 = 0 AS strict FROM calls),
+wrote AS (SELECT run_id, pos, k, k >= 50 AS effect FROM calls WHERE tool = 'purchase')"""
+
+
+def _strict_nodes(t: Tables) -> DataFrame:
+    """Per run: a write with ``k`` = 42 that must have an effect (1), and a read met by either of two tools (2)."""
+    listed = F.array(
+        *[
+            F.struct(F.lit(n).alias("node"), F.lit(n).alias("step_index"), F.lit(r).alias("role"), F.lit(x).alias("tool"), F.lit(a).alias("arguments"))
+            for n, r, x, a in ((1, "write", "purchase", '{"limit": []}'), (2, "read", "view", "{}"), (2, "read", "click", "{}"))
+        ]
+    )
+    runs = t.events.select(F.col("user_id").alias("run_id")).distinct()
+    return runs.select("run_id", F.explode(listed).alias("_i")).select("run_id", "_i.*")
+
+
+def _run_schemas(t: Tables) -> DataFrame:
+    """Even runs require ``limit``, which no call gives; odd ones do not."""
+    runs = t.events.select(F.col("user_id").alias("run_id")).distinct()
+    required = F.when(F.col("run_id") % 2 == 0, F.array(F.lit("limit"))).otherwise(F.array().cast("array<string>"))
+    return runs.select("run_id", F.lit("purchase").alias("tool"), required.alias("required"), F.create_map().cast("map<string,string>").alias("defaults"))
+
+
+def _strict_candidates(t: Tables) -> DataFrame:
+    """Purchases with ``k`` of 50 and more change the state, others do nothing."""
+    path = F.array(F.lit("orders"), F.lit("last"))
+    wanted = _strict_nodes(t).filter("node = 1").select(
+        "run_id", "node", path.alias("path"), F.lit("changed").alias("op"), F.lit("O").alias("old_value"), F.lit("P").alias("new_value")
+    )
+    calls = gold.calls(t)
+    effect = (F.col("tool") == "purchase") & (F.get_json_object("arguments", "$.k").cast("int") >= 50)
+    shown = calls.filter(effect).select(
+        "run_id", "pos", path.alias("path"), F.lit("changed").alias("op"), F.lit("O").alias("old_value"), F.lit("P").alias("new_value")
+    )
+    return matching.candidate_matches(
+        _strict_nodes(t), calls, _run_schemas(t), matching.diff_facts(wanted, ["run_id", "node"]), matching.diff_facts(shown, ["run_id", "pos"])
+    )
+
+
+@plan(
+    "r6_schema_and_diff",
+    f"""WITH {SCHEMA_CTE} SELECT run_id, 1 AS node, 'purchase' AS tool, pos FROM wrote JOIN own USING (run_id) WHERE NOT strict AND effect
+    UNION ALL SELECT run_id, 2, tool, pos FROM calls WHERE tool IN ('view', 'click')""",
+)
+def _(t: Tables) -> DataFrame:
+    return _strict_candidates(t).select("run_id", "node", "tool", "pos")
+
+
+@plan(
+    "r7_alternatives",
+    f"""WITH {SCHEMA_CTE}, a AS (SELECT run_id, min(pos) AS p1 FROM wrote JOIN own USING (run_id) WHERE NOT strict AND effect GROUP BY run_id),
+    b AS (SELECT run_id, min(pos) AS p2 FROM calls WHERE tool IN ('view', 'click') GROUP BY run_id)
+    SELECT run_id, 1 AS node, 'write' AS role, 'purchase' AS tool, p1 AS position FROM own LEFT JOIN a USING (run_id)
+    UNION ALL SELECT run_id, 2, 'read', 'click', p2 FROM own LEFT JOIN b USING (run_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    return matching.greedy_assign(_strict_nodes(t), _strict_candidates(t)).select("run_id", "node", "role", "tool", "position")
+
+
 @plan("r7_greedy_assign", f"WITH {GREEDY} SELECT run_id, step_index, role, tool, position FROM assigned")
 def _(t: Tables) -> DataFrame:
     return assigned(t).drop("node")
@@ -327,21 +387,22 @@ def _(t: Tables) -> DataFrame:
 
 @plan(
     "r11_diff_contained",
-    f"""WITH {DIFF_CTE}, made AS (SELECT run_id, path, new_value FROM diff WHERE op = 'changed'),
-    need AS (SELECT o_custkey AS run_id, 'orders.' || o_orderkey || '.status' AS path FROM orders WHERE o_orderstatus = 'P')
-    SELECT run_id, bool_and(coalesce(new_value = 'P', false)) AS contained FROM need LEFT JOIN made USING (run_id, path) GROUP BY run_id""",
+    f"""WITH {DIFF_CTE}, made AS (SELECT run_id, path, old_value, new_value FROM diff WHERE op = 'changed'),
+    need AS (SELECT o_custkey AS run_id, 'orders.' || o_orderkey || '.status' AS path, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE 'O' END AS was
+      FROM orders WHERE o_orderstatus = 'P')
+    SELECT run_id, bool_and(coalesce(new_value = 'P' AND old_value = was, false)) AS contained FROM need LEFT JOIN made USING (run_id, path) GROUP BY run_id""",
 )
 def _(t: Tables) -> DataFrame:
-    made = order_diff(t).filter("op = 'changed'").select(
-        "run_id", "path", F.lit("string").alias("kind"), F.col("new_value").alias("value")
-    )
+    made = matching.diff_facts(state.diff_leaves(bridge.state_before(t), bridge.state_after(t), ["run_id"]), ["run_id"])
+    # A change from another old value is not the change that is asked for.
     need = t.orders.filter("o_orderstatus = 'P'").select(
         F.col("o_custkey").alias("run_id"),
         F.array(F.lit("orders"), F.col("o_orderkey").cast("string"), F.lit("status")).alias("path"),
-        F.lit("string").alias("kind"),
-        F.lit("P").alias("value"),
+        F.lit("changed").alias("op"),
+        F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise("O").alias("old_value"),
+        F.lit("P").alias("new_value"),
     )
-    return matching.contained(need, made, ["run_id"], empty_objects=False)
+    return matching.contained(matching.diff_facts(need, ["run_id"]), made, ["run_id"], empty_objects=False)
 
 
 @plan(
@@ -362,6 +423,19 @@ def _(t: Tables) -> DataFrame:
     return judged.select("run_id", "refusal_satisfied")
 
 
+@plan(
+    "r14_spelled_as_called",
+    f"""WITH {CALLS}, w AS (SELECT run_id, pos, CASE tool WHEN 'purchase' THEN 'Buy_Item' ELSE 'buy_item' END AS tool, k FROM calls WHERE is_write)
+    SELECT run_id, 'buy item' AS rule, arg_min(tool, pos) AS tool FROM w GROUP BY run_id
+    UNION ALL SELECT run_id, 'BUY_ITEM on 7', arg_min(tool, pos) FROM w WHERE k = 7 GROUP BY run_id""",
+)
+def _(t: Tables) -> DataFrame:
+    calls = gold.calls(t).withColumn("tool", F.when(F.col("tool") == "purchase", "Buy_Item").otherwise("buy_item"))
+    rules = t.events.select(F.col("user_id").alias("run_id")).distinct()
+    rules = rules.select("run_id", F.explode(F.array(F.lit("buy item"), F.lit("BUY_ITEM on 7"))).alias("rule"))
+    return matching.forbidden_hits(rules, calls)
+
+
 @plan("r14_forbidden_hits", f"WITH {CALLS}, {FORBID} SELECT run_id, rule, tool FROM broken")
 def _(t: Tables) -> DataFrame:
     return matching.forbidden_hits(gold.rules(t), gold.calls(t))

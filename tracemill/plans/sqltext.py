@@ -32,7 +32,9 @@ def clean_task(expr: str, levels: int = 3) -> str:
 
 MEDIA = " OR ".join(f"contains(lower(task), {quote(w)})" for w in fixed.MEDIA_WORDS)
 BLOCKED = " OR ".join(f"contains(task, {quote(w)})" for w in fixed.BLOCKED_TERMS)
-CHARSET = f"regexp_full_match(task, {quote(fixed.ALLOWED_TASK_CHARS[1:-1])})"
+# RE2's \\s is ASCII only and lacks \\x0b.
+SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+CHARSET = f"regexp_full_match(task, {quote(fixed.ALLOWED_TASK_CHARS[1:-1].replace(chr(92) + 's', SPACES, 1))})"
 REJECT = (
     f"CASE WHEN task IS NULL THEN 'empty' WHEN NOT {CHARSET} THEN 'charset' "
     f"WHEN {MEDIA} THEN 'media' WHEN {BLOCKED} THEN 'blocked_term' END"

@@ -29,6 +29,17 @@ def _(t: Tables) -> DataFrame:
     return parsed.select("doc_id", "parsed_ok", "analysis", textcols.yes_no("answer").alias("verdict"))
 
 
+@plan(
+    "x1_optional_section",
+    f"""SELECT doc_id, true AS parsed_ok, {q.strip('text')} AS analysis, CASE WHEN lang = 'en' THEN 'T1, S2' ELSE 'none' END AS codes FROM documents""",
+)
+def _(t: Tables) -> DataFrame:
+    raw = F.concat(F.lit("# Analysis\n"), "text", F.when(F.col("lang") == "en", "\n# Conflict Codes\n T1, S2 \n").otherwise(""))
+    sections = {"analysis": "# Analysis", "codes": "# Conflict Codes"}
+    rows = t.documents.select("doc_id", raw.alias("raw"))
+    return textcols.extract_sections(rows, "raw", sections, optional={"codes": "none"}).drop("raw")
+
+
 @plan(
     "x2_extract_scores",
     "SELECT doc_id, n_chars::INT AS usefulness, CASE WHEN lang = 'en' THEN length(source) END AS modelability FROM documents",
@@ -94,7 +105,7 @@ def _(t: Tables) -> DataFrame:
     "x5_extract_tool_calls",
     """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)
     SELECT event_id, CASE event_type WHEN 'signup' THEN 'tagged' WHEN 'purchase' THEN 'python_tag' WHEN 'click' THEN 'json' WHEN 'view' THEN 'json_list' ELSE 'none' END AS call_format,
-      CASE event_type WHEN 'signup' THEN 'signup{"k":' || k || '};other{}' WHEN 'purchase' THEN 'purchase{"k":' || k || '}' WHEN 'click' THEN 'click{"k":' || k || '}'
+      CASE event_type WHEN 'signup' THEN 'signup{"k":' || k || '};other{}' WHEN 'purchase' THEN 'purchase{"k": ' || k || '}' WHEN 'click' THEN 'click{"k":' || k || '}'
         WHEN 'view' THEN 'view{};view{"k":' || k || '}' ELSE '' END AS calls,
       CASE event_type WHEN 'signup' THEN 'before  after' WHEN 'purchase' THEN 'so' WHEN 'error' THEN 'just text ' || k ELSE '' END AS remaining_text FROM e""",
 )
@@ -105,7 +116,8 @@ def _(t: Tables) -> DataFrame:
         F.lit('<think>hmm <tool_call></think>before <tool_call>\n{"name": "signup", "arguments": '), args,
         F.lit('}</tool_call> <tool_call>broken</tool_call><tool_call>{"name": "other"}</tool_call>after'),
     )
-    python = F.concat(F.lit('so <|python_tag|>{"name": "purchase", "parameters": '), args, F.lit("}<|eom_id|>"))
+    # Arguments encoded as a string stay as they are.
+    python = F.concat(F.lit('so <|python_tag|>{"name": "purchase", "parameters": "{\\"k\\": '), k, F.lit('}"}<|eom_id|>'))
     single = F.concat(F.lit(' {"name": "click", "parameters": {}, "arguments": '), args, F.lit("} "))
     many = F.concat(F.lit('[{"name": "view"}, 7, {"name": "view", "arguments": '), args, F.lit("}]"))
     raw = (

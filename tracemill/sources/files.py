@@ -16,15 +16,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(full).option("columnNameOfCorruptRecord", CORRUPT).json(path)
 
 
-def _entries(value: Column) -> Column:
-    """(source_key, source_index, record) entries of a list or mapping variant."""
+def _entries(value: Column, text: Column) -> Column:
+    """(source_key, source_index, record) entries of a list or mapping variant, in the order of ``text``."""
     items = F.try_variant_get(value, "$", "array<variant>")
     pairs = F.try_variant_get(value, "$", "map<string,variant>")
     listed = F.transform(items, lambda v, i: F.struct(i.cast("string").alias("source_key"), i.alias("source_index"), v.alias("record")))
+    # A parsed mapping is sorted by key; the document's own order comes from its text.
+    order = F.json_object_keys(text)
     mapped = F.transform(
-        F.map_entries(pairs), lambda e, i: F.struct(e["key"].alias("source_key"), i.alias("source_index"), e["value"].alias("record"))
+        F.map_entries(pairs),
+        lambda e, i: F.struct(
+            e["key"].alias("source_key"),
+            F.coalesce(F.array_position(order, e["key"]).cast("int") - 1, i).alias("source_index"),
+            e["value"].alias("record"),
+        ),
     )
-    return F.coalesce(listed, mapped)
+    return F.coalesce(listed, F.array_sort(mapped, lambda a, b: a["source_index"] - b["source_index"]))
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -32,16 +39,17 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
     One row per record with its key, index and JSON text; records that are not objects keep
     ``is_object`` false so a filtered copy can pass them through.  A file is one JSON document, so
-    parallelism comes from the number of files; large collections belong in JSON lines.
+    parallelism comes from the number of files; large collections belong in JSON lines.  A file above
+    2 GB cannot be one row and fails the read.
     """
     docs = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), F.try_parse_json("value").alias("_v")
+        F.col("_metadata.file_path").alias("source_file"), F.try_parse_json("value").alias("_v"), F.col("value").alias("_text")
     )
     inner = F.try_variant_get("_v", "$.items", "array<variant>")
     wrapped = F.transform(
         inner, lambda v, i: F.struct(i.cast("string").alias("source_key"), i.alias("source_index"), v.alias("record"))
     )
-    rows = docs.select("source_file", F.explode(F.coalesce(wrapped, _entries(F.col("_v")))).alias("_e"))
+    rows = docs.select("source_file", F.explode(F.coalesce(wrapped, _entries(F.col("_v"), F.col("_text")))).alias("_e"))
     text = F.to_json("_e.record")
     return rows.select(
         "source_file",
