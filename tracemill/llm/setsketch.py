@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked; a component is named by its smallest id, and that document is kept.
 
     1. One pass makes registers and a 128-bit fingerprint of each set; equal sets become one representative.
-    2. Bands of register values are hashed; in a bucket each member is paired with the smallest id, and of
+    2. Bands of register values are hashed; in a bucket each member is paired with the bucket's leader, and of
        a member's leaders the one that shares most bands is tried first.
     3. Pairs pass the joint likelihood estimate, then a test on whole sets; components follow.
     4. In buckets that still hold several components all pairs between these are tried the same way, block
@@ -201,11 +201,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     width = 2 * ROWS
     keys = [F.xxhash64(F.lit(i), F.substring("regs", i * width + 1, width)) for i in range(m // ROWS)]
     banded = sets.select("id", F.explode(F.array(*keys)).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    members = materialize(banded.join(materialize(buckets, "buckets"), "key"), "members")
-
-    shared = members.filter("id <> leader").groupBy("id", "leader").agg(F.count("*").alias("bands"))
-    first = shared.groupBy("id").agg(F.max(F.struct("bands", (-F.col("leader")).alias("least"))).alias("best"))
+    buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "buckets")
+    members = materialize(banded.join(buckets, "key"), "members")
+
+    # A bucket is led by the member that shares buckets with most others over all bands: in a group of copies
+    # that is the one in the middle, to which more of them are linked than to any other.
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    heads = members.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("least"))).alias("head"))
+    heads = materialize(heads.select("key", F.col("head.weight").alias("weight"), (-F.col("head.least")).alias("leader")), "heads")
+    shared = members.join(heads, "key").filter("id <> leader").groupBy("id", "leader", "weight").agg(F.count("*").alias("bands"))
+    first = shared.groupBy("id").agg(F.max(F.struct("bands", "weight", (-F.col("leader")).alias("least"))).alias("best"))
     first = first.select((-F.col("best.least")).alias("a"), F.col("id").alias("b"))
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
@@ -217,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     placed = materialize(placed.join(mixed, "key").join(sets.drop("set_key"), "id"), "mixed")
-    crossed = _cross_pairs(placed, percent, m).join(first, ["a", "b"], "left_anti")
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    crossed = _cross_pairs(placed, percent, m).join(tried, ["a", "b"], "left_anti")
     more = materialize(_filter_pairs(crossed.join(right, "b").join(left, "a"), percent, m), "likely")
     links = links.union(materialize(_verified(more, base, shingle, percent), "links"))
 
