@@ -21,7 +21,7 @@ TEMPER, MOST_EVIDENCE = 0.25, 400
 #: Smoothing: pseudo-rows that a host borrows from its suffix, a suffix from all rows, and a declaration from chance.
 HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 20.0, 50.0, 10.0
 #: A row is rejected if the posterior of its best language is lower, or if its text is less likely per trigram than the
-#: training rows' mean by so many of their deviations (and at least ``LEAST_DROP`` nats).
+#: training rows' median by so many of their deviations (and at least ``LEAST_DROP`` nats).
 LEAST_POSTERIOR, MOST_DEVIATIONS, LEAST_DROP = 0.5, 8.0, 1.5
 
 
@@ -39,7 +39,7 @@ def trigrams(text: bytes) -> np.ndarray:
 def fit_text_model(rows: DataFrame) -> dict:
     """Trigram model of each language from ``rows(label, text)``: a bounded sample counted in the tasks.
 
-    Returns the languages in order, log likelihoods (language x bin), and mean and deviation of the
+    Returns the languages in order, log likelihoods (language x bin), and median and deviation of the
     training rows' log likelihood per trigram.
     """
     many = rows.filter("label IS NOT NULL").groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
@@ -82,8 +82,9 @@ def fit_text_model(rows: DataFrame) -> dict:
                 yield from out.add((label, float(model["table"][names.index(label)][bins].mean())))
         yield from out.flush()
 
-    fits = picks.mapInArrow(fit, "label string, x double").groupBy("label").agg(F.mean("x").alias("m"), F.stddev_pop("x").alias("s")).collect()
-    found = {r["label"]: (r["m"], r["s"]) for r in fits}
+    fits = picks.mapInArrow(fit, "label string, x double").groupBy("label").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()
+    # Median and quartiles: texts that bear a wrong label do not stretch the spread.
+    found = {r["label"]: (r["q"][1], (r["q"][2] - r["q"][0]) / 1.349) for r in fits}
     model["mean"] = np.array([found.get(n, (-99.0, 0.0))[0] for n in names])
     model["spread"] = np.array([found.get(n, (-99.0, 0.0))[1] for n in names])
     return model
