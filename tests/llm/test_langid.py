@@ -16,7 +16,7 @@ def test_held_out_accuracy_and_rejection(spark):
     truth = {i: lang for i, _, lang, _ in rows}
     # Some declare the wrong language, some nothing; foreign text has none of the trigrams.
     rows = [(i, t, "bb" if i % 50 == 0 else None if i % 7 == 0 else lang, s) for i, t, lang, s in rows]
-    rows += [(5000 + i, " ".join("".join(rng.choice("zxwvyjq#") for _ in range(6)) for _ in range(50)), "aa", "s0") for i in range(20)]
+    rows += [(5000 + i, " ".join("".join(rng.choice("zxwvyjq#") for _ in range(6)) for _ in range(50)), None, "s0") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["id"]: r for r in li.identify_documents(df).collect()}
     right = sum(got[i]["language"] == lang and got[i]["kept"] for i, lang in truth.items())

@@ -22,7 +22,7 @@ TEMPER, MOST_EVIDENCE = 0.25, 400
 HOST_PRIOR, SUFFIX_PRIOR, DECLARED_PRIOR = 20.0, 50.0, 10.0
 #: A row is rejected if the posterior of its best language is lower, or if its text is less likely per trigram than the
 #: training rows' median by so many of their deviations (and at least ``LEAST_DROP`` nats).
-LEAST_POSTERIOR, MOST_DEVIATIONS, LEAST_DROP = 0.5, 8.0, 1.5
+LEAST_POSTERIOR, MOST_DEVIATIONS, LEAST_DROP = 0.5, 8.0, 5.0
 
 
 def trigrams(text: bytes) -> np.ndarray:
@@ -135,7 +135,7 @@ def _sums(rows: DataFrame, keys: list[str], n: int, weights: str) -> DataFrame:
 
 
 def identify(rows: DataFrame, model: dict) -> DataFrame:
-    """Fuse evidence of ``rows(id, text, declared, suffix, host)``: ``id, language, posterior, text_language, kept``.
+    """Fuse evidence of ``rows(id, text, declared, suffix, host)``: ``id, language, posterior, text_language, drop, kept``.
 
     Text posteriors (with equal priors) are summed per host, per suffix and over all rows; a host's prior is
     smoothed by its suffix's, and that by the overall one.  Summed per declared value they give how often a
@@ -149,7 +149,7 @@ def identify(rows: DataFrame, model: dict) -> DataFrame:
     n = len(names)
     if not n:
         none = F.lit(None)
-        return rows.select("id", none.cast("string").alias("language"), none.cast("double").alias("posterior"), none.cast("string").alias("text_language"), F.lit(False).alias("kept"))
+        return rows.select("id", none.cast("string").alias("language"), none.cast("double").alias("posterior"), none.cast("string").alias("text_language"), none.cast("double").alias("drop"), F.lit(False).alias("kept"))
     scored = materialize(text_evidence(rows, model), "evidence")
     even = F.array(*(F.lit(1.0 / n) for _ in names))
     scored = scored.withColumn("soft", F.when(F.col("text_log").isNotNull(), _softmax(F.col("text_log"))))
@@ -180,7 +180,7 @@ def identify(rows: DataFrame, model: dict) -> DataFrame:
     language = F.element_at(known, F.array_position("_post", F.col("posterior")).cast("int"))
     text_language = F.element_at(known, F.array_position("soft", F.array_max("soft")).cast("int"))
     kept = F.coalesce((F.col("posterior") >= LEAST_POSTERIOR) & (F.col("drop") <= 1.0), F.lit(False))
-    return out.select("id", language.alias("language"), "posterior", text_language.alias("text_language"), kept.alias("kept"))
+    return out.select("id", language.alias("language"), "posterior", text_language.alias("text_language"), "drop", kept.alias("kept"))
 
 
 def identify_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:

@@ -184,14 +184,14 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
 
     Null or empty texts have no paragraph and no family.  Rows repeat as they are; null ids are carried through.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x families numbers
+    shared = docs.sparkSession.sparkContext.broadcast((model.families, model.weights, model.bias, model.temperature))  # BINS x families numbers
     schema = pa.schema(
         [("id", pa.int64()), ("families", pa.list_(pa.string())), ("n_paragraphs", pa.int64()), ("n_licence", pa.int64())]
         + [("n_unconfirmed", pa.int64()), ("confidence", pa.float64()), ("restricted", pa.bool_())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]):
-        m, out = shared.value, Emitter(schema)
+        m, out = Classifier(*shared.value), Emitter(schema)
         for key, text in rows_of(batches, "id", "text"):
             own = units(text or b"")
             found, hits, loose, sure = set(), 0, 0, 0.0
