@@ -105,8 +105,16 @@ def test_blueprint_rules(spark, tables):
     from tracemill.sources import tasks as src
 
     base = src.candidates(tables).filter("dialogue_mode = 'single_turn' AND env_id = '1-URGENT' AND goal_summary <> ' '").limit(1)
-    step = "array(named_struct('tool_name', '{}', 'arguments', '{}'))"
-    good = base.withColumn("tool_plan", F.expr(step.format("tool_1", "{}"))).withColumn("user_request", F.lit("please help"))
+    task, env = base.select("task_id", "env_id").first()
+    good = base.withColumn("user_request", F.lit("please help"))
+    tools = src.known_tools(tables)
+
+    def planned(*steps):
+        rows = [(task, env, i, *s) for i, s in enumerate(steps, 1)]
+        df = spark.createDataFrame(rows, "task_id long, env_id string, step long, tool_name string, arguments string")
+        return bp.plan_facts(df, tools, "task_id", "env_id")
+
+    ok = ("tool_1", "{}")
     cases = {
         None: {},
         "dialogue_mode must be single_turn or multi_turn": {"dialogue_mode": "'chat'"},
@@ -116,15 +124,17 @@ def test_blueprint_rules(spark, tables):
         "agent_action_budget must be within 1-50": {"agent_action_budget": "0"},
         "expected_phases must contain at least one non-empty item": {"expected_phases": "array(' ')"},
         "multi_turn_tasks must be a list for multi_turn tasks": {"dialogue_mode": "'multi_turn'"},
-        "tool_plan step 1 uses unknown tool 'nope'": {"tool_plan": step.format("nope", "{}")},
-        "tool_plan step 1 arguments must be an object": {"tool_plan": step.format("tool_1", "[1]")},
+        "tool_plan step 1 uses unknown tool 'nope'": {"steps": [("nope", "{}")]},
+        "tool_plan step 3 arguments must be an object": {"steps": [ok, ok, ("tool_1", "[1]"), ("nope", "{}")]},
+        "tool_plan length must be within 0-6": {"steps": [ok] * 40},
         "tool_call_budget is smaller than the proposed tool plan length": {"tool_call_budget": "'0'"},
         "user_request leaks hidden tool names or identifiers": {"user_request": "'use TOOL_1 now'"},
     }
     for reason, change in cases.items():
-        df = good
+        df = good.join(planned(*change.get("steps", [ok])), "task_id")
         for column, expr in change.items():
-            df = df.withColumn(column, F.expr(expr))
+            if column != "steps":
+                df = df.withColumn(column, F.expr(expr))
         assert bp.validate_blueprint(df).first().reason == reason
 
 

@@ -3,7 +3,6 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import state
@@ -11,7 +10,7 @@ from tracemill.operators import state
 
 def leaves(spark, docs, **kw):
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "run_id string, doc string")
-    return state.flatten_state(df, ["run_id"], "doc", max_depth=6, **kw)
+    return state.flatten_state(df, ["run_id"], "doc", **kw)
 
 
 def rows(df, *names):
@@ -32,10 +31,11 @@ def test_flatten_expands_arrays(spark):
     assert got == {(("d", "[0]"), "1.0"), (("d", "[1]", "x"), "2.0"), (("d", "[#]"), "2.0"), (("e", "[#]"), "0.0")}
 
 
-def test_too_deep_raises(spark):
-    df = spark.createDataFrame([("r", '{"a":{"b":{"c":1}}}')], "run_id string, doc string")
-    with pytest.raises(Exception, match="nested deeper"):
-        state.flatten_state(df, ["run_id"], "doc", max_depth=2).collect()
+def test_any_depth_is_opened(spark):
+    deep = '{"a":' * 40 + '{"x}]":"{[\\\\\\""}' + "}" * 40
+    df = spark.createDataFrame([("r", deep), ("s", '{"b":1}'), ("t", "broken")], "run_id string, doc string")
+    got = {(r.run_id, len(r.path), r.path[-1], r.value) for r in state.flatten_state(df, ["run_id"], "doc").collect()}
+    assert got == {("r", 41, "x}]", '{[\\"'), ("s", 1, "b", "1.0")}
 
 
 def reference_diff(old, new, path=()):

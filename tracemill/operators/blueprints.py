@@ -55,12 +55,28 @@ def micro_turns(tasks: Column, entities: Column, default_type: Column, limit: in
     )
 
 
+def plan_facts(steps: DataFrame, tools: DataFrame, task: str, env: str) -> DataFrame:
+    """Per task: ``step_count`` and the first step that cannot run, ``bad_step(step, tool, known)``.
+
+    ``steps(task, env, step, tool_name, arguments)`` holds plans of any length as rows;
+    ``tools(env, tool_name)`` are the environments' own tools.
+    """
+    known = tools.select(env, "tool_name").distinct().withColumn("_known", F.lit(True))
+    tool = tx.clean("tool_name", "")
+    judged = steps.withColumn("tool_name", tool).join(known, [env, "tool_name"], "left")
+    is_object = F.coalesce(F.startswith(F.to_json(F.try_parse_json("arguments")), F.lit("{")), F.lit(False))
+    bad = F.col("_known").isNull() | ~is_object
+    entry = F.struct("step", F.col("tool_name").alias("tool"), F.col("_known").isNotNull().alias("known"))
+    return judged.groupBy(task).agg(
+        F.count(F.lit(1)).alias("step_count"), F.min_by(F.when(bad, entry), F.when(bad, F.col("step"))).alias("bad_step")
+    )
+
+
 def validate_blueprint(df: DataFrame) -> DataFrame:
     """Add ``reason``: the first broken rule, or null.
 
-    ``tool_plan`` may be cut after ``MAX_PLAN + 1`` steps by the caller: a longer plan is
-    rejected for its length before any step is looked at.  ``known_tools`` is the
-    environment's own tool list.
+    ``step_count`` and ``bad_step`` come from :func:`plan_facts`; a null ``step_count`` means that the plan is
+    no list.  ``known_tools`` is the environment's own tool list.
     """
     goal, request, outcome = tx.clean("goal_summary"), tx.clean("user_request"), tx.clean("expected_final_outcome")
     mode = tx.clean("dialogue_mode", "single_turn")
@@ -71,25 +87,18 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     entities = F.coalesce("relevant_entities", none)
     turns = F.col("_turns")
-    plan = F.col("tool_plan")
-    steps = F.size(plan)
-    unknown = F.filter(
-        F.transform(plan, lambda s, i: F.struct((i + 1).alias("step"), tx.clean(s["tool_name"], "").alias("tool"), s["arguments"].alias("arguments"))),
-        lambda s: ~F.array_contains("known_tools", s["tool"])
-        | ~F.coalesce(F.startswith(F.to_json(F.try_parse_json(s["arguments"])), F.lit("{")), F.lit(False)),
-    )
+    steps = F.col("step_count")
     # Named columns keep the costly pieces from being evaluated once per rule.
     staged = df.withColumns(
         {
             "_turns": micro_turns(F.col("multi_turn_tasks"), entities, task_type, limit=3),
-            "_bad": F.get(unknown, F.lit(0)),
             "_leaks": (F.size(leaked_tools(request, F.col("known_tools"))) > 0)
             | (F.size(leaked_entities(request, entities)) > 0),
         }
     )
-    bad = F.col("_bad")
+    bad = F.col("bad_step")
     bad_step = F.when(
-        F.array_contains("known_tools", bad["tool"]),
+        bad["known"],
         F.concat(F.lit("tool_plan step "), bad["step"].cast("string"), F.lit(" arguments must be an object")),
     ).otherwise(
         F.concat(F.lit("tool_plan step "), bad["step"].cast("string"), F.lit(" uses unknown tool '"), bad["tool"], F.lit("'"))
@@ -106,7 +115,7 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
         .when(F.size(_texts("expected_phases")) == 0, "expected_phases must contain at least one non-empty item")
         .when((mode == "multi_turn") & F.col("multi_turn_tasks").isNull(), "multi_turn_tasks must be a list for multi_turn tasks")
         .when((mode == "multi_turn") & (F.size(turns) < 2), "multi_turn tasks need at least two coherent turn entries")
-        .when(plan.isNull(), "tool_plan must be a list")
+        .when(steps.isNull(), "tool_plan must be a list")
         .when(steps > MAX_PLAN, "tool_plan length must be within 0-6")
         .when((steps == 0) & (task_type == "execute"), "execute tasks must contain at least one tool step")
         .when(
@@ -121,7 +130,7 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
         .when(calls < steps, "tool_call_budget is smaller than the proposed tool plan length")
         .when(F.col("_leaks"), "user_request leaks hidden tool names or identifiers")
     )
-    return staged.withColumn("reason", reason).drop("_turns", "_bad", "_leaks")
+    return staged.withColumn("reason", reason).drop("_turns", "_leaks")
 
 
 # --- containment join -------------------------------------------------------------------------
@@ -228,13 +237,18 @@ def reject_duplicates(df: DataFrame, env: str, fingerprint: str, order: str) ->
 
 
 def running_coverage_target(
-    df: DataFrame, env: str, order: str, block: Column, target: int, min_buckets: int = 2
+    df: DataFrame, env: str, order: str, block: Column, target: int, min_buckets: int = 2, accepted: str | None = None
 ) -> DataFrame:
-    """What the next blueprint of an environment has to cover, given the ones before it."""
-    flag = lambda c, v: F.when(F.col(c) == v, 1).otherwise(0)
+    """What the next blueprint of an environment has to cover, given the accepted ones before it.
+
+    ``accepted`` names a boolean column; candidates that were rejected do not count as progress.
+    """
+    counts = F.lit(True) if accepted is None else F.coalesce(F.col(accepted), F.lit(False))
+    flag = lambda c, v: F.when(counts & (F.col(c) == v), 1).otherwise(0)
     modes = {f"_m{i}": flag("dialogue_mode", m) for i, m in enumerate(fixed.DIALOGUE_MODES)}
     buckets = {f"_b{i}": flag("difficulty_bucket", b) for i, b in enumerate(fixed.DIFFICULTY_BUCKETS)}
-    out = running_before(df, [env], [order], block, sums={"accepted": F.lit(1)}, maxes={**modes, **buckets})
+    out = running_before(df, [env], [order], block, sums={"_done": F.when(counts, 1).otherwise(0)}, maxes={**modes, **buckets})
+    out = out.withColumn("_done", F.col("_done").cast("int"))
 
     def listed(names: list[str], prefix: str, present: bool) -> Column:
         picks = [
@@ -245,7 +259,7 @@ def running_coverage_target(
     out = out.withColumn("missing_modes", listed(fixed.DIALOGUE_MODES, "_m", False))
     out = out.withColumn("present_buckets", listed(fixed.DIFFICULTY_BUCKETS, "_b", True))
     open_buckets = listed(fixed.DIFFICULTY_BUCKETS, "_b", False)
-    remaining = F.lit(target) - F.col("accepted")
+    remaining = F.lit(target) - F.col("_done")
     lacking = F.greatest(F.lit(0), F.lit(min_buckets) - F.size("present_buckets"))
     slots = F.array(
         *[
@@ -255,11 +269,11 @@ def running_coverage_target(
             for n, m, b, lo, hi in fixed.COVERAGE_SLOTS
         ]
     )
-    slot = F.when((F.lit(target) >= 4) & (F.col("accepted") < 4), F.get(slots, F.col("accepted")))
+    slot = F.when((F.lit(target) >= 4) & (F.col("_done") < 4), F.get(slots, F.col("_done")))
     out = out.withColumn("_slot", slot).withColumn("require_new_bucket", (lacking > 0) & (remaining <= lacking))
     return out.select(
-        *df.columns,
-        "accepted",
+        *[c for c in df.columns if c != "accepted"],
+        F.col("_done").cast("long").alias("accepted"),
         F.col("_slot.name").alias("slot_name"),
         "missing_modes",
         "present_buckets",
@@ -352,19 +366,28 @@ def micro_tasks(df: DataFrame, task: str) -> DataFrame:
     return named.withColumn("subtask", F.coalesce("subtask", F.concat(F.lit("subtask_"), F.col("position").cast("string"))))
 
 
-def replay_outcome(trace: DataFrame, task: str, step: str) -> DataFrame:
-    """Verdict on a recorded replay: first failure or early end, else whether state changed."""
+def replay_outcome(trace: DataFrame, task: str, step: str, final: DataFrame | None = None) -> DataFrame:
+    """Verdict on a recorded replay: first failure or early end, else whether state changed.
+
+    ``final(task, state_changed)`` tells whether the final state differs from the initial one; steps that
+    cancel out leave no change.  Its tasks without a step are valid as they stand.
+    """
     stops = F.col("failed") | F.col("ended")
     seen = trace.groupBy(task).agg(
         F.min_by(F.struct(step, "failed"), F.when(stops, F.col(step))).alias("_stop"),
         F.count(F.lit(1)).alias("step_count"),
         F.count_if("has_diff").alias("mutating_count"),
     )
+    changed = F.lit(True)
+    if final is not None:
+        seen = final.select(task, "state_changed").join(seen, task, "left").fillna(0, ["step_count", "mutating_count"])
+        changed = F.coalesce(F.col("state_changed"), F.lit(False)) | (F.col("step_count") == 0)
     at = F.col(f"_stop.{step}").cast("string")
     reason = (
         F.when(F.col("_stop.failed"), F.concat(F.lit("tool step "), at, F.lit(" failed")))
         .when(F.col("_stop").isNotNull(), F.concat(F.lit("environment terminated early at tool step "), at))
-        .when(F.col("mutating_count") < 1, "replay produced no objective state change")
+        .when(~changed, "replay produced no objective state change")
+        .when((F.col("step_count") > 0) & (F.col("mutating_count") < 1), "replay did not include any mutating tool step")
     )
     return seen.select(task, "step_count", "mutating_count", reason.alias("reason"), reason.isNull().alias("is_valid"))
 

@@ -16,8 +16,6 @@ from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
 from tracemill.operators.running import first_per_key, with_position, with_previous
 
-MAX_DEPTH = 16
-
 
 def canonical_json(c: Column | str) -> Column:
     """Sorted-key, minified JSON text; null when the input does not parse."""
@@ -57,18 +55,30 @@ def _children(v: Column, expand_arrays: bool) -> Column:
     return F.coalesce(fields, F.concat(numbered, F.when(items.isNotNull(), length)))
 
 
-def flatten_state(
-    df: DataFrame, keys: Sequence[str], json_col: str, max_depth: int = MAX_DEPTH, expand_arrays: bool = False
-) -> DataFrame:
+def nesting_depth(json_text: Column | str) -> Column:
+    """Levels of objects and arrays in a JSON text: the largest running count of open brackets outside strings."""
+    marks = F.regexp_replace(F.regexp_replace(tx.col(json_text), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = acc["open"] + F.when(mark.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda m: m != ""), start, step)["most"]
+
+
+def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, expand_arrays: bool = False) -> DataFrame:
     """Leaf table of a JSON object column, in one narrow pass without a shuffle.
 
     Every level opens the objects found at the level above; rows that are already leaves pass
-    through.  States nested deeper than ``max_depth`` raise instead of being cut.
+    through.  The number of levels is taken from the data (one aggregated row), so any depth is opened.
     """
+    parsed = df.filter(F.try_parse_json(json_col).isNotNull())
+    levels = parsed.agg(F.max(nesting_depth(json_col)).alias("n")).first()["n"] or 0
     rows = df.select(
         *keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("_v")
     ).filter(F.col("_v").isNotNull())
-    for _ in range(max_depth):
+    for _ in range(levels):
         opened = rows.select(*keys, "path", "_v", F.explode_outer(_children(F.col("_v"), expand_arrays)).alias("_e"))
         leaf = F.col("_e").isNull()
         rows = opened.select(
@@ -78,10 +88,8 @@ def flatten_state(
         )
     text = F.to_json("_v")
     leaves = rows.select(*keys, "path", "_v", F.coalesce(text, F.lit("null")).alias("_t"))
-    too_deep = (_kind(F.col("_t")) == "object") & (F.col("_t") != "{}")
     value = (
-        F.when(too_deep, F.raise_error(F.lit(f"state nested deeper than {max_depth}")))
-        .when(_kind(F.col("_t")) == "string", F.try_variant_get("_v", "$", "string"))
+        F.when(_kind(F.col("_t")) == "string", F.try_variant_get("_v", "$", "string"))
         .when(_kind(F.col("_t")) == "number", F.try_variant_get("_v", "$", "double").cast("string"))
         .otherwise(F.col("_t"))
     )

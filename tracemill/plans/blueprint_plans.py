@@ -25,7 +25,7 @@ steps AS (SELECT l_orderkey AS task_id, count(*) AS step_count FROM lineitem GRO
 
 @plan(
     "b1_validate_blueprint",
-    f"""WITH {TASKS}, {TRACE}, first_bad AS (SELECT task_id, min(step_index) AS step FROM trace WHERE tool_name = 'tool_7' AND step_index <= 6 GROUP BY 1),
+    f"""WITH {TASKS}, {TRACE}, first_bad AS (SELECT task_id, min(step_index) AS step FROM trace WHERE tool_name = 'tool_7' GROUP BY 1),
     c AS (SELECT t.*, coalesce(step_count, 0) AS n, b.step AS bad, CASE env_id WHEN '2-HIGH' THEN '4' WHEN '3-MEDIUM' THEN '7' WHEN '4-NOT SPECIFIED' THEN 'many' ELSE '6' END AS budget
       FROM tasks t LEFT JOIN steps USING (task_id) LEFT JOIN first_bad b USING (task_id))
     SELECT task_id, CASE WHEN price < 5000 THEN 'candidate is missing goal_summary, user_request, or expected_final_outcome'
@@ -39,7 +39,9 @@ steps AS (SELECT l_orderkey AS task_id, count(*) AS step_count FROM lineitem GRO
       WHEN status = 'F' THEN 'user_request leaks hidden tool names or identifiers' END AS reason FROM c""",
 )
 def _(t: Tables) -> DataFrame:
-    return bp.validate_blueprint(src.candidates(t)).select("task_id", "reason")
+    facts = bp.plan_facts(src.plan_steps(t), src.known_tools(t), "task_id", "env_id")
+    rows = src.candidates(t).join(facts, "task_id", "left").fillna(0, ["step_count"])
+    return bp.validate_blueprint(rows).select("task_id", "reason")
 
 
 @plan(
@@ -82,9 +84,13 @@ def _(t: Tables) -> DataFrame:
     return bp.reject_duplicates(rows, "lang", "fingerprint", "doc_id").drop("fingerprint")
 
 
-TARGET = f"""{TASKS}, prog AS (SELECT *, count(*) OVER w AS accepted, coalesce(max((dialogue_mode = 'single_turn')::INT) OVER w, 0) AS has_single,
-    coalesce(max((dialogue_mode = 'multi_turn')::INT) OVER w, 0) AS has_multi, coalesce(max((difficulty_bucket = 'easy')::INT) OVER w, 0) AS has_easy,
-    coalesce(max((difficulty_bucket = 'medium')::INT) OVER w, 0) AS has_medium, coalesce(max((difficulty_bucket = 'hard')::INT) OVER w, 0) AS has_hard
+# Tasks with an even customer were rejected: they are no progress.
+TARGET = f"""{TASKS}, prog AS (SELECT *, count(*) FILTER (config_id % 2 = 1) OVER w AS accepted,
+    coalesce(max((config_id % 2 = 1 AND dialogue_mode = 'single_turn')::INT) OVER w, 0) AS has_single,
+    coalesce(max((config_id % 2 = 1 AND dialogue_mode = 'multi_turn')::INT) OVER w, 0) AS has_multi,
+    coalesce(max((config_id % 2 = 1 AND difficulty_bucket = 'easy')::INT) OVER w, 0) AS has_easy,
+    coalesce(max((config_id % 2 = 1 AND difficulty_bucket = 'medium')::INT) OVER w, 0) AS has_medium,
+    coalesce(max((config_id % 2 = 1 AND difficulty_bucket = 'hard')::INT) OVER w, 0) AS has_hard
   FROM tasks WINDOW w AS (PARTITION BY env_id ORDER BY task_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 slots AS (SELECT * FROM (VALUES (0, 'T1', 'single_turn', 'easy', 1, 2), (1, 'T2', 'single_turn', 'medium', 2, 4), (2, 'T3', 'multi_turn', 'medium', 3, 5), (3, 'T4', 'multi_turn', 'hard', 4, 6)) v(i, sn, sm, sb, lo, hi)),
 target AS (SELECT task_id, env_id, dialogue_mode, difficulty_bucket, task_type, accepted, sn AS slot_name,
@@ -97,8 +103,10 @@ target AS (SELECT task_id, env_id, dialogue_mode, difficulty_bucket, task_type,
 
 
 def coverage_target(t: Tables) -> DataFrame:
-    rows = src.tasks(t).drop("config_id", "status", "price")
-    return bp.running_coverage_target(rows, "env_id", "task_id", block_of("task_id"), target=6, min_buckets=3)
+    rows = src.tasks(t).withColumn("was_accepted", F.col("config_id") % 2 == 1).drop("config_id", "status", "price")
+    return bp.running_coverage_target(
+        rows, "env_id", "task_id", block_of("task_id"), target=6, min_buckets=3, accepted="was_accepted"
+    )
 
 
 @plan(
@@ -193,11 +201,16 @@ def _(t: Tables) -> DataFrame:
     f"""WITH {TRACE}, g AS (SELECT task_id, count(*) AS step_count, count(*) FILTER (has_diff) AS mutating_count,
       min(step_index) FILTER (failed OR ended) AS stop, arg_min(failed, step_index) FILTER (failed OR ended) AS stop_failed FROM trace GROUP BY task_id),
     r AS (SELECT *, CASE WHEN stop_failed THEN 'tool step ' || stop || ' failed' WHEN stop IS NOT NULL THEN 'environment terminated early at tool step ' || stop
-      WHEN mutating_count < 1 THEN 'replay produced no objective state change' END AS reason FROM g)
-    SELECT task_id, step_count, mutating_count, reason, reason IS NULL AS is_valid FROM r""",
+      WHEN steps > 0 AND NOT changed THEN 'replay produced no objective state change'
+      WHEN steps > 0 AND mutated < 1 THEN 'replay did not include any mutating tool step' END AS reason
+      FROM (SELECT o_orderkey AS task_id, o_totalprice > 20000 AS changed, coalesce(step_count, 0) AS steps, coalesce(mutating_count, 0) AS mutated, stop, stop_failed
+        FROM orders LEFT JOIN g ON o_orderkey = task_id))
+    SELECT task_id, steps AS step_count, mutated AS mutating_count, reason, reason IS NULL AS is_valid FROM r""",
 )
 def _(t: Tables) -> DataFrame:
-    return bp.replay_outcome(src.trace(t), "task_id", "step_index")
+    # Cheap orders end where they began although steps changed them on the way.
+    final = src.tasks(t).select("task_id", (F.col("price") > 20000).alias("state_changed"))
+    return bp.replay_outcome(src.trace(t), "task_id", "step_index", final)
 
 
 @plan(

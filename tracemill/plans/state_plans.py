@@ -57,7 +57,7 @@ def _(t: Tables) -> DataFrame:
     )
     doc = F.to_json(F.create_map(F.lit("orders"), F.create_map(F.col("o_orderkey").cast("string"), record)))
     docs = t.orders.select(F.col("o_custkey").alias("run_id"), doc.alias("doc"))
-    return state.flatten_state(docs, ["run_id"], "doc", max_depth=4).withColumn("path", F.array_join("path", "."))
+    return state.flatten_state(docs, ["run_id"], "doc").withColumn("path", F.array_join("path", "."))
 
 
 @plan("s2_state_diff", f"WITH {DIFF_CTE} SELECT run_id, path, op, old_value, new_value, leaf_count FROM diff")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.operators.running import with_position
@@ -56,20 +56,20 @@ def turns(t: Tables) -> DataFrame:
     )
 
 
+def plan_steps(t: Tables) -> DataFrame:
+    """Proposed tool calls of every blueprint, one row each."""
+    steps = trace(t).select("task_id", F.col("step_index").alias("step"), "tool_name", F.lit("{}").alias("arguments"))
+    return steps.join(tasks(t).select("task_id", "env_id"), "task_id")
+
+
+def known_tools(t: Tables) -> DataFrame:
+    names = F.array(*[F.lit(f"tool_{i}") for i in range(1, 7)])
+    return tasks(t).select("env_id").distinct().select("env_id", F.explode(names).alias("tool_name"))
+
+
 def candidates(t: Tables) -> DataFrame:
-    """Generated blueprint proposals, some of them broken."""
-    steps = t.lineitem.withColumn(
-        "_r", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*STEP_ORDER))
-    ).filter("_r <= 7")
-    plans = steps.groupBy("l_orderkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_r", "l_linenumber"))),
-            lambda x: F.struct(
-                F.concat(F.lit("tool_"), x["l_linenumber"].cast("string")).alias("tool_name"), F.lit("{}").alias("arguments")
-            ),
-        ).alias("tool_plan")
-    )
-    base = tasks(t).join(plans, F.col("task_id") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    """Generated blueprint proposals, some of them broken; their steps are in :func:`plan_steps`."""
+    base = tasks(t)
     ident = F.concat(F.lit("ORD-"), F.col("task_id").cast("string"))
     none = F.array().cast("array<string>")
     turn = F.struct(
@@ -89,6 +89,5 @@ def candidates(t: Tables) -> DataFrame:
         F.when(env == "1-URGENT", F.array(F.lit("ask for the date"), F.lit(" "))).otherwise(none).alias("clarification_requirements"),
         F.when(env == "2-HIGH", F.array(F.lit("decline refunds"))).otherwise(none).alias("refusal_requirements"),
         F.when(F.col("status") == "P", F.when(F.col("price") > 100000, F.array(turn, turn)).otherwise(F.array(turn))).alias("multi_turn_tasks"),
-        F.coalesce("tool_plan", F.array().cast("array<struct<tool_name:string,arguments:string>>")).alias("tool_plan"),
         F.array(*[F.lit(f"tool_{i}") for i in range(1, 7)]).alias("known_tools"),
     )
