@@ -101,7 +101,7 @@ def test_arguments_match(spark, expected, actual, required, defaults, ok):
 
 def leaves(spark, docs, arrays=False):
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "run_id string, doc string")
-    return state.flatten_state(df, ["run_id"], "doc", max_depth=6, expand_arrays=arrays)
+    return state.flatten_state(df, ["run_id"], "doc", expand_arrays=arrays)
 
 
 @pytest.mark.parametrize(
@@ -178,3 +178,50 @@ def test_forbidden_rules(spark):
 def test_write_verb(spark):
     df = spark.createDataFrame([("Cancel_order",), ("get_order",), ("bulk__update_set",)], "t string")
     assert [r[0] for r in df.select(m.write_verb("t")).collect()] == ["cancel", "", "update"]
+
+
+def check_one(spark, before, after, asserted):
+    """Assertions of the diff between ``before`` and ``asserted`` judged on ``before`` and ``after``."""
+    import json
+
+    from tracemill.operators import state
+
+    def flat(doc):
+        df = spark.createDataFrame([("r", json.dumps(doc))], "run_id string, doc string")
+        return state.flatten_state(df, ["run_id"], "doc")
+
+    header, expected = state.assertion_tables(state.diff_leaves(flat(before), flat(asserted), ["run_id"]), ["run_id"])
+    return {r.path: r.passed for r in m.check_assertions(header, expected, flat(before), flat(after)).collect()}
+
+
+def test_assertions_compare_whole_values(spark):
+    before = {"o": {"a": {"s": "x"}, "n": 1}}
+    grown = {"o": {"a": {"s": "x"}, "n": 1, "b": {"k": "v", "tags": {}}}}
+    filled = {"o": {"a": {"s": "x"}, "n": 1, "b": {"k": "v", "tags": {"t": 1}}}}
+    assert check_one(spark, before, grown, grown) == {"o.b": True}
+    assert check_one(spark, before, filled, grown) == {"o.b": True}  # an empty object that was filled later
+    assert check_one(spark, before, before, grown) == {"o.b": False}
+    opened = {"o": {"a": {"s": "x"}, "n": {"u": 1, "v": 2}}}
+    assert check_one(spark, before, opened, opened) == {"o.n": True}  # a plain value became an object
+    more = {"o": {"a": {"s": "x"}, "n": {"u": 1, "v": 2, "w": 3}}}
+    assert check_one(spark, before, more, opened) == {"o.n": False}  # with another key it is not the asserted one
+    closed = {"o": {"a": "gone", "n": 1}}
+    assert check_one(spark, before, closed, closed) == {"o.a": True}
+    assert check_one(spark, before, {"o": {"n": 1}}, {"o": {"n": 1}}) == {"o.a": True}
+
+
+def test_two_schemas_for_one_tool_are_refused(spark):
+    import pytest
+
+    rows = [("r", "t", ["a"], {}), ("r", "t", [], {})]
+    schemas = spark.createDataFrame(rows, "run_id string, tool string, required array<string>, defaults map<string,string>")
+    nodes = spark.createDataFrame([("r", 1, 1, "read", "t", "{}")], "run_id string, node int, step_index int, role string, tool string, arguments string")
+    calls = spark.createDataFrame([("r", 1, "t", "{}")], "run_id string, pos long, tool string, arguments string")
+    with pytest.raises(Exception, match="two schemas"):
+        m.candidate_matches(nodes, calls, schemas).collect()
+
+
+def test_doubled_candidates_do_not_starve_later_nodes(spark):
+    nodes = spark.createDataFrame([("r", i, i, "read", "t") for i in (1, 2)], "run_id string, node int, step_index int, role string, tool string")
+    found = spark.createDataFrame([("r", 1, 3), ("r", 2, 3), ("r", 2, 3), ("r", 2, 6)], "run_id string, node int, pos long")
+    assert {r.node: r.position for r in m.greedy_assign(nodes, found).collect()} == {1: 3, 2: 6}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
+from tracemill.operators.matching import canonical_value
 from tracemill.operators.running import first_per_key, with_position
 
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -62,6 +63,21 @@ def normalize_params(parameters: Column) -> tuple[Column, Column]:
     return properties, required
 
 
+def argument_schemas(tools: DataFrame, env: str, parameters: str) -> DataFrame:
+    """``(env, tool, required, defaults, types)`` from JSON-schema texts, as argument matching takes them.
+
+    ``tools(env, name, parameters)``; ``required`` are names that are also properties, ``defaults`` maps a
+    property to its comparable default value, ``types`` to its type.
+    """
+    properties, required = normalize_params(F.col(parameters))
+    opened = F.try_variant_get(F.try_parse_json(parameters), "$.properties", "map<string,variant>")
+    fields = F.coalesce(opened, F.create_map().cast("map<string,variant>"))
+    has_default = F.map_filter(fields, lambda _, v: F.array_contains(F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>")), "default"))
+    defaults = F.transform_values(has_default, lambda _, v: canonical_value(F.try_variant_get(v, "$.default", "variant")))
+    types = F.transform_values(fields, lambda _, v: F.try_variant_get(v, "$.type", "string"))
+    return tools.select(env, F.col("name").alias("tool"), required.alias("required"), defaults.alias("defaults"), types.alias("types"))
+
+
 def normalize_tools(raw: DataFrame, env: str, order: str, tool_json: str) -> DataFrame:
     """Tool rows from raw JSON: unwrapped, named, first name per environment kept."""
     wrapped = F.get_json_object(tool_json, "$.function")

@@ -398,17 +398,29 @@ def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None
     return hits.groupBy("run_id", "rule").agg(F.min_by("tool", "pos").alias("tool"))
 
 
+def _node_facts(leaves: DataFrame) -> DataFrame:
+    """Every path that exists in a run: whether it is an object, and the number of leaves at or below it."""
+    steps = leaves.select("run_id", "path", "kind", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_d"))
+    is_object = (F.col("_d") < F.size("path")) | (F.col("kind") == "object")
+    node = F.slice("path", F.lit(1), F.col("_d")).alias("node")
+    return steps.groupBy("run_id", node).agg(F.bool_or(is_object).alias("is_object"), F.count(F.lit(1)).alias("leaves"))
+
+
 def check_assertions(
-    assertions: DataFrame, expected: DataFrame, before: DataFrame, after: DataFrame
+    assertions: DataFrame, expected: DataFrame, before: DataFrame, after: DataFrame, empty_objects: bool = True
 ) -> DataFrame:
     """Judge changed / added / removed assertions on two leaf tables.
 
     ``assertions(run_id, assertion, path, assertion_type)`` has dotted paths;
-    ``expected(assertion, rel_path, kind, value, old_kind, old_value)`` holds the leaves of
-    the asserted value below that path (an empty ``rel_path`` for the path itself).
+    ``expected(run_id, assertion, rel_path, kind, value, old_kind, old_value)`` holds the leaves of
+    the asserted value below that path (an empty ``rel_path`` for the path itself); without ``run_id``
+    assertions are unique over all runs.  A hard change compares whole values: all old and new leaves and
+    no others.  An expected empty object only needs an object there; ``empty_objects=False`` saves looking
+    for those where none is expected.
     """
     base = assertions.withColumn("parts", path_parts("path")).withColumn("is_hard", ~is_soft_path(F.col("parts")))
-    wanted = base.select("run_id", "assertion", "assertion_type", "parts").join(expected, "assertion").withColumn(
+    own = [c for c in ("run_id", "assertion") if c in expected.columns]
+    wanted = base.select("run_id", "assertion", "assertion_type", "parts").join(expected, own).withColumn(
         "path", F.concat("parts", "rel_path")
     )
     placed = wanted.withColumn("_skip", skips_leaf(F.col("path")))
@@ -429,30 +441,41 @@ def check_assertions(
         & (F.col("value") == F.try_element_at("parts", F.lit(-1)))
     )
     joined = placed.join(side(before, "b"), ["run_id", "path"], "left").join(side(after, "a"), ["run_id", "path"], "left")
-    facts = joined.groupBy("assertion").agg(
-        F.bool_and(F.col("_skip") | own_id | equal("kind", "value", "a")).alias("in_after"),
+    nodes_before, nodes_after = _node_facts(before), _node_facts(after)
+    open_after = F.lit(False)
+    if empty_objects:
+        objects = nodes_after.filter("is_object").select("run_id", F.col("node").alias("path"), F.lit(True).alias("_object"))
+        joined = joined.join(objects, ["run_id", "path"], "left")
+        open_after = (F.col("kind") == "object") & F.coalesce("_object", F.lit(False))
+    met = F.col("kind").isNull() | equal("kind", "value", "a")
+    was = F.col("old_kind").isNull() | equal("old_kind", "old_value", "b")
+    facts = joined.groupBy("run_id", "assertion").agg(
+        F.bool_and(F.col("_skip") | own_id | open_after | met).alias("in_after"),
         F.bool_and(F.col("_skip") | equal("kind", "value", "b")).alias("in_before"),
-        F.bool_and(equal("old_kind", "old_value", "b") & equal("kind", "value", "a")).alias("exact_change"),
+        F.bool_and(was & met).alias("exact_change"),
+        F.count("kind").alias("new_leaves"),
+        F.count("old_kind").alias("old_leaves"),
         F.bool_or(~(F.col("b_kind").eqNullSafe(F.col("a_kind")) & F.col("b_value").eqNullSafe(F.col("a_value")))).alias("differs"),
     )
 
-    def exists(leaves: DataFrame, name: str) -> DataFrame:
-        found = _nodes(leaves, ["run_id"]).select("run_id", F.col("node").alias("parts"), F.lit(True).alias(name))
-        return found
+    def held(nodes: DataFrame, name: str) -> DataFrame:
+        return nodes.select("run_id", F.col("node").alias("parts"), F.col("leaves").alias(name))
 
     located = (
-        base.join(exists(before, "initial_exists"), ["run_id", "parts"], "left")
-        .join(exists(after, "final_exists"), ["run_id", "parts"], "left")
-        .fillna(False, ["initial_exists", "final_exists"])
-        .join(facts, "assertion", "left")
-        .join(_renamed(placed.filter(~own_id), before, after), "assertion", "left")
+        base.join(held(nodes_before, "initial_leaves"), ["run_id", "parts"], "left")
+        .join(held(nodes_after, "final_leaves"), ["run_id", "parts"], "left")
+        .fillna(0, ["initial_leaves", "final_leaves"])
+        .join(facts, ["run_id", "assertion"], "left")
+        .join(_renamed(placed.filter(~own_id), before, after), ["run_id", "assertion"], "left")
     )
-    start, end = F.col("initial_exists"), F.col("final_exists")
+    start, end = F.col("initial_leaves") > 0, F.col("final_leaves") > 0
     yes = lambda c: F.coalesce(F.col(c), F.lit(True))  # noqa: E731  no expected leaves: nothing to miss
+    whole = yes("exact_change") & F.coalesce(F.col("new_leaves") == F.col("final_leaves"), F.lit(True))
+    whole = whole & F.coalesce(F.col("old_leaves") == F.col("initial_leaves"), F.lit(True))
     passed = (
         F.when(
             F.col("assertion_type") == "changed",
-            start & end & F.when(F.col("is_hard"), yes("exact_change")).otherwise(F.coalesce("differs", F.lit(False))),
+            start & end & F.when(F.col("is_hard"), whole).otherwise(F.coalesce("differs", F.lit(False))),
         )
         .when(
             F.col("assertion_type") == "added",
@@ -514,5 +537,5 @@ def _renamed(placed: DataFrame, before: DataFrame, after: DataFrame) -> DataFram
         .distinct()
     )
     return wanted.join(prints, ["run_id", "parent", "shape", "print"], "left_semi").select(
-        "assertion", F.lit(True).alias("renamed")
+        "run_id", "assertion", F.lit(True).alias("renamed")
     )

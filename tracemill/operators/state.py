@@ -125,6 +125,7 @@ def _topmost(only: DataFrame, other_leaves: DataFrame, keys: Sequence[str], miss
     return lifted.filter(F.col("_s").isNotNull() | (F.col("kind") != "object")).select(
         *keys,
         "path",
+        "kind",
         "value",
         F.coalesce(F.col("_s.op"), F.lit("changed")).alias("op"),
         F.slice("path", F.lit(1), F.coalesce(F.col("_s._d"), F.size("path"))).alias("diff_path"),
@@ -146,7 +147,10 @@ def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
         "path",
         F.col("b_value").alias("old_value"),
         F.col("a_value").alias("new_value"),
+        F.col("b_kind").alias("old_kind"),
+        F.col("a_kind").alias("new_kind"),
     )
+    none = F.lit(None).cast("string")
     only_after = moved.filter("b_kind IS NULL").select(
         *keys, "path", F.col("a_kind").alias("kind"), F.col("a_value").alias("value")
     )
@@ -154,10 +158,12 @@ def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
         *keys, "path", F.col("b_kind").alias("kind"), F.col("b_value").alias("value")
     )
     gained = _topmost(only_after, before, keys, "added").select(
-        *keys, "diff_path", "op", "path", F.lit(None).cast("string").alias("old_value"), F.col("value").alias("new_value")
+        *keys, "diff_path", "op", "path", none.alias("old_value"), F.col("value").alias("new_value"),
+        none.alias("old_kind"), F.col("kind").alias("new_kind"),
     )
     lost = _topmost(only_before, after, keys, "removed").select(
-        *keys, "diff_path", "op", "path", F.col("value").alias("old_value"), F.lit(None).cast("string").alias("new_value")
+        *keys, "diff_path", "op", "path", F.col("value").alias("old_value"), none.alias("new_value"),
+        F.col("kind").alias("old_kind"), none.alias("new_kind"),
     )
     return changed.unionByName(gained).unionByName(lost)
 
@@ -270,6 +276,29 @@ def diff_to_assertions(diff: DataFrame) -> DataFrame:
     )
 
 
+def assertion_tables(leaves: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Assertions of a diff and the leaves they expect, in the shape ``matching.check_assertions`` takes.
+
+    ``leaves`` are :func:`diff_leaves`.  The header has one row per highest differing key; the second table
+    holds what it expects below that key: new leaves of added and changed values, old leaves of removed and
+    changed ones.  No subtree is gathered into one row.
+    """
+    name = F.array_join("diff_path", ".").alias("assertion")
+    # An object that became a plain value, or the reverse, is one changed key with leaves of both sides.
+    header = leaves.select(*keys, name, F.col("op").alias("assertion_type"))
+    header = header.distinct().withColumn("path", F.col("assertion"))
+    expected = leaves.select(
+        *keys,
+        name,
+        F.slice("path", F.size("diff_path") + 1, F.greatest(F.size("path") - F.size("diff_path"), F.lit(0))).alias("rel_path"),
+        F.when(F.col("op") == "removed", F.col("old_kind")).otherwise(F.col("new_kind")).alias("kind"),
+        F.when(F.col("op") == "removed", F.col("old_value")).otherwise(F.col("new_value")).alias("value"),
+        "old_kind",
+        "old_value",
+    )
+    return header, expected
+
+
 def path_parts(c: Column | str) -> Column:
     """Dotted path to parts, empty parts dropped."""
     return F.filter(F.split(tx.col(c), r"\."), lambda p: p != "")

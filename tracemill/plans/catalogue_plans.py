@@ -116,6 +116,24 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@plan(
+    "e4_argument_schemas",
+    """SELECT o_orderkey, 'book' AS tool, CASE WHEN o_orderstatus = 'O' THEN 'day' ELSE '' END AS required,
+    'note=null;seats=#' || CAST(1 + o_shippriority AS DOUBLE) AS defaults, 'day=string;note=string;seats=integer' AS types
+    FROM (SELECT *, o_orderkey % 7 AS o_shippriority FROM orders)""",
+)
+def _(t: Tables) -> DataFrame:
+    # A required name that is no property does not count; a default may be null.
+    schema = F.concat(
+        F.lit('{"type": "object", "properties": {"day": {"type": "string"}, "note": {"type": "string", "default": null}, "seats": {"type": "integer", "default": '),
+        (1 + F.col("o_orderkey") % 7).cast("string"), F.lit('}}, "required": ["'), F.when(F.col("o_orderstatus") == "O", "day").otherwise("gone"), F.lit('"]}'),
+    )
+    rows = t.orders.select("o_orderkey", F.lit("book").alias("name"), schema.alias("parameters"))
+    out = cat.argument_schemas(rows, "o_orderkey", "parameters")
+    pairs = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return out.select("o_orderkey", "tool", F.array_join("required", ",").alias("required"), pairs("defaults").alias("defaults"), pairs("types").alias("types"))
+
+
 STANDARD = ", ".join(f"('{n}', {len(p)})" for n, p, _ in fixed.STANDARD_TOOLS)
 
 

@@ -141,7 +141,7 @@ def named(t: Tables) -> DataFrame:
 
 def asserted(t: Tables) -> DataFrame:
     base, expected = gold.assertions(t)
-    return matching.check_assertions(base, expected, bridge.state_before(t), bridge.state_after(t))
+    return matching.check_assertions(base, expected, bridge.state_before(t), bridge.state_after(t), empty_objects=False)
 
 
 def diff_ok(t: Tables) -> DataFrame:
@@ -385,6 +385,18 @@ def _(t: Tables) -> DataFrame:
     return asserted(t)
 
 
+@plan(
+    "r10_diff_against_itself",
+    f"""WITH {DIFF_CTE} SELECT run_id, path, op AS assertion_type, true AS passed FROM diff""",
+)
+def _(t: Tables) -> DataFrame:
+    """A recorded change holds against the states that it was taken from: diff, assertions and check compose."""
+    before, after = bridge.state_before(t), bridge.state_after(t)
+    header, expected = state.assertion_tables(state.diff_leaves(before, after, ["run_id"]), ["run_id"])
+    judged = matching.check_assertions(header, expected, before, after)
+    return judged.select("run_id", "path", "assertion_type", "passed")
+
+
 @plan(
     "r11_diff_contained",
     f"""WITH {DIFF_CTE}, made AS (SELECT run_id, path, old_value, new_value FROM diff WHERE op = 'changed'),
