@@ -138,12 +138,33 @@ def _filter_pairs(pairs: DataFrame, percent: int, m: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _cross_pairs(rows: DataFrame, percent: int, m: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components within a bucket, for ``rows(key, id, n, size, component)``.
+def _shared_shingles(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``(id, n, lone)`` for ``rows(id, n)``: how many shingles of a document no other of the rows holds.
+
+    Two documents share none of these, so they bound a similarity from above without looking at the pair.
+    """
+    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for key, text in rows_of(batches, "id", "text"):
+            items = shingle_set(text.lower().split(), k).view(np.int64)
+            for at in range(0, len(items), 1 << 16):
+                part = items[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key), pa.int64()), pa.array(part)], schema=schema)
+
+    ids = rows.select("id").distinct()
+    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi")
+    held = texts.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
+    return held.filter("id = last").groupBy("id").agg(F.count("*").alias("lone"))
+
+
+def _cross_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, m: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components within a bucket, for ``rows(key, id, n, size, regs, component)``.
 
     Buckets of at most ``SMALL`` members are joined with themselves.  Larger ones are cut into blocks by hash,
     and each pair of blocks is one group, so no group holds more than two blocks whatever the bucket's size;
-    of these only pairs with enough equal registers leave the task.
+    of these only pairs leave the task that have enough equal registers and enough shingles that any
+    other document holds at all.
     """
     small = rows.filter(F.col("size") <= SMALL).select("key", "id", "n", "component")
     one, two = (small.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component"))) for side in "ab")
@@ -152,8 +173,10 @@ def _cross_pairs(rows: DataFrame, percent: int, m: int) -> DataFrame:
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
     large = rows.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    lone = materialize(_shared_shingles(large, docs, k), "lone")
+    large = large.join(lone, "id", "left").withColumn("held", F.col("n") - F.coalesce("lone", F.lit(0)))
     spread = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "regs", "component")
+    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "held", "regs", "component")
     enough = (percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / m)) * m
 
     def run(key, pdf):
@@ -163,9 +186,10 @@ def _cross_pairs(rows: DataFrame, percent: int, m: int) -> DataFrame:
         found = [np.empty((0, 2), np.int64)]
         if len(one) and len(two):
             x, y = (np.frombuffer(b"".join(p["regs"]), np.uint16).reshape(-1, m) for p in (one, two))
-            ids, parts, sizes = two["id"].to_numpy(), two["component"].to_numpy(), two["n"].to_numpy()
-            for i, (own, part, n) in enumerate(zip(one["id"], one["component"], one["n"], strict=True)):
-                far = (parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+            ids, parts, sizes, helds = (two[c].to_numpy() for c in ("id", "component", "n", "held"))
+            for i, (own, part, n, held) in enumerate(zip(one["id"], one["component"], one["n"], one["held"], strict=True)):
+                most = np.minimum(helds, held)  # common shingles at most
+                far = (parts != part) & (100 * most >= percent * (sizes + n - most))
                 if key[1] == key[2]:
                     far &= ids > own
                 far = np.flatnonzero(far)
@@ -223,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     placed = materialize(placed.join(mixed, "key").join(sets.drop("set_key"), "id"), "mixed")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossed = _cross_pairs(placed, percent, m).join(tried, ["a", "b"], "left_anti")
+    crossed = _cross_pairs(placed, base, shingle, percent, m).join(tried, ["a", "b"], "left_anti")
     more = materialize(_filter_pairs(crossed.join(right, "b").join(left, "a"), percent, m), "likely")
     links = links.union(materialize(_verified(more, base, shingle, percent), "links"))
 
