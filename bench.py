@@ -17,6 +17,7 @@ HEADLINE = [
     "c7_curate_tasks", "c9_dedupe_keep_first", "c14_conflict_codes", "e10_func_test_rollup", "s2_state_diff", "s16_fold_updates",
     "b2_detect_leaks", "b5_running_coverage_target", "d1_allocate_steps", "d9_plan_behaviors", "q2_package", "q4_validate_sample",
     "r7_greedy_assign", "r8_ordered_name_match", "r10_check_assertions", "r24_scorecard", "x5_extract_tool_calls", "t2_arm_then_fire",
+    "q11_global_gate", "q13_qc_rollup", "e17_assign_env_ids", "d4_validate_dialogue", "x4_extract_json",
 ]
 
 
