@@ -174,16 +174,31 @@ class Page:
                 return
 
     def skeleton(self) -> np.ndarray:
-        """Rows (parent, label, text hash, place): what alignment needs.  ``place`` hashes tag path and text together."""
-        rows = np.zeros((len(self.parent), 4), np.int64)
-        rows[:, 0] = self.parent
+        """Rows (parent, label, text hash, place): what alignment needs.  ``place`` hashes tag path and text together.
+
+        An element that holds nothing but one run of text is a leaf with that text.
+        """
+        n = len(self.parent)
+        kids = np.bincount(np.array(self.parent[1:], np.int64), minlength=n)
+        texts = {node: text for node, text, *_ in self.blocks}
+        fold = {i: self.parent[i] for i in texts if kids[self.parent[i]] == 1 and self.parent[i]}
+        owner = {fold.get(i, i): (i, t) for i, t in texts.items()}
+        keep = [i for i in range(n) if i not in fold]
+        index = {i: k for k, i in enumerate(keep)}
         seen: dict[str, int] = {}
-        rows[:, 1] = [seen[t] if t in seen else seen.setdefault(t, _hash(t)) for t in self.label]
-        for node, text, *_ in self.blocks:
-            rows[node, 2] = _hash(text)
-            rows[node, 3] = _hash(f"{self.path[node]}\n{text}")
+        rows = np.zeros((len(keep), 4), np.int64)
+        for k, i in enumerate(keep):
+            tag = self.label[i]
+            rows[k, 0] = index[self.parent[i]] if i else -1
+            rows[k, 1] = seen[tag] if tag in seen else seen.setdefault(tag, _hash(tag))
+            if i in owner:
+                node, text = owner[i]
+                rows[k, 2], rows[k, 3] = _hash(text), self.place(node, text)
         return rows
 
+    def place(self, node: int, text: str) -> int:
+        return _hash(f"{self.path[node]}\n{text}")
+
     def main_blocks(self) -> list[tuple[int, str, bool]]:
         """``(node, text, in article)`` of what may be main text: inside articles if there are any, else all but boilerplate and link lists."""
         inside = [(n, t, True) for n, t, boiler, article, _ in self.blocks if article and not boiler]
@@ -250,11 +265,11 @@ def _parsed(pages: DataFrame) -> DataFrame:
         out = Emitter(schema)
         for key, url, host, source in rows_of(batches, "id", "url", "host", "html"):
             page = Page(source or "")
-            rows, blocks = page.skeleton(), page.main_blocks()
-            data = rows.tobytes()
-            mark = xxhash.xxh3_64_intdigest(rows[[n for n, *_ in blocks], 2].tobytes()) >> 1
+            blocks = page.main_blocks()
+            places = [page.place(n, t) for n, t, _ in blocks]
+            mark = _hash("\n".join(t for _, t, _ in blocks))
             inside = bool(blocks) and blocks[0][2]
-            yield from out.add((key, url, host, mark, data, inside, [t for _, t, _ in blocks], [int(rows[n, 3]) for n, *_ in blocks]), len(source or ""))
+            yield from out.add((key, url, host, mark, page.skeleton().tobytes(), inside, [t for _, t, _ in blocks], places), len(source or ""))
         yield from out.flush()
 
     names = "id long, url string, host string, print long, skeleton binary, inside boolean, texts array<string>, places array<long>"
