@@ -75,11 +75,11 @@ def test_validate_rewrite_reasons(spark):
     schema = "task string, turn_id int, user_message string"
     stable = spark.createDataFrame([(t, i, "m") for t in "abcdef" for i in (1, 2)], schema)
     new = [("a", 1, "x"), ("a", 2, "m"), ("b", 1, "x"), ("c", 1, "x"), ("c", 3, "y"), ("d", 1, "m"), ("d", 2, " m "), ("e", 1, " "), ("e", 2, "z"), ("f", 1, "q"), ("f", 2, "w")]
-    leaks = spark.createDataFrame([("f",)], "task string")
+    leaks = spark.createDataFrame([("f", 2)], "task string, turn_id int")
     out = dg.validate_rewrite(stable, spark.createDataFrame(new, schema), leaks, "task")
     got = {r.task: r.reason for r in out.collect()}
     assert got["a"] is None and "count" in got["b"] and "turn_id" in got["c"] and "identical" in got["d"]
-    assert "empty" in got["e"] and "leaks" in got["f"]
+    assert got["e"] == "turn 1 has empty user_message" and got["f"] == "turn 2 leaks hidden tool names or identifiers"
 
 
 def test_validate_dialogue_reasons(spark):
@@ -95,7 +95,7 @@ def test_validate_dialogue_reasons(spark):
         [("ok", 1, 1, 1), ("ok", 1, 2, 2), ("ok", 2, 1, 3), ("gap", 1, 1, 1), ("gap", 1, 2, 3), ("gap", 2, 1, 2), ("order", 1, 1, 2), ("order", 2, 1, 1)],
         "task string, turn_id long, link long, step_index long",
     )
-    none = spark.createDataFrame([], "task string")
+    none = spark.createDataFrame([], "task string, turn_id long")
     got = {r.task: r.reason for r in dg.validate_dialogue(tasks, turns, links, none, "task").collect()}
     assert got["ok"] is None and "contiguous" in got["gap"] and "cover" in got["order"]
     assert "non-empty" in got["none"] and "turn_id" in got["ids"] and "exactly one" in got["many"]

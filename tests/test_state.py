@@ -132,3 +132,19 @@ def test_fold_updates(spark):
     df = spark.createDataFrame(log, "run_id string, path string, seq long, op string, value double")
     got = {r.path: (r.kind, r.value, r.item_count) for r in state.fold_updates(df, "run_id", "path", "seq").collect()}
     assert got == {"a": ("number", 6.0, 0), "b": ("list", None, 2), "d": ("number", 4.0, 0)}
+
+
+def test_fold_updates_of_overlapping_paths(spark):
+    rows = [
+        (1, "a.b", "set", "1"), (2, "a", "delete", None), (3, "a.b", "append", "x"),  # nothing above it any more
+        (4, "z.q", "increment", "5"),  # there never was a z
+        (5, "c.d", "set", "2"), (6, "c.d", "increment", "3"), (7, "c.e", "append", "y"), (8, "c.e", "append", "z"),
+        (9, "t", "set", "some text"), (10, "u.v.w", "set", "7"), (11, "u.v", "set", "9"), (12, "k", "increment", "2"),
+        (13, "m.n", "set", "1"), (14, "m", "delete", None), (15, "m.o", "set", "4"), (16, "m.p", "increment", "6"),
+    ]
+    df = spark.createDataFrame([("r", *r) for r in rows], "run_id string, seq long, path string, op string, value string")
+    got = {r.path: (r.kind, r.value, r.item_count) for r in state.fold_updates(df, "run_id", "path", "seq").collect()}
+    assert got == {
+        "c.d": ("number", "5.0", 0), "c.e": ("list", None, 2), "t": ("text", "some text", 0), "u.v": ("number", "9.0", 0),
+        "k": ("number", "2.0", 0), "m.o": ("number", "4.0", 0), "m.p": ("number", "6.0", 0),
+    }

@@ -241,21 +241,25 @@ def item_key(summary: Column | str, class_name: Column | str) -> Column:
 def merge_keep_first(existing: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Existing items, then new items with an unseen key; the first of a key wins."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return first_per_key(both, [key], ["_new", order]).withColumnRenamed("_new", "is_new")
+    # Keys may be long texts: they are compared by hash.
+    marked = both.withColumn("_key", F.sha2(F.col(key), 256))
+    return first_per_key(marked, ["_key"], ["_new", order]).drop("_key").withColumnRenamed("_new", "is_new")
 
 
 def assign_env_ids(items: DataFrame, existing: DataFrame, key: str, order: str, block: Column) -> DataFrame:
     """Known keys keep their id; new keys get ``env_<max + n>`` in order of first appearance."""
-    known = first_per_key(existing.select(key, "env_id", "existing_order"), [key], ["existing_order"]).select(
-        key, F.col("env_id").alias("_known")
+    short = F.sha2(F.col(key), 256).alias("_key")  # keys may be long texts: they are compared by hash
+    known = first_per_key(existing.select(short, "env_id", "existing_order"), ["_key"], ["existing_order"]).select(
+        "_key", F.col("env_id").alias("_known")
     )
+    items = items.withColumn("_key", short)
     suffix = F.regexp_extract("env_id", r"^env_(?:.*_)?(\d+)$", 1).try_cast("long")
     top = existing.agg(F.coalesce(F.max(suffix), F.lit(0)).cast("long")).scalar()
-    fresh = items.join(known, key, "left_anti").groupBy(key).agg(F.min(order).alias(order))
-    numbered_keys = with_position(fresh, [], [order], block, "_n").select(key, "_n")
-    joined = items.join(known, key, "left").join(numbered_keys, key, "left")
+    fresh = items.join(known, "_key", "left_anti").groupBy("_key").agg(F.min(order).alias(order))
+    numbered_keys = with_position(fresh, [], [order], block, "_n").select("_key", "_n")
+    joined = items.join(known, "_key", "left").join(numbered_keys, "_key", "left")
     made = F.concat(F.lit("env_"), (top + F.col("_n")).cast("string"))
-    return joined.withColumn("env_id", F.coalesce("_known", made)).drop("_known", "_n")
+    return joined.withColumn("env_id", F.coalesce("_known", made)).drop("_known", "_n", "_key")
 
 
 def drop_detail_fields(df: DataFrame, fields: Mapping[str, Sequence[str]], columns: Sequence[str] = ()) -> DataFrame:

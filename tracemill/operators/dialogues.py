@@ -77,9 +77,10 @@ def validate_dialogue(tasks: DataFrame, turns: DataFrame, links: DataFrame, leak
     """First reason a realised dialogue is unusable, or null.
 
     ``tasks(task, dialogue_mode, step_count)``, ``turns(task, turn_id, user_message)``,
-    ``links(task, turn_id, link, step_index)``, ``leaks(task)``.  Turn ids must be 1..n, each
-    turn links consecutive steps, and the turns together cover steps 1..step_count in order.
-    Checked with per-turn minima, maxima and counts, so no list of steps is ever gathered.
+    ``links(task, turn_id, link, step_index)``, ``leaks(task, turn_id)``.  Turn ids must be 1..n, each
+    turn links consecutive steps, and the turns together cover steps 1..step_count in order.  Turns are
+    judged in their order, so the first faulty turn gives the reason; if ``tasks`` has ``final_response``, it
+    must not be blank.  Checked with per-turn minima, maxima and counts, so no list of steps is ever gathered.
     """
     per_turn = links.groupBy(task, "turn_id").agg(
         F.count(F.lit(1)).alias("_n"),
@@ -90,29 +91,35 @@ def validate_dialogue(tasks: DataFrame, turns: DataFrame, links: DataFrame, leak
     chained = running_before(
         placed, [task], ["turn_id"], F.floor(F.col("turn_id") / 4096), sums={"_before": F.col("_n"), "_pos": F.lit(1)}
     )
+    leaked = leaks.select(task, "turn_id").distinct().withColumn("_leak", F.lit(True))
+    chained = chained.join(leaked, [task, "turn_id"], "left")
+    at = F.col("_pos") + 1
+    fault = (
+        F.when(F.col("turn_id") != at, "has invalid turn_id")
+        .when(~F.coalesce(tx.strip("user_message") != "", F.lit(False)), "has empty user_message")
+        .when(F.col("_leak"), "leaks hidden tool names or identifiers")
+        .when(~F.coalesce("_run", F.lit(True)), "must use contiguous tool step indices")
+    )
+    fault = F.concat(F.lit("user turn "), at.cast("string"), F.lit(" "), fault)
     facts = chained.groupBy(task).agg(
         F.count(F.lit(1)).alias("_turns"),
-        F.bool_and(F.col("turn_id") == F.col("_pos") + 1).alias("_ids"),
-        F.bool_and(F.coalesce(tx.strip("user_message") != "", F.lit(False))).alias("_filled"),
-        F.bool_and(F.coalesce("_run", F.lit(True))).alias("_contiguous"),
+        F.min_by(fault, F.when(fault.isNotNull(), at)).alias("_fault"),
         F.bool_and((F.col("_n") == 0) | (F.col("_lo") == F.col("_before") + 1)).alias("_ordered"),
         F.sum("_n").alias("_linked"),
     )
-    leaked = leaks.select(task).distinct().withColumn("_leak", F.lit(True))
-    judged = tasks.join(facts, task, "left").join(leaked, task, "left")
+    judged = tasks.join(facts, task, "left")
     size, mode = F.col("_turns"), F.col("dialogue_mode")
+    answered = tx.clean("final_response").isNotNull() if "final_response" in tasks.columns else F.lit(True)
     reason = (
         F.when(size.isNull(), "user_turns must be a non-empty list")
         .when((mode == "single_turn") & (size != 1), "single_turn blueprint must realize exactly one user turn")
         .when((mode == "multi_turn") & ~size.between(2, 3), "multi_turn blueprint must realize 2-3 user turns")
-        .when(~F.col("_ids"), "invalid turn_id")
-        .when(~F.col("_filled"), "empty user_message")
-        .when(F.col("_leak"), "leaks hidden tool names or identifiers")
-        .when(~F.col("_contiguous"), "must use contiguous tool step indices")
+        .when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(
             ~F.col("_ordered") | (F.col("_linked") != F.col("step_count")),
             "linked tool steps must cover the gold trace exactly once and in order",
         )
+        .when(~answered, "assistant_final_response is required")
     )
     return judged.select(task, reason.alias("reason"))
 
@@ -250,28 +257,32 @@ def expand_template(message: Column | str, behavior: Column | str) -> Column:
 def validate_rewrite(stable: DataFrame, rewritten: DataFrame, leaks: DataFrame, task: str) -> DataFrame:
     """First reason a rewritten dialogue is unusable, or null.
 
-    Both sides are ``(task, turn_id, user_message)``; ``leaks(task)`` lists leaking tasks.
+    Both sides are ``(task, turn_id, user_message)``; ``leaks(task, turn_id)`` lists leaking turns.  The first
+    faulty turn gives the reason.
     """
     left = stable.select(task, "turn_id", F.col("user_message").alias("_old"), F.lit(1).alias("_s"))
     right = rewritten.select(task, "turn_id", F.col("user_message").alias("_new"), F.lit(1).alias("_r"))
     both = left.join(right, [task, "turn_id"], "full")
     old, new = tx.clean("_old", ""), tx.clean("_new", "")
+    both = both.join(leaks.select(task, "turn_id").distinct().withColumn("_leak", F.lit(True)), [task, "turn_id"], "left")
+    fault = (
+        F.when(F.col("_s").isNull() | F.col("_r").isNull(), "has invalid turn_id")
+        .when(new == "", "has empty user_message")
+        .when(F.col("_leak"), "leaks hidden tool names or identifiers")
+    )
+    fault = F.concat(F.lit("turn "), F.col("turn_id").cast("string"), F.lit(" "), fault)
     facts = both.groupBy(task).agg(
         F.count("_s").alias("stable_turns"),
         F.count("_r").alias("rewritten_turns"),
-        F.bool_and(F.col("_s").isNotNull() & F.col("_r").isNotNull()).alias("_aligned"),
-        F.bool_and(F.col("_r").isNull() | (new != "")).alias("_filled"),
+        F.min_by(fault, F.when(fault.isNotNull(), F.col("turn_id"))).alias("_fault"),
         F.bool_or(F.col("_s").isNotNull() & F.col("_r").isNotNull() & (old != new)).alias("_changed"),
     )
-    leaked = leaks.select(task).distinct().withColumn("_leak", F.lit(True))
     reason = (
         F.when(F.col("stable_turns") != F.col("rewritten_turns"), "rewritten turn count must exactly match baseline stable turn count")
-        .when(~F.col("_aligned"), "invalid turn_id")
-        .when(~F.col("_filled"), "empty user_message")
-        .when(F.col("_leak"), "leaks hidden tool names or identifiers")
+        .when(F.col("_fault").isNotNull(), F.col("_fault"))
         .when(~F.col("_changed"), "all rewritten turns are identical to the stable baseline")
     )
-    return facts.join(leaked, task, "left").select(task, "stable_turns", "rewritten_turns", reason.alias("reason"))
+    return facts.select(task, "stable_turns", "rewritten_turns", reason.alias("reason"))
 
 
 def expand_variants(stable: DataFrame, behaviors: Sequence[str] = tuple(fixed.BEHAVIORS)) -> DataFrame:

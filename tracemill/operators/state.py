@@ -479,37 +479,69 @@ def entity_key(record: Column | str) -> Column:
     return F.coalesce(*preferred, F.get(ids, F.lit(0))["value"], F.lit("singleton"))
 
 
+def _prefixes(path: Column, proper: bool = False) -> Column:
+    """Dotted prefixes of a dotted path, the path itself included unless ``proper``."""
+    parts = path_parts(path)
+    last = F.size(parts) - (1 if proper else 0)
+    cuts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(cuts, lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+
+
+def _last_resets(paths: DataFrame, log: DataFrame, run: str, path: str, seq: str) -> DataFrame:
+    """Per ``(run, path)`` the last set or delete of the path or of anything above it."""
+    marks = log.filter(F.col("op").isin("set", "delete")).groupBy(run, path)
+    marks = marks.agg(F.max(F.struct(seq, "op", "value")).alias("_m")).withColumnRenamed(path, "_q")
+    spread = paths.select(run, path).distinct().withColumn("_q", F.explode(_prefixes(F.col(path))))
+    entry = F.struct(F.col(f"_m.{seq}").alias(seq), (F.col("_q") == F.col(path)).alias("own"), F.col("_m.op").alias("op"), F.col("_m.value").alias("value"))
+    return spread.join(marks, [run, "_q"]).groupBy(run, path).agg(F.max(entry).alias("_reset"))
+
+
 def _since_reset(log: DataFrame, run: str, path: str, seq: str) -> DataFrame:
-    """Updates from the last set or delete of each path on."""
-    resets = (
-        log.filter(F.col("op").isin("set", "delete"))
-        .groupBy(run, path)
-        .agg(F.max(F.struct(seq, "op", "value")).alias("_reset"))
-    )
-    joined = log.join(resets, [run, path], "left")
-    return joined.filter(F.col("_reset").isNull() | (F.col(seq) >= F.col(f"_reset.{seq}")))
+    """Updates that still count: from the last set or delete of a path, or of anything above it, on.
+
+    A set makes the objects above its path; other updates below an object that is not there are dropped.
+    """
+    joined = log.join(_last_resets(log, log, run, path, seq), [run, path], "left")
+    live = joined.filter(F.col("_reset").isNull() | (F.col(seq) >= F.col(f"_reset.{seq}")))
+    above = F.try_element_at(_prefixes(F.col(path), proper=True), F.lit(-1))
+    made = log.filter("op = 'set'").select(run, F.explode(_prefixes(F.col(path), proper=True)).alias("_above"), F.col(seq).alias("_at"))
+    parents = live.select(run, above.alias("_above")).filter("_above IS NOT NULL").distinct()
+    gone = _last_resets(parents.withColumnRenamed("_above", path), log, run, path, seq)
+    gone = gone.select(run, F.col(path).alias("_above"), F.col(f"_reset.{seq}").alias("_gone"))
+    born = made.join(gone, [run, "_above"], "left").filter(F.col("_gone").isNull() | (F.col("_at") > F.col("_gone")))
+    born = born.groupBy(run, "_above").agg(F.min("_at").alias("_born"))
+    placed = live.withColumn("_above", above).join(born, [run, "_above"], "left")
+    there = F.col("_above").isNull() | (F.col("op") == "set") | F.coalesce(F.col(seq) > F.col("_born"), F.lit(False))
+    return placed.filter(there).drop("_above", "_born")
 
 
 def fold_updates(log: DataFrame, run: str, path: str, seq: str) -> DataFrame:
     """Final value of every path after set / delete / append / increment in order.
 
-    ``kind`` is number or list; the items of a list come from :func:`folded_items`, so a long
-    list is never held in one row.  An append turns a plain value into a new list.
+    Paths are dotted; a set or delete of a path ends what was below it.  ``kind`` is number, text (for a string
+    ``value`` column) or list; the items of a list come from :func:`folded_items`, so a long list is never held
+    in one row.  An append turns a plain value into a new list; increments of a text have no meaning.
     """
     live = _since_reset(log, run, path, seq)
+    typed = dict(log.dtypes)["value"] == "string"
+    number = (lambda c: c.try_cast("double")) if typed else (lambda c: c)
     folded = live.groupBy(run, path).agg(
         F.max("_reset").alias("_reset"),
         F.count_if(F.col("op") == "append").alias("item_count"),
         F.count_if(F.col("op") == "increment").alias("_incs"),
-        F.sum(F.when(F.col("op") == "increment", F.col("value"))).alias("_sum"),
-    )
-    alive = (F.col("_reset.op") == "set") | (F.col("item_count") + F.col("_incs") > 0)
-    base = F.when(F.col("_reset.op") == "set", F.col("_reset.value")).otherwise(0.0)
+        F.sum(F.when(F.col("op") == "increment", number(F.col("value")))).alias("_sum"),
+    )
+    was_set = F.coalesce((F.col("_reset.op") == "set") & F.col("_reset.own"), F.lit(False))
+    alive = was_set | (F.col("item_count") + F.col("_incs") > 0)
+    given = F.when(was_set, F.col("_reset.value"))
+    base = F.coalesce(number(given), F.lit(0.0)) + F.coalesce("_sum", F.lit(0.0))
+    text = given.isNotNull() & number(given).isNull() if typed else F.lit(False)
+    value = F.when(text, given).otherwise(base.cast("string")) if typed else base
     return folded.filter(alive).select(
         run,
         path,
-        F.when(F.col("item_count") > 0, "list").otherwise("number").alias("kind"),
-        F.when(F.col("item_count") == 0, base + F.coalesce("_sum", F.lit(0.0))).alias("value"),
+        F.when(F.col("item_count") > 0, "list").when(text, "text").otherwise("number").alias("kind"),
+        F.when(F.col("item_count") == 0, value).alias("value"),
         "item_count",
     )
 

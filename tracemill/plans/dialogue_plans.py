@@ -93,17 +93,21 @@ def _(t: Tables) -> DataFrame:
 @plan(
     "d4_validate_dialogue",
     f"""WITH {SIZED}, shifted AS (SELECT a.task_id, turn_id, step_index + CASE WHEN env_id = '5-LOW' THEN 1 ELSE 0 END AS s FROM alloc a JOIN tasks USING (task_id))
-    SELECT task_id, CASE WHEN turns = 4 THEN 'multi_turn blueprint must realize 2-3 user turns' WHEN price < 5000 THEN 'empty user_message'
-      WHEN env_id = '1-URGENT' AND price < 50000 THEN 'leaks hidden tool names or identifiers'
-      WHEN env_id = '5-LOW' AND n > 0 THEN 'linked tool steps must cover the gold trace exactly once and in order' END AS reason FROM sized""",
+    SELECT task_id, CASE WHEN turns = 4 THEN 'multi_turn blueprint must realize 2-3 user turns' WHEN price < 5000 THEN 'user turn 1 has empty user_message'
+      WHEN env_id = '1-URGENT' AND price < 50000 THEN 'user turn ' || turns || ' leaks hidden tool names or identifiers'
+      WHEN env_id = '5-LOW' AND n > 0 THEN 'linked tool steps must cover the gold trace exactly once and in order'
+      WHEN env_id = '3-MEDIUM' AND price > 300000 THEN 'assistant_final_response is required' END AS reason FROM sized""",
 )
 def _(t: Tables) -> DataFrame:
     tasks = sized(t)
     envs = tasks.select("task_id", "env_id")
     shift = F.when(F.col("env_id") == "5-LOW", 1).otherwise(0)
     moved = links(t).join(envs, "task_id").withColumn("step_index", F.col("step_index") + shift).drop("env_id")
-    leaks = tasks.filter("env_id = '1-URGENT' AND price < 50000").select("task_id")
-    return dg.validate_dialogue(tasks.select("task_id", "dialogue_mode", "step_count"), turn_rows(t), moved, leaks, "task_id")
+    # The last turn leaks; where the first is empty as well, that comes first.
+    leaks = tasks.filter("env_id = '1-URGENT' AND price < 50000").select("task_id", F.col("turns").cast("long").alias("turn_id"))
+    reply = F.when((F.col("env_id") == "3-MEDIUM") & (F.col("price") > 300000), " ").otherwise("done")
+    asked = tasks.select("task_id", "dialogue_mode", "step_count", reply.alias("final_response"))
+    return dg.validate_dialogue(asked, turn_rows(t), moved, leaks, "task_id")
 
 
 @plan(
@@ -214,10 +218,11 @@ def _(t: Tables) -> DataFrame:
 
 @plan(
     "d12_validate_rewrite",
-    f"""WITH {USERS}, c AS (SELECT task_id, count(*) AS n, max(length(user_message)) AS longest, min(length(user_message)) AS shortest FROM u GROUP BY task_id)
+    f"""WITH {USERS}, c AS (SELECT task_id, count(*) AS n, max(length(user_message)) AS longest, min(length(user_message)) AS shortest,
+      min(turn_id) FILTER (length(user_message) > 400) AS leaking FROM u GROUP BY task_id)
     SELECT task_id, n AS stable_turns, n - CASE WHEN n > 3 THEN 1 ELSE 0 END AS rewritten_turns,
       CASE WHEN n > 3 THEN 'rewritten turn count must exactly match baseline stable turn count'
-        WHEN longest > 400 THEN 'leaks hidden tool names or identifiers' WHEN shortest > 120 THEN 'all rewritten turns are identical to the stable baseline' END AS reason FROM c""",
+        WHEN longest > 400 THEN 'turn ' || leaking || ' leaks hidden tool names or identifiers' WHEN shortest > 120 THEN 'all rewritten turns are identical to the stable baseline' END AS reason FROM c""",
 )
 def _(t: Tables) -> DataFrame:
     stable = src.turns(t)
@@ -226,7 +231,8 @@ def _(t: Tables) -> DataFrame:
         "task_id", "turn_id",
         F.when(long_turn(), F.col("user_message")).otherwise(dg.apply_templates("user_message", hostile)).alias("user_message"),
     )
-    leaks = stable.filter(F.length("user_message") > 400).select("task_id")
+    # Dropping the fourth turn makes rewrites of another length on purpose.
+    leaks = stable.filter(F.length("user_message") > 400).select("task_id", "turn_id")
     return dg.validate_rewrite(stable, rewritten, leaks, "task_id")
 
 
