@@ -193,7 +193,7 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
     left.  An empty table gives no row.
     """
     many = isinstance(docs.schema[sources].dataType, T.ArrayType)
-    own = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>")))) if many else F.array(F.col(sources))
+    own = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>")))) if many else F.array(F.col(sources).cast("string"))
     sizes = docs.select(
         F.col(id_col).cast("long").alias("id"), own.alias("sources"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
