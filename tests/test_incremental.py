@@ -2,12 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import incremental
 from tracemill.operators.running import block_of
 from tracemill.streaming.resume import append_results, resume_stream
-from tracemill.streaming.triggers import Rule, arm_then_fire_stream
+from tracemill.streaming.triggers import Rule, arm_then_fire_stream, comparable
 
 RULES = [
     Rule("late", ["signup"], ["purchase"], 3), Rule("start", [], ["error"], 5), Rule("args", ["click"], [], 0, {"k": 2}),
@@ -29,6 +30,8 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = incremental.arm_then_fire(spark.createDataFrame(one, schema), calls, block_of("pos", 8))
     want = {(r.run_id, r.event_id, r.armed_at, r.fired_at) for r in batch.filter("fired_at IS NOT NULL").collect()}
     assert want and not any(e == "never" for _, e, _, _ in want)
+    # Chunks of four calls: the order within a micro-batch must not depend on them.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     for part in range(3):  # arrival in three files, in order
         calls.filter(F.floor(F.col("pos") / 10) == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -37,6 +40,7 @@ def test_stream_equals_batch(spark, tmp_path):
         .option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     )
     assert query.awaitTermination(120)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {(r.run_id, r.event_id, r.armed_at, r.fired_at) for r in spark.table("fired").collect()}
     assert got == want
 
@@ -48,7 +52,7 @@ def test_resume_stream_is_exactly_once(spark, tmp_path):
     def arrive(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source))
         stream = spark.readStream.schema(schema).json(str(source))
-        query = append_results(resume_stream(stream, keys), out, ck)
+        query = append_results(resume_stream(stream, keys, unbounded_state=True), out, ck)
         assert query.awaitTermination(120)
 
     arrive([("a", "x", "1"), ("a", "y", "1"), ("a", "x", "1")])
@@ -57,6 +61,15 @@ def test_resume_stream_is_exactly_once(spark, tmp_path):
     assert got == [("a", "x", "1"), ("a", "y", "1"), ("b", "x", "2")]
 
 
+def test_unbounded_state_is_asked_for(spark):
+    with pytest.raises(ValueError, match="unbounded_state"):
+        resume_stream(spark.createDataFrame([("a",)], "s string"), ["s"])
+
+
+def test_arguments_compare_as_in_the_batch_form():
+    assert comparable(1) == comparable(1.0) != comparable(True) and comparable({"b": 1, "a": 2}) == comparable({"a": 2, "b": 1})
+
+
 def test_resume_batch(spark):
     work = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x")], "s string, b string")
     done = spark.createDataFrame([("b", "x")], "s string, b string")

@@ -84,40 +84,47 @@ def operation_bullets(df: DataFrame, keys: Sequence[str], text: str, kind: str)
     )
 
 
-def repair_json(raw: Column) -> Column:
-    """Drop code fences and trailing commas; turn simple single-quoted strings into double-quoted."""
-    out = F.regexp_replace(tx.strip(raw), r"^```(?:json)?\s*", "")
-    out = F.regexp_replace(out, r"\s*```$", "")
-    out = F.regexp_replace(out, r",\s*([}\]])", "$1")
-    out = F.regexp_replace(out, r"""(?<![\\\w])'([^'\\\n]*)'(?![\w])""", '"$1"')
-    return tx.strip(out)
+#: Pieces of a JSON-like text: strings in double quotes, single-quoted strings in a JSON position, brackets,
+#: commas with the blanks behind them, and what lies between.
+JSON_PIECES = r"""(?s)"(?:[^"\\]|\\.)*+"|'[^'\\\n]*'(?=\s*[:,}\]])|[{\[]|[}\]]|,\s*|[^"'{}\[\],]++|."""
 
 
-def _first_value(snippet: Column, close: str) -> Column:
-    """Shortest prefix ending in ``close`` that is valid JSON: the value the snippet starts with."""
+def _value_from(text: Column, opening: str) -> Column:
+    """Canonical JSON of the value that starts at the first ``opening`` bracket, or null.
 
-    def search(pieces: Column) -> Column:
-        def step(found: Column, i: Column) -> Column:
-            candidate = F.concat(F.array_join(F.slice(pieces, F.lit(1), i), close), F.lit(close))
-            return F.when(found.isNotNull(), found).otherwise(F.to_json(F.try_parse_json(candidate)))
+    One pass cuts the text into pieces and one more counts brackets outside strings up to the closing one, so the
+    work is linear in the text.  A value that does not parse is tried again without commas before closing
+    brackets and with its single-quoted strings in double quotes.
+    """
+    at = F.instr(text, opening)
+    pieces = F.regexp_extract_all(F.substr(text, at, F.length(text)), F.lit(JSON_PIECES), F.lit(0))
 
-        ends = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(ends, F.lit(None).cast("string"), step)
+    def closing(all_: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            depth = acc["depth"] + F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+            seen = acc["seen"] + 1
+            end = F.coalesce(acc["end"], F.when(depth == 0, seen))
+            return F.struct(depth.alias("depth"), seen.alias("seen"), end.alias("end"))
 
-    return tx.let(F.split(snippet, "\\" + close), search)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("end"))
+        return F.slice(all_, F.lit(1), F.aggregate(all_, start, step)["end"])
 
+    def double_quoted(x: Column) -> Column:
+        inner = F.replace(F.substr(x, F.lit(2), F.length(x) - 2), F.lit('"'), F.lit('\\"'))
+        return F.when(F.startswith(x, F.lit("'")) & (F.length(x) > 1), F.concat(F.lit('"'), inner, F.lit('"'))).otherwise(x)
 
-def _json_in(text: Column) -> Column:
-    """First JSON object in a text, else the first array, each also tried after repair."""
+    def parsed(own: Column) -> Column:
+        stray = lambda x, i: F.startswith(x, F.lit(",")) & F.coalesce(F.get(own, i + 1).isin("}", "]"), F.lit(False))
+        tidy = F.transform(F.filter(own, lambda x, i: ~stray(x, i)), double_quoted)
+        read = lambda parts: F.to_json(F.try_parse_json(F.array_join(parts, "")))
+        return F.coalesce(read(own), read(tidy))
 
-    def from_mark(opening: str, close: str, fix: bool) -> Column:
-        at = F.instr(text, opening)
-        snippet = F.substr(text, at, F.length(text))
-        return F.when(at > 0, _first_value(repair_json(snippet) if fix else snippet, close))
+    return F.when(at > 0, tx.let(tx.let(pieces, closing), parsed))
 
-    return F.coalesce(
-        from_mark("{", "}", False), from_mark("{", "}", True), from_mark("[", "]", False), from_mark("[", "]", True)
-    )
+
+def _json_in(text: Column) -> Column:
+    """First JSON object in a text, else the first array."""
+    return F.coalesce(_value_from(text, "{"), _value_from(text, "["))
 
 
 def extract_json(text: Column | str) -> Column:

@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 
-def resume_stream(work: DataFrame, keys: Sequence[str], time_col: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Each key once.  With a time column the seen keys expire after the watermark."""
+def resume_stream(
+    work: DataFrame, keys: Sequence[str], time_col: str | None = None, delay: str = "1 day", unbounded_state: bool = False
+) -> DataFrame:
+    """Each key once; seen keys expire ``delay`` behind the watermark of ``time_col``.
+
+    Without a time column every key is remembered for ever, which a caller must ask for by name.
+    """
     if time_col is None:
+        if not unbounded_state:
+            raise ValueError("give a time column, or ask for unbounded_state")
         return work.dropDuplicates(list(keys))
     return work.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(list(keys))
 

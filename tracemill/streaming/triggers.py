@@ -31,7 +31,14 @@ class Rule:
     fire_args: dict[str, Any] = field(default_factory=dict)
 
     def hits(self, tools: Sequence[str], args: dict[str, Any], tool: str, given: dict[str, Any]) -> bool:
-        return (not tools or tool in tools) and all(given.get(k) == v for k, v in args.items())
+        return (not tools or tool in tools) and all(comparable(given.get(k)) == comparable(v) for k, v in args.items())
+
+
+def comparable(value: Any) -> str:
+    """Text that is equal for equal values, as in the batch form: numbers by value, booleans apart from numbers."""
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        return f"#{float(value)}"
+    return json.dumps(value, sort_keys=True)
 
 
 def arm_then_fire_stream(calls: DataFrame, rules: Sequence[Rule], ttl_ms: int | None = None) -> DataFrame:
@@ -48,8 +55,11 @@ def arm_then_fire_stream(calls: DataFrame, rules: Sequence[Rule], ttl_ms: int |
         else:
             count, armed, fired = 0, {r.event_id: 0 for r in known if not r.activation_tools}, set()
         out = []
-        for batch in batches:
-            for tool, raw in batch.sort_values("pos")[["tool", "arguments"]].itertuples(index=False):
+        # A micro-batch may arrive in several chunks: its calls are put in order together.
+        arrived = list(batches)
+        calls_ = pd.concat(arrived).sort_values("pos", kind="stable") if arrived else None
+        for batch in [] if calls_ is None else [calls_]:
+            for tool, raw in batch[["tool", "arguments"]].itertuples(index=False):
                 given = json.loads(raw) if raw else {}
                 for rule in known:
                     start = armed.get(rule.event_id)
