@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.operators import state
@@ -123,6 +124,16 @@ def test_search_ranks_exact_first(spark):
     assert state.search_entities(fields, "ann", only_fields=["home.city"]).count() == 1
 
 
+def test_search_lists_and_single_records(spark):
+    doc = {"r": {"profile": {"id": "u7", "name": "Ann"}, "notes": {"n1": {"tags": ["red", "Anneke"]}, "n2": {"tags": []}}}}
+    fields = state.searchable_fields(leaves(spark, doc, expand_arrays=True), [])
+    hits = lambda query: {(r.container, r.entity_key) for r in state.search_entities(fields, query).collect()}
+    assert hits("anneke") == {("notes", "n1")} and hits("ann") == {("profile", "u7"), ("notes", "n1")}
+    assert hits("2.0") == set()  # the length of a list is no value
+    with pytest.raises(ValueError, match="non-empty"):
+        state.search_entities(fields, "  ")
+
+
 def test_fold_updates(spark):
     log = [
         ("r", "a", 1, "increment", 2.0), ("r", "a", 2, "set", 5.0), ("r", "a", 3, "increment", 1.0),

@@ -423,6 +423,8 @@ def search_entities(
 
     ``fields`` has one row per (entity, scalar field), including ``entity_key`` itself.
     """
+    if not query.strip():
+        raise ValueError("query must be a non-empty text")
     needle, top = query.strip().lower(), page_limit(limit, 20, 100)
     rows = fields if only_container is None else fields.filter(F.col(container) == only_container)
     if only_fields is not None:
@@ -439,12 +441,35 @@ def search_entities(
     )
 
 
+def single_entities(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, container, single_key)`` of containers that hold one record instead of records by key.
+
+    Such a container has an id-like field of its own; its key is the first of these with a value.
+    """
+    name, plain = F.get("path", F.lit(1)), F.col("kind").isin("string", "number", "boolean")
+    listed = F.array_position(F.array(*[F.lit(f) for f in fixed.ENTITY_ID_FIELDS]), name)
+    rank = F.when(listed > 0, listed).when(name.endswith("_id"), F.lit(len(fixed.ENTITY_ID_FIELDS) + 1))
+    usable = plain & (F.size("path") == 2) & (F.col("value") != "")
+    marked = leaves.select(*keys, F.get("path", F.lit(0)).alias("container"), rank.alias("_rank"), name.alias("_name"), usable.alias("_ok"), "value")
+    best = F.min_by(F.when(F.col("_ok"), F.col("value")), F.when(F.col("_ok"), F.struct("_rank", "_name")))
+    return marked.filter("_rank IS NOT NULL").groupBy(*keys, "container").agg(F.coalesce(best, F.lit("singleton")).alias("single_key"))
+
+
 def searchable_fields(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows for :func:`search_entities`: scalar fields at most two levels deep, plus the key."""
-    container, entity = F.get("path", F.lit(0)), F.get("path", F.lit(1))
-    inner = F.slice("path", F.lit(3), F.greatest(F.size("path") - 2, F.lit(1)))
+    """Rows for :func:`search_entities`: scalar fields at most two levels deep, plus the key.
+
+    Values inside lists are found in leaves flattened with ``expand_arrays``; the list lengths among
+    those are no fields.  A container that is one record is one entity.
+    """
+    keys = list(keys)
+    values = leaves.filter((F.size("path") >= 2) & ~F.try_element_at("path", F.lit(-1)).eqNullSafe(F.lit("[#]")))
+    leaves = values.withColumn("container", F.get("path", F.lit(0))).join(single_entities(values, keys), [*keys, "container"], "left")
+    container, one = F.col("container"), F.col("single_key").isNotNull()
+    entity = F.coalesce("single_key", F.get("path", F.lit(1)))
+    before = F.when(one, 1).otherwise(2)  # path parts that name the entity
+    inner = F.slice("path", before + 1, F.greatest(F.size("path") - before, F.lit(1)))
     scalar = F.col("kind").isin("string", "number", "boolean") & (F.col("value") != "")
-    own = leaves.filter(scalar & F.size("path").between(2, 4)).select(
+    own = leaves.filter(scalar & (F.size("path") - before <= 2)).select(
         *keys,
         container.alias("container"),
         entity.alias("entity_key"),
@@ -452,8 +477,7 @@ def searchable_fields(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("value").alias("field_value"),
     )
     key_rows = (
-        leaves.filter(F.size("path") >= 2)
-        .select(*keys, container.alias("container"), entity.alias("entity_key"))
+        leaves.select(*keys, container.alias("container"), entity.alias("entity_key"))
         .distinct()
         .select("*", F.lit("entity_key").alias("field_name"), F.col("entity_key").alias("field_value"))
     )
