@@ -400,7 +400,7 @@ def forbidden_hits(rules: DataFrame, calls: DataFrame, leaves: DataFrame | None
 
 def _node_facts(leaves: DataFrame) -> DataFrame:
     """Every path that exists in a run: whether it is an object, and the number of leaves at or below it."""
-    steps = leaves.select("run_id", "path", "kind", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_d"))
+    steps = leaves.filter("kind <> 'length'").select("run_id", "path", "kind", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_d"))
     is_object = (F.col("_d") < F.size("path")) | (F.col("kind") == "object")
     node = F.slice("path", F.lit(1), F.col("_d")).alias("node")
     return steps.groupBy("run_id", node).agg(F.bool_or(is_object).alias("is_object"), F.count(F.lit(1)).alias("leaves"))

@@ -93,15 +93,15 @@ def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, expand_arra
         .when(_kind(F.col("_t")) == "number", F.try_variant_get("_v", "$", "double").cast("string"))
         .otherwise(F.col("_t"))
     )
-    return leaves.select(*keys, "path", _kind(F.col("_t")).alias("kind"), value.alias("value")).filter(
-        F.size("path") > 0
-    )
+    is_length = F.try_element_at("path", F.lit(-1)).eqNullSafe(F.lit("[#]"))
+    kind = F.when(is_length, "length").otherwise(_kind(F.col("_t")))
+    return leaves.select(*keys, "path", kind.alias("kind"), value.alias("value")).filter(F.size("path") > 0)
 
 
 def _nodes(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every path that exists, with whether it is an object."""
+    """Every path that exists, with whether it is an object; list lengths are no paths."""
     depth = F.explode(F.sequence(F.lit(1), F.size("path")))
-    steps = leaves.select(*keys, "path", "kind", depth.alias("_d"))
+    steps = leaves.filter("kind <> 'length'").select(*keys, "path", "kind", depth.alias("_d"))
     is_object = (F.col("_d") < F.size("path")) | (F.col("kind") == "object")
     return (
         steps.select(*keys, F.slice("path", F.lit(1), F.col("_d")).alias("node"), is_object.alias("is_object"))
@@ -135,6 +135,7 @@ def _topmost(only: DataFrame, other_leaves: DataFrame, keys: Sequence[str], miss
 def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every differing leaf with the highest differing key (``diff_path``) it belongs to."""
     keys = list(keys)
+    before, after = before.filter("kind <> 'length'"), after.filter("kind <> 'length'")
     b = before.select(*keys, "path", F.col("kind").alias("b_kind"), F.col("value").alias("b_value"))
     a = after.select(*keys, "path", F.col("kind").alias("a_kind"), F.col("value").alias("a_value"))
     same = (F.col("b_kind") == F.col("a_kind")) & F.col("b_value").eqNullSafe(F.col("a_value"))
