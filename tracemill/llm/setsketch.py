@@ -15,7 +15,7 @@ from tracemill.llm.common import Emitter, components, hash_words, materialize, m
 #: Base and offset of the register values, and registers per band.  With so small a base two registers
 #: agree about as often as the minima behind them.
 BASE, RATE, ROWS = 1.001, 20.0, 5
-#: Where a bucket holds several components, up to so many members are paired in a join, more in blocks of ``BLOCK``.
+#: Where a bucket holds several components, up to so many members are paired in a join, more compared in blocks of ``BLOCK``.
 SMALL, BLOCK = 32, 512
 
 
@@ -138,66 +138,81 @@ def _filter_pairs(pairs: DataFrame, percent: int, m: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
-def _shared_shingles(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """``(id, n, lone)`` for ``rows(id, n)``: how many shingles of a document no other of the rows holds.
-
-    Two documents share none of these, so they bound a similarity from above without looking at the pair.
-    """
-    schema = pa.schema([("id", pa.int64()), ("shingle", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for key, text in rows_of(batches, "id", "text"):
-            items = shingle_set(text.lower().split(), k).view(np.int64)
-            for at in range(0, len(items), 1 << 16):
-                part = items[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), key), pa.int64()), pa.array(part)], schema=schema)
-
-    ids = rows.select("id").distinct()
-    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi")
-    held = texts.mapInArrow(run, "id long, shingle long").groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    return held.filter("id = last").groupBy("id").agg(F.count("*").alias("lone"))
-
-
-def _cross_pairs(rows: DataFrame, docs: DataFrame, k: int, percent: int, m: int) -> DataFrame:
-    """Pairs ``(a, b)`` of different components within a bucket, for ``rows(key, id, n, size, regs, component)``.
-
-    Buckets of at most ``SMALL`` members are joined with themselves.  Larger ones are cut into blocks by hash,
-    and each pair of blocks is one group, so no group holds more than two blocks whatever the bucket's size;
-    of these only pairs leave the task that have enough equal registers and enough shingles that any
-    other document holds at all.
-    """
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components in buckets of at most ``SMALL`` members, for ``rows(key, id, n, size, component)``."""
     small = rows.filter(F.col("size") <= SMALL).select("key", "id", "n", "component")
     one, two = (small.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "component"))) for side in "ab")
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = one.join(two, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
-    large = rows.filter(F.col("size") > SMALL).withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    lone = materialize(_shared_shingles(large, docs, k), "lone")
-    large = large.join(lone, "id", "left").withColumn("held", F.col("n") - F.coalesce("lone", F.lit(0)))
-    spread = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "held", "regs", "component")
-    enough = (percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / m)) * m
+
+def _block_links(one, two, same: bool, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the documents of two blocks, exact: per document one for each component it is linked with.
+
+    Shingles that a single document of the blocks holds take no part in any intersection; the others give
+    the columns of two 0/1 matrices whose product holds all intersections.
+    """
+    if not len(one) or not len(two):
+        return []
+    sides = [[shingle_set(t.lower().split(), k) for t in p["text"]] for p in (one, two)]
+    both = sides[0] + ([] if same else sides[1])
+    values, times = np.unique(np.concatenate(both), return_counts=True)
+    values = values[times > 1]
+    common = np.zeros((len(one), len(two)), np.float32)
+    for at in range(0, len(values), 8192):
+        part = values[at : at + 8192]
+        flags = []
+        for own in sides:
+            flag = np.zeros((len(own), len(part)), np.float32)
+            for i, items in enumerate(own):
+                where = np.searchsorted(part, items)
+                flag[i, where[(where < len(part)) & (part[np.minimum(where, len(part) - 1)] == items)]] = 1
+            flags.append(flag)
+        common += flags[0] @ flags[1].T
+    sizes = [np.array([len(x) for x in own], np.float64) for own in sides]
+    linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+    linked &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
+    ids, parts, out = two["id"].to_numpy(), two["component"].to_numpy(), []
+    for i, own in enumerate(one["id"]):
+        hit = np.flatnonzero(linked[i])
+        _, first = np.unique(parts[hit], return_index=True)
+        out += [(int(own), int(ids[hit[x]])) for x in first]
+    return out
+
+
+def _large_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components in buckets of more than ``SMALL`` members, for ``rows(leader, id, size, component)``.
+
+    Buckets with one leader are compared together, so a document that shares many bands counts once.  The members
+    outside the group's largest component are compared with all others, the largest component is not compared
+    with itself.  Both are cut into blocks by hash; each pair of blocks is one group, so no group holds more than
+    two blocks, and only links leave it.
+    """
+    large = rows.filter(F.col("size") > SMALL).select("leader", "id", "component").distinct()
+    counts = large.groupBy("leader", "component").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    top = F.ceil(F.col("top.n") / BLOCK).alias("most")
+    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rest")
+    tops = materialize(tops.filter("all > top.n").select("leader", F.col("top.component").alias("main"), top, rest), "tops")
+    placed = large.join(tops, "leader")
+    is_main, draw = F.col("component") == F.col("main"), F.xxhash64("id")
+    block = F.when(is_main, F.pmod(draw, F.col("most"))).otherwise(F.col("most") + F.pmod(draw, F.col("rest")))
+    zero = F.lit(0).cast("long")
+    others = F.when(is_main, F.sequence(F.col("most"), F.col("most") + F.col("rest") - 1)).otherwise(F.sequence(zero, F.col("most") + F.col("rest") - 1))
+    texts = docs.select("id", F.col("text").cast("binary").alias("text")).join(placed.select("id").distinct(), "id", "left_semi")
+    texts = materialize(texts, "texts")
+    spread = placed.withColumn("block", block).withColumn("other", F.explode(others)).join(texts, "id")
+    spread = spread.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "text")
 
     def run(key, pdf):
         import pandas as pd
 
         one, two = pdf[pdf["block"] == key[1]], pdf[pdf["block"] == key[2]]
-        found = [np.empty((0, 2), np.int64)]
-        if len(one) and len(two):
-            x, y = (np.frombuffer(b"".join(p["regs"]), np.uint16).reshape(-1, m) for p in (one, two))
-            ids, parts, sizes, helds = (two[c].to_numpy() for c in ("id", "component", "n", "held"))
-            for i, (own, part, n, held) in enumerate(zip(one["id"], one["component"], one["n"], one["held"], strict=True)):
-                most = np.minimum(helds, held)  # common shingles at most
-                far = (parts != part) & (100 * most >= percent * (sizes + n - most))
-                if key[1] == key[2]:
-                    far &= ids > own
-                far = np.flatnonzero(far)
-                hit = ids[far[(y[far] == x[i]).sum(axis=1) >= enough]]
-                found.append(np.stack([np.minimum(hit, own), np.maximum(hit, own)], axis=1))
-        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
-
-    return pairs.union(spread.groupBy("key", "i", "j").applyInPandas(run, "a long, b long")).distinct()
+        found = _block_links(one, two, key[1] == key[2], k, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+
+    return spread.groupBy("leader", "i", "j").applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -210,9 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Bands of register values are hashed; in a bucket each member is paired with the bucket's leader, and of
        a member's leaders the one that shares most bands is tried first.
     3. Pairs pass the joint likelihood estimate, then a test on whole sets; components follow.
-    4. In buckets that still hold several components all pairs between these are tried the same way, block
-       by block.  So every pair that shares a band is tested or lies within one component already, and
-       large groups cost one test per member instead of one per pair.
+    4. In buckets that still hold several components all pairs between these are tried: small buckets the same
+       way, large ones on whole sets, block by block.  So every pair that shares a band is tested or lies
+       within one component already, and large groups cost one test per member instead of one per pair.
 
     Null or wordless texts have no shingle and no link.  Rows with a null id are dropped; a repeated id counts
     as one document per distinct text, all linked through the id.  Other columns are ignored.
@@ -245,11 +260,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(links)
     placed = members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = materialize(placed.join(mixed, "key").join(sets.drop("set_key"), "id"), "mixed")
+    placed = placed.join(mixed, "key").join(heads.select("key", "leader"), "key").join(sets.select("id", "n"), "id")
+    placed = materialize(placed, "mixed")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crossed = _cross_pairs(placed, base, shingle, percent, m).join(tried, ["a", "b"], "left_anti")
+    crossed = _small_pairs(placed, percent).join(tried, ["a", "b"], "left_anti")
     more = materialize(_filter_pairs(crossed.join(right, "b").join(left, "a"), percent, m), "likely")
     links = links.union(materialize(_verified(more, base, shingle, percent), "links"))
+    links = links.union(materialize(_large_links(placed, base, shingle, percent), "links"))
 
     # Every document of a set hangs on the set's representative.
     own = sets.select("set_key", F.col("id").alias("rep"))
