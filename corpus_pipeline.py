@@ -35,7 +35,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=1)
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
 STAGES = [

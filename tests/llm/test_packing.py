@@ -108,3 +108,25 @@ def test_pieces_cover_all_documents(spark):
     assert pk.pack_documents(empty_documents(spark), RANKS, 1).count() == 0
     again = pk.pack_documents(docs.repartition(7), RANKS, 1)
     assert sorted(map(tuple, again.filter("doc_id is not null").collect())) == sorted(tuple(r) for r in rows if r["doc_id"] is not None)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=20), st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "'s"])), max_size=12))
+def test_added_tokens_are_those_of_the_tokenizer_as_loaded(parts):
+    text = "".join(parts)
+    assert pk.token_ids(text, JSON, 1).tolist() == [*_LOADED.encode(text, add_special_tokens=False).ids, 1]
+
+
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+_LOADED = Tokenizer.from_file(JSON)
+
+
+def test_query_matches_added_tokens(spark, tmp_path):
+    from tracemill.llm.catalog import QUERIES
+
+    text = "it's <|endoftext|> 12% $5"
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = np.array([*_LOADED.encode(text, add_special_tokens=False).ids, 1], "<u4")
+    rows = QUERIES["op1_hierarchical_packing"](spark, str(tmp_path)).collect()
+    assert [(r["doc_tokens"], r["length"]) for r in rows] == [(9, 9)] and 50256 in ids
+    assert rows[0]["ids_crc32"] == zlib.crc32(ids.tobytes())

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,19 +26,31 @@ PARTS = 1024
 
 
 def coder(path: str):
-    """The byte-level BPE of a rank file; special tokens are ordinary text."""
+    """The byte-level BPE of a tokenizer file (``.json``) or of a rank file.
+
+    A tokenizer file gives the added tokens, which are matched in plain text as ``tokenizers`` does; its merges
+    are read from the rank file beside it.  A rank file alone has no added tokens.
+    """
     import public_tokenizers
     import tiktoken
 
+    added = {}
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            for token in json.load(file)["added_tokens"]:
+                if token["single_word"] or token["lstrip"] or token["rstrip"]:
+                    raise ValueError(f"added token {token['content']!r} is matched with its surroundings")
+                added[token["content"]] = token["id"]
+        path = path.removesuffix(".json") + ".tiktoken"
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
     """Ids of a text (null: none) and ``end_id`` as little-endian unsigned 32-bit numbers."""
     bpe = cached(("bpe", path), lambda: coder(path))
-    return np.array([*bpe.encode_ordinary(text or ""), end_id], "<u4")
+    return np.array([*bpe.encode(text or "", allowed_special="all"), end_id], "<u4")
 
 
 def parts_of(length: int, tiers: tuple[int, ...] = TIERS) -> list[int]:
@@ -50,7 +63,7 @@ def parts_of(length: int, tiers: tuple[int, ...] = TIERS) -> list[int]:
     return out + [length] * (length > 0)
 
 
-def pieces(docs: DataFrame, ranks_path: str, end_id: int, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, bpe_path: str, end_id: int, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, start, length, crcs, doc_tokens)``: each document cut at multiples of the largest tier.
 
     ``crcs`` holds the CRC-32 of the piece's ids and then those of its ``parts_of``.
@@ -62,7 +75,7 @@ def pieces(docs: DataFrame, ranks_path: str, end_id: int, tiers: tuple[int, ...]
     def run(batches: Iterator[pa.RecordBatch]):
         out = Emitter(schema)
         for key, text in rows_of(batches, "id", "text"):
-            ids = token_ids(text, ranks_path, end_id)
+            ids = token_ids(text, bpe_path, end_id)
             for start in range(0, len(ids), tiers[-1]):
                 piece = ids[start : start + tiers[-1]]
                 edges = np.cumsum([0, *parts_of(len(piece), tiers)])
@@ -266,16 +279,16 @@ def pack(rows: DataFrame, tiers: tuple[int, ...] = TIERS) -> DataFrame:
     return slim.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, end_id: int, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, bpe_path: str, end_id: int, tiers: tuple[int, ...] = TIERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all rows of ``docs``: see ``pieces`` and ``pack``.
 
     A null or empty text is its end id alone.  A repeated row is packed as often as it occurs; a null id is
     carried through.  An empty table gives no row.  Other columns are ignored.
     """
-    return pack(pieces(docs, ranks_path, end_id, tiers, id_col, text_col), tiers)
+    return pack(pieces(docs, bpe_path, end_id, tiers, id_col, text_col), tiers)
 
 
-def with_ids(packed: DataFrame, docs: DataFrame, ranks_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_ids(packed: DataFrame, docs: DataFrame, bpe_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``packed`` with the token ids of each piece as ``ids array<int>``, for writing training shards."""
     spans = packed.groupBy("doc_id").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("spans"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropDuplicates(["doc_id"])
@@ -284,7 +297,7 @@ def with_ids(packed: DataFrame, docs: DataFrame, ranks_path: str, end_id: int, i
     def run(batches: Iterator[pa.RecordBatch]):
         out = Emitter(schema)
         for key, text, own in rows_of(batches, "doc_id", "text", "spans"):
-            ids = token_ids(text, ranks_path, end_id)
+            ids = token_ids(text, bpe_path, end_id)
             for s in own:
                 cut = ids[s["start"] : s["start"] + s["length"]]
                 yield from out.add((key, s["sequence_id"], s["offset"], cut.astype(np.int32)), cut.nbytes)

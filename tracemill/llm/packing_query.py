@@ -11,5 +11,4 @@ from tracemill.llm.queries import query, read
 @query("op1_hierarchical_packing")
 def op1(spark, folder):
     """All documents in sequences of at most 2048 tokens."""
-    # The rank file holds the same vocabulary as byte_bpe_50k.json and is read several times as fast.
-    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), end_id=1)
+    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
