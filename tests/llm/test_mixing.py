@@ -92,3 +92,40 @@ def test_odd_rows(spark):
     got = {r["doc_id"]: r["n"] for r in rows.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert all(got.get(i, 0) == c * (2 if i == 5 else 1) for i, c in copies.items())
     assert mx.mix(empty_documents(spark), mx.cycle_weights).count() == 0
+
+
+def test_one_long_document_leaves_no_gap(spark):
+    """Whatever is left out is larger than the gap, also where thousands of small documents must fill it."""
+    rows = [(i, 200 + i * 7919 % 400, "a") for i in range(4000)] + [(9000 + i, 200_000, "a") for i in range(4)]
+    rows += [(10_000 + i, 400, "b") for i in range(3000)] + [(20_000, 17, "b"), (20_000, 17, "b")]
+    df = spark.createDataFrame(rows, "id long, n int, source string").select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.col("n")).alias("text"), "source")
+    for seed in range(6):
+        out = mx.mix(df, mx.cycle_weights, seed=seed).collect()
+        assert len(out) == len(rows)
+        for s in "ab":
+            own = [r for r in out if r["sources"] == [s]]
+            low = min(r["copies"] for r in own)
+            gap = own[0]["target"] - sum(r["copies"] * r["size"] for r in own)
+            assert -1 <= gap < min(r["size"] * (2 if r["id"] == 20_000 else 1) for r in own if r["copies"] == low) + 1
+        assert len({r["copies"] for r in out if r["id"] == 20_000}) == 1
+
+
+def test_fill_leaves_nothing_that_fits():
+    assert mx.fill(1000, [(599, 5), (300, 1), (100, 9), (7, 1)]) == [(599, 1), (300, 1), (100, 1)]
+    assert mx.fill(5, [(6, 3)]) == []
+
+
+def test_any_number_of_sources(spark):
+    docs = spark.range(45_000).select(
+        F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") * 37 % 50 + 1).cast("int")).alias("text"), F.concat(F.lit("h"), F.col("id") % 30_000).alias("source")
+    )
+    out = mx.mix(docs, mx.cycle_weights)
+    sizes = {}
+    for r in out.select("sources", "size", "source_size", "target").collect():
+        sizes.setdefault(r["sources"][0], [0, r["source_size"], r["target"]])[0] += r["size"]
+    names = sorted(sizes)
+    want = mx.targets({s: sizes[s][0] for s in names}, mx.cycle_weights(names))
+    assert len(names) == 30_000 and all(n == m and abs(t - want[s]) <= 1e-6 * want[s] for s, (n, m, t) in sizes.items())
+    # Only patterns of several sources go to the flow.
+    several = docs.select("doc_id", "text", F.when(F.col("doc_id") < 10, F.array(F.lit("x"), F.lit("h3"))).otherwise(F.array("source")).alias("source"))
+    assert mx.mix(several, mx.cycle_weights).filter("copies > 0 AND id < 10").count() > 0

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import WORD, materialize
+from tracemill.llm.common import WORD, Emitter, materialize, rows_of
 
 #: Words per copy cost these amounts: each further copy of a document costs more than the one before.
 COPY_COST = (0, 1, 3)
-#: The flow is solved on one row per membership pattern; more patterns than this are refused.
+#: The flow is solved on one row per pattern of several sources; more of these are refused.
 MAX_PATTERNS = 20_000
 #: Of patterns that share sources, directly or through others, more than this are refused.
 MAX_OVERLAPS = 2_000
 #: Documents of a pattern are split into so many hash ranges when the share of one more copy is chosen.
 RANGES = 1 << 12
 SEED = 20_240_601
-#: Documents of each binary size class that may fill what whole documents leave of a pattern's amount.
-SPARES = 16
+#: A gap is filled in seeded order with documents that are smaller by this factor, the rest of it by size.
+SMALL = 64
 
 
 def targets(sizes: dict, weights: dict, most: float = len(COPY_COST)) -> dict:
@@ -124,62 +127,136 @@ def _flow(names: list[tuple], patterns: dict[tuple, int], quotas: dict, costs: t
         room[goal[1]] -= amount
 
 
-def select(sizes: DataFrame, amounts: dict[tuple, float], totals: dict[tuple, int], seed: int = SEED) -> DataFrame:
-    """Copies per document so that each pattern gives its amount of words; ``sizes(id, sources, size, ...)`` plus ``copies``.
+def shares(sizes: DataFrame, weights) -> DataFrame:
+    """``(name, size, target)`` of ``sizes(name, size)``: ``targets`` for any number of sources.
 
-    Every document of a pattern gets ``amount div total`` copies.  One more goes to documents in the order of
-    a seeded hash while they fit the rest; what is then still missing is filled with others, ``SPARES``
-    of each binary size class at most, largest first.  Only the hash range in which the rest ends is
-    put in order.
+    If ``weights`` has a ``column`` form (weight by the rank of a name), no name reaches the driver: the level that
+    the targets of uncapped sources share per weight is raised until no further source is above its most.
     """
-    spark = sizes.sparkSession
-    plan = []
-    for p, total in totals.items():
-        whole = int(amounts.get(p, 0.0) // total) if total else 0
-        plan.append((list(p), whole, round(amounts.get(p, 0.0) - whole * total)))
-    kind = T.ArrayType(sizes.schema["sources"].dataType.elementType)
-    schema = T.StructType([T.StructField("sources", kind), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.LongType())])
-    # At most MAX_PATTERNS rows: broadcast, so documents of a common pattern stay where they are.
-    plans = F.broadcast(spark.createDataFrame(plan, schema).withColumnRenamed("sources", "_sources"))
-    drawn = F.xxhash64(F.lit(seed), "id", "size")
-    docs = sizes.withColumn("_draw", drawn).withColumn("_range", F.shiftrightunsigned("_draw", 52).cast("int"))
-    docs = docs.join(plans, F.col("sources").eqNullSafe(F.col("_sources"))).drop("_sources")
-
-    ranges = docs.groupBy("sources", "_range").agg(F.sum("size").alias("words"))
+    most, last = float(len(COPY_COST)), F.col("name").asc_nulls_last()
+    if not hasattr(weights, "column"):
+        rows = sizes.collect()
+        own = {r["name"]: r["size"] for r in sorted(rows, key=lambda r: (r["name"] is None, r["name"] or ""))}
+        goal = targets(own, weights(list(own))) if own else {}
+        return sizes.sparkSession.createDataFrame([(s, n, float(goal[s])) for s, n in own.items()], "name string, size long, target double")
+    parts = materialize(sizes.repartitionByRange(last).withColumn("_part", F.spark_partition_id()), "names")
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    before = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(last)) - 1
+    weighed = parts.join(before, "_part").select("name", "size", weights.column(rank).cast("double").alias("weight"))
+    weighed = materialize(weighed, "weights")
+    total, level = float(weighed.agg(F.sum("size")).first()[0] or 0), 0.0
+    while True:
+        over = F.lit(level) * F.col("weight") > most * F.col("size")
+        row = weighed.agg(F.sum(F.when(over, F.col("size"))).alias("full"), F.sum(F.when(~over, F.col("weight"))).alias("open")).first()
+        higher = (total - most * (row["full"] or 0)) / row["open"] if row["open"] else level
+        if higher <= level:
+            break
+        level = higher
+    return weighed.select("name", "size", F.least(most * F.col("size"), level * F.col("weight")).alias("target"))
+
+
+def _same(left, right):
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def _prefix(docs: DataFrame, want: str) -> DataFrame:
+    """``docs`` with ``extra``: 1 for documents in the order of ``_draw`` while their running sum fits the pattern's ``want``.
+
+    Only the hash range in which it ends is put in order.
+    """
+    ranges = docs.groupBy("sources", "_range").agg(F.sum("unit").alias("words"), F.first(want).alias("want"))
     upto = Window.partitionBy("sources").orderBy("_range")
     ranges = ranges.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    ranges = ranges.join(plans, F.col("sources").eqNullSafe(F.col("_sources"))).drop("_sources")
-    edge = ranges.filter("before <= rest").groupBy("sources").agg(F.max(F.struct("_range", "before")).alias("edge"))
-    edge = edge.select(F.col("sources").alias("_sources"), "edge.*").withColumnRenamed("_range", "_edge")
-    edge = F.broadcast(materialize(edge, "edges"))  # one row per pattern
-    docs = docs.join(edge, F.col("sources").eqNullSafe(F.col("_sources"))).drop("_sources")
-
-    # Within the edge range: take in order while the running sum fits.
-    running = F.sum("size").over(Window.partitionBy("sources").orderBy("_draw", "id")) + F.col("before")
-    inner = docs.filter("_range = _edge").withColumn("_run", running)
-    inner = inner.withColumn("extra", F.when(F.col("_run") <= F.col("rest"), 1).otherwise(0)).drop("_run")
-    outer = docs.filter("_range <> _edge").withColumn("extra", F.when(F.col("_range") < F.col("_edge"), 1).otherwise(0))
-    chosen = materialize(outer.unionByName(inner), "chosen")
-
-    # What is missing per pattern, and candidates of each size class among the documents left out.
-    order = Window.partitionBy("sources", "_class").orderBy("_draw", "id")
-    spare = chosen.filter("extra = 0 AND size > 0").withColumn("_class", F.length(F.bin("size")))
-    spare = spare.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= SPARES)
-    pick = F.struct("size", "_draw", "id")
-    spare = spare.groupBy("sources").agg(F.sort_array(F.collect_list(pick), False).alias("picks"))  # at most 64 x SPARES rows
-    taken = chosen.groupBy("sources").agg(F.sum(F.col("extra") * F.col("size")).alias("got"), F.first("rest").alias("rest"))
-    gap = taken.withColumn("gap", F.col("rest") - F.col("got")).join(spare, "sources")
-    step = lambda acc, x: F.when(
-        x["size"] <= acc["gap"],
-        F.struct((acc["gap"] - x["size"]).alias("gap"), F.array_append(acc["ids"], F.struct(x["id"].alias("id"), x["_draw"].alias("draw"))).alias("ids")),
-    ).otherwise(acc)
-    nothing = F.array().cast("array<struct<id:bigint,draw:bigint>>")
-    filled = gap.withColumn("fill", F.aggregate("picks", F.struct(F.col("gap").alias("gap"), nothing.alias("ids")), step))
-    added = filled.select("sources", F.explode("fill.ids").alias("_add")).select(F.col("sources").alias("_s"), "_add.id", "_add.draw")
-    added = F.broadcast(materialize(added, "added").withColumnRenamed("id", "_id"))  # at most 64 x SPARES rows per pattern
-    hit = (F.col("id").eqNullSafe(F.col("_id"))) & (F.col("_draw") == F.col("draw")) & F.col("sources").eqNullSafe(F.col("_s"))
-    out = chosen.join(added, hit, "left").withColumn("extra", F.when(F.col("_id").isNotNull(), 1).otherwise(F.col("extra")))
-    return out.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(len(COPY_COST)))).drop("_draw", "_range", "whole", "rest", "_edge", "before", "extra", "_id", "draw", "_s")
+    edge = ranges.filter("before <= want").groupBy("sources").agg(F.max(F.struct("_range", "before")).alias("edge"))
+    edge = edge.select(F.col("sources").alias("_s"), F.col("edge._range").alias("_edge"), F.col("edge.before").alias("_before"))
+    edge = materialize(edge, "edges")  # one row per pattern
+    docs = docs.join(edge, _same("sources", "_s")).drop("_s")
+    running = F.sum("unit").over(Window.partitionBy("sources").orderBy("_draw", "id", "size")) + F.col("_before")
+    inner = docs.filter("_range = _edge").withColumn("extra", (running <= F.col(want)).cast("int"))
+    outer = docs.filter("_range <> _edge").withColumn("extra", (F.col("_range") < F.col("_edge")).cast("int"))
+    return outer.unionByName(inner).drop("_edge", "_before")
+
+
+def _gaps(docs: DataFrame, want: str) -> DataFrame:
+    """What the chosen of ``docs`` leave of each pattern's ``want``."""
+    gap = F.first(want) - F.sum(F.col("extra") * F.col("unit"))
+    return materialize(docs.groupBy("sources").agg(gap.alias("gap")).withColumnRenamed("sources", "_s"), "gaps")
+
+
+def fill(gap: int, counts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``(size, how many)`` that fill ``gap`` from ``counts(size, how many there are)``, largest first: nothing left out fits."""
+    out = []
+    for size, n in sorted(counts, reverse=True):
+        take = min(n, gap // size)
+        if take:
+            out.append((size, take))
+            gap -= take * size
+    return out
+
+
+def _fills(left: DataFrame) -> DataFrame:
+    """``(_s, _unit, take)``: ``fill`` of each pattern.  Distinct sizes are few: at most the root of twice the pattern's words."""
+    counts = left.filter("unit > 0 AND unit <= gap").groupBy("sources", "unit").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))
+    lists = counts.groupBy("sources").agg(F.first("gap").alias("gap"), F.collect_list("unit").alias("units"), F.collect_list("n").alias("counts"))
+    schema = pa.schema([("_s", pa.list_(pa.string())), ("_unit", pa.int64()), ("take", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        out = Emitter(schema)
+        for names, gap, units, many in rows_of(batches, "sources", "gap", "units", "counts"):
+            for unit, take in fill(gap, list(zip(units, many, strict=True))):
+                yield from out.add((names, unit, take))
+        yield from out.flush()
+
+    return materialize(lists.mapInArrow(run, "_s array<string>, _unit long, take long"), "fills")
+
+
+def select(sizes: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
+    """Copies per document so that each pattern gives its amount of words; ``sizes(id, sources, size)`` plus ``copies``.
+
+    ``plans(sources, whole, rest, ...)`` has one row per pattern.  Every document of a pattern gets ``whole``
+    copies.  One more goes to documents in the order of a seeded hash while they fit the rest.  What a document too
+    large leaves open is filled in the same order with documents that are small beside the gap, and the last of it
+    with the largest that fit, until none does.
+    """
+    docs = sizes.groupBy("sources", "id", "size").agg(F.count("*").alias("n")).withColumn("unit", F.col("n") * F.col("size"))
+    docs = docs.withColumn("_draw", F.xxhash64(F.lit(seed), "id", "size")).withColumn("_range", F.shiftrightunsigned("_draw", 52).cast("int"))
+    docs = docs.join(plans.withColumnRenamed("sources", "_s"), _same("sources", "_s")).drop("_s")
+    first = materialize(_prefix(docs, "rest"), "chosen")
+    left = first.filter("extra = 0").join(_gaps(first, "rest"), _same("sources", "_s")).drop("_s")
+    small = (F.col("unit") > 0) & (F.col("unit") * SMALL <= F.col("gap"))
+    second = _prefix(left.filter(small).drop("extra"), "gap").unionByName(left.filter(~small))
+    second = materialize(second, "chosen")
+    left = second.filter("extra = 0").drop("gap").join(_gaps(second, "gap"), _same("sources", "_s")).drop("_s")
+    third = left.join(_fills(left), _same("sources", "_s") & (F.col("unit") == F.col("_unit")), "left").drop("_s", "_unit")
+    third = materialize(third, "chosen")
+
+    # Of documents of one size the first by hash; ranks are counts of the ranges before and row numbers within.
+    own = third.filter("take IS NOT NULL")
+    upto = Window.partitionBy("sources", "unit").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.groupBy("sources", "unit", "_range").count().withColumn("_before", F.coalesce(F.sum("count").over(upto), F.lit(0)))
+    before = before.select(F.col("sources").alias("_s"), F.col("unit").alias("_u"), F.col("_range").alias("_r"), "_before")
+    own = own.join(before, _same("sources", "_s") & (F.col("unit") == F.col("_u")) & (F.col("_range") == F.col("_r"))).drop("_s", "_u", "_r")
+    number = F.row_number().over(Window.partitionBy("sources", "unit", "_range").orderBy("_draw", "id", "size"))
+    own = own.withColumn("extra", (number + F.col("_before") <= F.col("take")).cast("int"))
+    columns = [*plans.columns, "id", "size", "n", "extra"]
+    out = [first.filter("extra = 1"), second.filter("extra = 1"), third.filter("take IS NULL"), own]
+    out = reduce(DataFrame.unionByName, (x.select(*columns) for x in out))
+    out = out.withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(len(COPY_COST))).cast("int"))
+    return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("whole", "rest", "n", "extra", "_n")
+
+
+def _overlapping(patterns: DataFrame, quota: DataFrame) -> dict[tuple, float]:
+    """``flow`` over the patterns of several sources and those that share a source with one; the others need none."""
+    several = patterns.filter("size(sources) > 1").limit(MAX_PATTERNS + 1).collect()
+    if len(several) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of several sources; merge rare sources first")
+    if not several:
+        return {}
+    names = patterns.sparkSession.createDataFrame([(s,) for s in {s for r in several for s in r["sources"]}], "_s string")
+    quotas = {r["name"]: r["target"] for r in quota.join(names, _same("name", "_s")).collect()}
+    one = patterns.filter("size(sources) = 1").join(names, F.col("sources")[0].eqNullSafe(F.col("_s"))).collect()
+    return flow({tuple(r["sources"]): r["words"] for r in [*several, *one]}, quotas)
 
 
 def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source", seed: int = SEED) -> DataFrame:
@@ -195,25 +272,29 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
     many = isinstance(docs.schema[sources].dataType, T.ArrayType)
     own = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>")))) if many else F.array(F.col(sources).cast("string"))
     sizes = docs.select(
-        F.col(id_col).cast("long").alias("id"), own.alias("sources"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+        F.col(id_col).cast("long").alias("id"), own.cast("array<string>").alias("sources"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     )
     sizes = materialize(sizes, "sizes")
-    rows = sizes.groupBy("sources").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge rare sources first")
-    totals = {tuple(r["sources"]): r["words"] for r in rows}
-    names = sorted({s for p in totals for s in p}, key=lambda s: (s is None, s or ""))
-    size = {s: sum(w for p, w in totals.items() if s in p) for s in names}
-    quota = targets(size, weights(names)) if names else {}
-    words = sum(totals[p] for p in totals if p)
-    if sum(quota.values()) > 0 and many:  # overlapping sources: the documents' own words are shared
-        quota = {s: q * words / sum(size.values()) for s, q in quota.items()}
-    amounts = flow({p: w for p, w in totals.items() if p}, quota)
-    out = select(sizes, amounts, totals, seed)
-    facts = [(list(p), size[p[0]] if len(p) == 1 else None, quota[p[0]] if len(p) == 1 else None) for p in totals]
-    kind = T.StructType([T.StructField("_s", T.ArrayType(T.StringType())), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    facts = F.broadcast(docs.sparkSession.createDataFrame(facts, kind))  # at most MAX_PATTERNS rows
-    return out.join(facts, F.col("sources").eqNullSafe(F.col("_s"))).drop("_s")
+    patterns = materialize(sizes.groupBy("sources").agg(F.sum("size").alias("words")), "patterns")
+    members = patterns.select(F.explode("sources").alias("name"), "words").groupBy("name").agg(F.sum("words").alias("size"))
+    quota = shares(members, weights).withColumnRenamed("size", "source_size")
+    if many:  # overlapping sources: the documents' own words are shared
+        words, total = patterns.filter("size(sources) > 0").agg(F.sum("words")).first()[0], quota.agg(F.sum("source_size")).first()[0]
+        quota = quota.withColumn("target", F.col("target") * F.lit(words / total if total else 1.0))
+    quota = materialize(quota, "quotas")
+    one = patterns.filter("size(sources) = 1").join(quota, F.col("sources")[0].eqNullSafe(F.col("name"))).drop("name")
+    # A source of its own gives its quota, as far as three copies reach.
+    plans = one.withColumn("amount", F.least("target", float(len(COPY_COST)) * F.col("words")))
+    plans = plans.unionByName(patterns.filter("size(sources) <> 1").withColumn("amount", F.lit(0.0)), allowMissingColumns=True)
+    amounts = _overlapping(patterns, quota) if many else {}
+    if amounts:
+        flown = docs.sparkSession.createDataFrame([(list(p), a) for p, a in amounts.items()], "_s array<string>, flown double")
+        plans = plans.join(flown, _same("sources", "_s"), "left").withColumn("amount", F.coalesce("flown", "amount")).drop("_s", "flown")
+    whole = F.coalesce(F.floor(F.col("amount") / F.nullif(F.col("words"), F.lit(0))), F.lit(0)).cast("int")
+    rest = F.rint(F.col("amount") - F.col("whole") * F.col("words")).cast("long")
+    plans = plans.withColumn("whole", whole).withColumn("rest", rest)
+    plans = materialize(plans.select("sources", "source_size", "target", "whole", "rest"), "plans")
+    return select(sizes, plans, seed).select("id", "sources", "size", "copies", "source_size", "target")
 
 
 def cycle_weights(names: list) -> dict:
@@ -221,6 +302,9 @@ def cycle_weights(names: list) -> dict:
     return {s: i % 3 + 1 for i, s in enumerate(names)}
 
 
+cycle_weights.column = lambda rank: rank % 3 + 1
+
+
 def mix_documents(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources: str = "source", seed: int = SEED) -> DataFrame:
     """The rows of ``docs``, each as many times as ``mix`` takes it, with all columns; rows with a null id go.
 
