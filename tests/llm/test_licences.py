@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from tests.llm.util import empty_documents, odd_documents, prose
 from tracemill.llm import licences as lc
@@ -46,3 +47,21 @@ def test_odd_rows(spark):
     assert len(out) == docs.count() and not any(r["families"] for r in out)
     assert {r["n_paragraphs"] for r in out if r["id"] in (0, 1, 2)} == {0}
     assert lc.scan(empty_documents(spark), lc.train(empty_documents(spark))).count() == 0
+
+
+def test_wrapped_notices(spark):
+    """Each template wrapped as in files, behind comment signs and amid other text."""
+    rng = random.Random(3)
+    rows, want = [(i, " ".join(prose(rng, 30)), "en", "s") for i in range(300)], {}
+    for family, own in lc.TEMPLATES.items():
+        for template in own:
+            for width in (72, 30):
+                around = [" ".join(prose(rng, 9)) for _ in range(2)]
+                lines = textwrap.wrap(f"{around[0]}. {template}. {around[1]}", width)
+                want[1000 + len(want)] = family
+                rows.append((999 + len(want), "\n".join(["Title", "", *(f" * {x}" for x in lines), " *", " * more"]), "en", "s"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r for r in lc.scan(docs, lc.train(docs)).collect()}
+    assert [(f, got[i]["families"], rows[i - 700][1]) for i, f in want.items() if got[i]["families"] != [f]] == []
+    assert all(got[i]["restricted"] == (f in lc.RESTRICTED) for i, f in want.items())
+    assert not any(got[i]["families"] for i in range(300))

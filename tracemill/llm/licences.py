@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,9 +47,14 @@ BINS, BACKGROUND, VARIANTS = 1 << 12, 2_000, 48
 UNIT = 40
 #: A family counts if its calibrated probability is this high and it holds this share of a template's word pairs.
 LEAST_PROBABILITY, LEAST_OVERLAP = 0.5, 0.6
+#: Joined lines are searched in windows of twice this many words; each shares this many with the next, more than a template has.
+HALF, AROUND = 40, 4
 
 _WORD = re.compile(rb"[0-9a-z]+(?:[.'-][0-9a-z]+)*|[^\x00-\x7f]+")
 
+#: A line that ends within a hyphened word, with the comment sign of the next one.
+_BROKEN = re.compile(rb"(?<=[0-9A-Za-z]-)[ \t\r]*\n[ \t]*(?:[*#/;%]+[ \t]*)?(?=[0-9A-Za-z])")
+
 
 def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
@@ -90,6 +96,61 @@ def overlap(words: list[bytes], family: str) -> float:
     return max(len(own & t) / len(t) for t in TEMPLATE_PAIRS[family])
 
 
+#: Templates that hold a word pair, and the pairs that confirm each.
+_HOLDERS: dict[tuple, list[int]] = {}
+_LEAST: list[float] = []
+for _own in TEMPLATE_PAIRS.values():
+    for _pairs in _own:
+        for _pair in _pairs:
+            _HOLDERS.setdefault(_pair, []).append(len(_LEAST))
+        _LEAST.append(LEAST_OVERLAP * len(_pairs))
+
+
+def wrapped(text: bytes) -> list[list[bytes]]:
+    """Words of each place where the joined lines of a paragraph hold enough of a template and a line ends within it.
+
+    Paragraphs end at lines without a word.
+    """
+    out: list[list[bytes]] = []
+    words: list[bytes] = []
+    ends: set[int] = set()  # places of the last words of lines
+    for line in [*text.split(b"\n"), b""]:
+        own = words_of(line)
+        if own:
+            words += own
+            ends.add(len(words) - 1)
+            continue
+        if len(ends) > 1:
+            out += _places(words, ends)
+        words, ends = [], set()
+    return out
+
+
+def _places(words: list[bytes], ends: set[int]) -> list[list[bytes]]:
+    at = [(i, p) for i, p in enumerate(zip(words, words[1:], strict=False)) if p in _HOLDERS]
+    blocks: dict[int, list] = {}
+    for i, p in at:
+        for block in {i // HALF, max(0, i // HALF - 1)}:
+            blocks.setdefault(block, []).append((i, p))
+    spans = set()
+    for own in blocks.values():
+        held: dict[int, dict] = {}
+        for i, p in own:
+            for t in _HOLDERS[p]:
+                held.setdefault(t, {}).setdefault(p, []).append(i)
+        for t, pairs in held.items():
+            if len(pairs) >= _LEAST[t]:
+                # Around the pairs that occur once, so that a usual pair far off does not widen the place.
+                sure = [i[0] for i in pairs.values() if len(i) == 1] or [i for own in pairs.values() for i in own]
+                first, last = min(sure), max(sure) + 1
+                near = [i for own in pairs.values() for i in own if first - len(pairs) <= i <= last + len(pairs)]
+                first, last = min([first, *near]), max([last, *(i + 1 for i in near)])
+                if any(i in ends for i in range(first, last)):
+                    spans.add((first, last))
+    # With some words around: what tells similar families apart may stand next to the pairs they share.
+    return [words[max(0, a - AROUND) : b + 1 + AROUND] for a, b in sorted(spans)]
+
+
 def variants(family: str, background: list[list[bytes]], seed: int) -> list[list[bytes]]:
     """Labelled examples of a family: templates with words dropped, numbers changed, and other text around."""
     rng = np.random.default_rng(seed)
@@ -179,8 +240,10 @@ def train(docs: DataFrame, text_col: str = "text") -> Classifier:
 def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, families, n_paragraphs, n_licence, n_unconfirmed, confidence, restricted``.
 
-    All paragraphs of the whole text are classified.  A family is reported if its calibrated probability passes and
-    the paragraph holds enough of one of its templates; predictions that no template confirms are counted.
+    All lines of the whole text are classified (``n_paragraphs`` counts these units), and places where joined lines of a
+    paragraph hold a template.  A family is reported if its calibrated probability passes and the unit holds enough of
+    one of its templates; predictions that no template confirms are counted.  ``n_licence`` counts a wrapped notice once
+    per family, if no line names that family.
 
     Null or empty texts have no paragraph and no family.  Rows repeat as they are; null ids are carried through.
     """
@@ -193,21 +256,25 @@ def scan(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]):
         m, out = Classifier(*shared.value), Emitter(schema)
         for key, text in rows_of(batches, "id", "text"):
-            own = units(text or b"")
-            found, hits, loose, sure = set(), 0, 0, 0.0
-            for at in range(0, len(own), 512):
-                part = own[at : at + 512]
-                p = m.probabilities(part)
-                best = p.argmax(axis=1)
-                for i in np.flatnonzero((best < len(m.families) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY)):
-                    family = m.families[best[i]]
-                    if overlap(part[i], family) >= LEAST_OVERLAP:
-                        found.add(family)
-                        hits += 1
-                        sure = max(sure, float(p[i, best[i]]))
-                    else:
-                        loose += 1
-            yield from out.add((key, sorted(found), len(own), hits, loose, sure if found else None, bool(found & RESTRICTED)))
+            text = _BROKEN.sub(b"", text or b"")
+            own = units(text)
+            found, hits, loose, sure = set(), 0, Counter(), 0.0
+            for parts, alone in ((own, True), (wrapped(text), False)):
+                for at in range(0, len(parts), 512):
+                    part = parts[at : at + 512]
+                    p = m.probabilities(part)
+                    best = p.argmax(axis=1)
+                    for i in np.flatnonzero((best < len(m.families) - 1) & (p.max(axis=1) >= LEAST_PROBABILITY)):
+                        family = m.families[best[i]]
+                        if overlap(part[i], family) < LEAST_OVERLAP:
+                            loose[family] += alone
+                        elif alone or family not in found:
+                            found.add(family)
+                            hits += 1
+                            sure = max(sure, float(p[i, best[i]]))
+                            if not alone:  # its lines are confirmed together
+                                del loose[family]
+            yield from out.add((key, sorted(found), len(own), hits, loose.total(), sure if found else None, bool(found & RESTRICTED)))
         yield from out.flush()
 
     names = "id long, families array<string>, n_paragraphs long, n_licence long, n_unconfirmed long, confidence double, restricted boolean"
