@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tests.llm.util import empty_documents, odd_documents
 from tracemill.llm import langid as li
 
@@ -53,3 +55,15 @@ def test_odd_rows(spark):
     assert all(not r["kept"] for r in out if r["id"] in (0, 1, 2))
     assert li.keep_identified(docs).columns == docs.columns
     assert li.identify_documents(empty_documents(spark)).count() == 0
+
+
+def test_every_label_is_a_language(spark):
+    """Rarer languages beyond the first 64 are learned and kept too."""
+    rng = random.Random(5)
+    letters = "bcdfghjklmnprstvz"
+    own = {f"l{k:02}": [rng.choice(letters) + rng.choice("aeiou") + rng.choice(letters) for _ in range(6)] for k in range(70)}
+    rows = [(100 * k + i, " ".join(rng.choice(own[lang]) for _ in range(80)), lang, "s") for k, lang in enumerate(own) for i in range(12 - (k > 63) * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert li.fit_text_model(df.select(F.col("lang").alias("label"), "text"))["names"] == sorted(own)
+    got = {r["id"]: r for r in li.identify_documents(df).collect()}
+    assert all(got[i]["language"] == lang and got[i]["kept"] for i, _, lang, _ in rows)

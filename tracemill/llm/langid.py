@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tracemill.llm.common import Emitter, materialize, rows_of
 
-#: Labelled rows per language that the text model is fitted on (those with the smallest seeded hash), and languages at most.
-TRAIN_ROWS, MAX_LANGUAGES = 1_500, 64
+#: Labelled rows per language that the text model is fitted on (those with the smallest seeded hash).
+TRAIN_ROWS = 1_500
 #: Hashed byte trigrams.
 BINS = 1 << 15
 #: Byte trigrams overlap and repeat, so their log likelihood counts as this share of independent evidence, and as
@@ -37,22 +37,24 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def fit_text_model(rows: DataFrame) -> dict:
-    """Trigram model of each language from ``rows(label, text)``: a bounded sample counted in the tasks.
+    """Trigram model of each language from ``rows(label, text)``: a sample bounded per language, counted in the tasks.
 
     Returns the languages in order, log likelihoods (language x bin), and median and deviation of the
-    training rows' log likelihood per trigram.
+    training rows' log likelihood per trigram.  Every label is a language, however many there are.
     """
-    many = rows.filter("label IS NOT NULL").groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["label"] for r in many)
-    if not names:
-        return {"names": [], "table": np.zeros((0, BINS)), "mean": np.zeros(0), "spread": np.zeros(0)}
+    many = rows.filter("label IS NOT NULL").groupBy("label").count()
     # A hash threshold thins out first, then the smallest hashes of each language are kept: the sample is the same in any partitioning.
-    share = {r["label"]: min(1.0, 2.0 * TRAIN_ROWS / r["count"]) for r in many}
-    limit = F.coalesce(*(F.when(F.col("label") == n, F.lit(min(2**63 - 1, int(share[n] * 2.0**64) - 2**63))) for n in names))
-    thinned = rows.filter(F.col("label").isin(names)).withColumn("_h", F.xxhash64(F.lit("train"), "text")).filter(F.col("_h") <= limit)
+    share = F.least(F.lit(1.0), F.lit(2.0 * TRAIN_ROWS) / F.col("count"))
+    limit = F.when(share < 1.0, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))  # a cast holds at the ends
+    many = materialize(many.withColumn("_limit", limit), "languages")
+    names = sorted(r["label"] for r in many.select("label").collect())
+    if not names:
+        return {"names": [], "table": np.zeros((0, BINS), np.float32), "mean": np.zeros(0), "spread": np.zeros(0)}
+    thinned = rows.join(many, "label").withColumn("_h", F.xxhash64(F.lit("train"), "text")).filter("_h <= _limit")
     thinned = materialize(thinned.select("label", "_h", F.col("text").cast("binary").alias("text")), "thinned")
     number = F.row_number().over(Window.partitionBy("label").orderBy("_h", "text"))
     picks = materialize(thinned.withColumn("_n", number).filter(F.col("_n") <= TRAIN_ROWS).select("label", "text"), "training")
+    place = {n: i for i, n in enumerate(names)}
     schema = pa.schema([("label", pa.string()), ("bins", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
     def count(batches: Iterator[pa.RecordBatch]):
@@ -68,18 +70,20 @@ def fit_text_model(rows: DataFrame) -> dict:
 
     counted = picks.mapInArrow(count, "label string, bins array<long>, n array<long>")
     counted = counted.select("label", F.explode(F.arrays_zip("bins", "n")).alias("z")).groupBy("label", "z.bins").agg(F.sum("z.n").alias("n"))
-    table = np.full((len(names), BINS), 0.1)
-    for r in counted.toPandas().itertuples(index=False):  # at most MAX_LANGUAGES x BINS rows
-        table[names.index(r.label), r.bins] += r.n
-    logs = np.log(table / table.sum(axis=1, keepdims=True))
-    model = {"names": names, "table": logs.astype(np.float32)}
+    lists = materialize(counted.groupBy("label").agg(F.collect_list("bins").alias("bins"), F.collect_list("n").alias("n")), "trigrams")
+    table = np.full((len(names), BINS), -np.log(BINS), np.float32)
+    for r in lists.toLocalIterator():  # one language at a time, at most BINS numbers
+        own = np.full(BINS, 0.1)
+        own[np.array(r["bins"], np.int64)] += np.array(r["n"], np.float64)
+        table[place[r["label"]]] = np.log(own / own.sum())
+    model = {"names": names, "table": table}
 
     def fit(batches: Iterator[pa.RecordBatch]):
         out = Emitter(pa.schema([("label", pa.string()), ("x", pa.float64())]))
         for label, text in rows_of(batches, "label", "text"):
             bins = trigrams(text or b"")
             if len(bins) >= 30:
-                yield from out.add((label, float(model["table"][names.index(label)][bins].mean())))
+                yield from out.add((label, float(model["table"][place[label]][bins].mean())))
         yield from out.flush()
 
     fits = picks.mapInArrow(fit, "label string, x double").groupBy("label").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()
@@ -95,7 +99,7 @@ def text_evidence(rows: DataFrame, model: dict) -> DataFrame:
 
     The text itself does not leave; both are null for texts without a trigram.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES x BINS numbers
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # languages x BINS numbers
     others = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]):
