@@ -80,3 +80,16 @@ def test_constant_nodes_are_template(spark):
     assert all(got[200 + i][0] == "same\ncopy" for i in range(5))
     assert got[303][0] == "N3\ntext 3"
     assert wr.extract(df.limit(0)).count() == 0
+
+
+def test_layouts_of_a_host_are_learned_apart(spark):
+    """An empty page or one of another layout with the smallest id does not cost the host its template."""
+    rows = [(0, "http://news.example.com/0", None), (1, "http://news.example.com/1", "<html><body><table><tr><td>Not found</table></body></html>")]
+    rows += [page(i, f"<p>Story {i} begins.</p>") for i in range(2, 10)]
+    other = "<html><body><section><p>Index of all</p></section><section><p>List {0} of the {1}.</p></section></body></html>"
+    rows += [(i, f"http://news.example.com/{i}", other.format(i, i * 3)) for i in range(20, 26)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["id"]: r["text"] for r in wr.extract(df).collect()}
+    assert [got[i] for i in range(2, 10)] == [f"Title {i}\nStory {i} begins." for i in range(2, 10)]
+    assert [got[i] for i in range(20, 26)] == [f"List {i} of the {i * 3}." for i in range(20, 26)]
+    assert got[0] == "" and got[1] == "Not found"

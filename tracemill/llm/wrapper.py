@@ -35,6 +35,11 @@ BREAKS_P = frozenset(
 )
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: Elements that make the frame of a page; pages of a host with the same paths of these, up to a depth, are one layout.
+FRAMES, TOP = frozenset("html body div section main article header footer nav aside table form center frameset".split()), 3
+#: A layout of fewer pages is aligned with the most frequent one of its host.
+LEAST_PAGES = 3
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -196,6 +201,11 @@ class Page:
                 rows[k, 2], rows[k, 3] = _hash(text), self.place(node, text)
         return rows
 
+    def layout(self) -> int:
+        """Hash of the paths of frames near the root, without what articles are made of."""
+        tops = {p for p in self.path if p.count("/") <= TOP and all(t in FRAMES for t in p.split("/")[1:])}
+        return _hash("\n".join(sorted(tops)))
+
     def place(self, node: int, text: str) -> int:
         return _hash(f"{self.path[node]}\n{text}")
 
@@ -255,9 +265,9 @@ def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """``(id, url, host, print, skeleton, inside, texts, places)`` of every page."""
+    """``(id, url, host, print, layout, nodes, skeleton, inside, texts, places)`` of every page."""
     schema = pa.schema(
-        [("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("print", pa.int64()), ("skeleton", pa.binary())]
+        [("id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("print", pa.int64()), ("layout", pa.int64()), ("nodes", pa.int64()), ("skeleton", pa.binary())]
         + [("inside", pa.bool_()), ("texts", pa.list_(pa.string())), ("places", pa.list_(pa.int64()))]
     )
 
@@ -269,42 +279,51 @@ def _parsed(pages: DataFrame) -> DataFrame:
             places = [page.place(n, t) for n, t, _ in blocks]
             mark = _hash("\n".join(t for _, t, _ in blocks))
             inside = bool(blocks) and blocks[0][2]
-            yield from out.add((key, url, host, mark, page.skeleton().tobytes(), inside, [t for _, t, _ in blocks], places), len(source or ""))
+            skeleton = page.skeleton()
+            yield from out.add((key, url, host, mark, page.layout(), len(skeleton), skeleton.tobytes(), inside, [t for _, t, _ in blocks], places), len(source or ""))
         yield from out.flush()
 
-    names = "id long, url string, host string, print long, skeleton binary, inside boolean, texts array<string>, places array<long>"
+    names = "id long, url string, host string, print long, layout long, nodes long, skeleton binary, inside boolean, texts array<string>, places array<long>"
     return pages.mapInArrow(run, names)
 
 
 def templates(parsed: DataFrame) -> DataFrame:
     """``(host, outer, inner)``: places with text that are template on a host, for blocks outside and inside an article.
 
-    Each distinct page of a host is aligned with the host's page of the smallest id.  A text that enough of the
-    pages aligned at a node share is template; nodes where texts vary are content.  Counts add up over tasks, so
-    a host with very many pages is aligned in many.
+    Each distinct page is aligned with one page of its host and layout, the one of the median number of nodes;
+    pages without a node are left out.  A text that enough of the pages aligned at a node share is template; nodes
+    where texts vary are content.  Counts add up over tasks, so a host with very many pages is aligned in many.
     """
-    distinct = parsed.select("host", "print", "id", "skeleton").filter("host <> ''")
-    model = materialize(distinct.groupBy("host").agg(F.min_by("skeleton", "id").alias("model"), F.count("*").alias("all")).filter("all > 2"), "models")
-    pairs = distinct.join(model.select("host", "model"), "host")
-    schema = pa.schema([("host", pa.string()), ("print", pa.int64()), ("slot", pa.int64()), ("place", pa.int64())])
+    pages = parsed.select("host", "print", "id", "layout", "nodes", "skeleton").filter("host <> '' AND nodes > 1")
+    groups = pages.groupBy("host", "layout").agg(F.count("*").alias("all"), F.percentile_approx("nodes", 0.5).alias("usual"))
+    first = F.max(F.struct("all", "layout"))
+    hosts = groups.groupBy("host").agg(F.sum("all").alias("total"), first["layout"].alias("main")).filter("total > 2")
+    groups = groups.join(hosts, "host").withColumn("group", F.when(F.col("all") >= LEAST_PAGES, F.col("layout")).otherwise(F.col("main")))
+    groups = materialize(groups.select("host", "layout", "group", "usual"), "layouts")
+    # The page nearest to the usual size of each layout that others are aligned with.
+    near = F.struct(F.abs(F.col("nodes") - F.col("usual")), "id", "print", "skeleton")
+    model = pages.join(groups.filter("group = layout"), ["host", "layout"]).groupBy("host", "group").agg(F.min(near)["skeleton"].alias("model"))
+    model = materialize(model, "models")
+    pairs = pages.join(groups.select("host", "layout", "group"), ["host", "layout"]).join(model, ["host", "group"])
+    schema = pa.schema([("host", pa.string()), ("group", pa.int64()), ("print", pa.int64()), ("slot", pa.int64()), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         out = Emitter(schema, rows=16384)
-        for host, mark, skeleton, model_ in rows_of(batches, "host", "print", "skeleton", "model"):
+        for host, group, mark, skeleton, model_ in rows_of(batches, "host", "group", "print", "skeleton", "model"):
             a, b = (np.frombuffer(x, np.int64).reshape(-1, 4) for x in (skeleton, model_))
             for p, q in match(a, b):
-                yield from out.add((host, mark, q, int(a[p, 3])))
+                yield from out.add((host, group, mark, q, int(a[p, 3])))
         yield from out.flush()
 
-    aligned = pairs.select("host", "print", "skeleton", "model").mapInArrow(run, "host string, print long, slot long, place long")
+    aligned = pairs.select("host", "group", "print", "skeleton", "model").mapInArrow(run, "host string, group long, print long, slot long, place long")
     # Copies of one article count once.
-    counts = aligned.distinct().groupBy("host", "slot", "place").agg(F.count("*").alias("n"))
-    slots = counts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "place")).alias("top"))
+    counts = aligned.distinct().groupBy("host", "group", "slot", "place").agg(F.count("*").alias("n"))
+    slots = counts.groupBy("host", "group", "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "place")).alias("top"))
     share = F.col("top.n") / F.col("pages")
     outer = (share >= OUTSIDE[0]) & (F.col("top.n") >= OUTSIDE[1])
     inner = (share >= INSIDE[0]) & (F.col("top.n") >= INSIDE[1])
     place = F.col("top.place")
-    # At most one place per node of the host's model page.
+    # At most one place per node of the host's model pages.
     return slots.filter(outer).groupBy("host").agg(F.collect_set(place).alias("outer"), F.collect_set(F.when(inner, place)).alias("inner"))
 
 
