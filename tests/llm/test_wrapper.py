@@ -93,3 +93,14 @@ def test_layouts_of_a_host_are_learned_apart(spark):
     assert [got[i] for i in range(2, 10)] == [f"Title {i}\nStory {i} begins." for i in range(2, 10)]
     assert [got[i] for i in range(20, 26)] == [f"List {i} of the {i * 3}." for i in range(20, 26)]
     assert got[0] == "" and got[1] == "Not found"
+
+
+def test_marks_do_not_drop_the_main_text():
+    long = "It was a dark night and the rain fell in torrents on the town."
+    for mark in ('div class="content has-sidebar"', 'article class="post no-comments"', 'div id="main" class="ad-free"', 'section class="related-work"', 'div class="search-results"', 'div id="search"', 'main class="widget"'):
+        tag = mark.split()[0]
+        assert text_of(f'<body><div class="ad">Buy now</div><{mark}><h1>Head</h1><p>{long}</p></{tag}><div class="cookie-notice">Cookies</div></body>') == f"Head\n{long}"
+    # Marked as a whole, and not most of the page: no main text.
+    assert text_of(f'<div class="site sidebar">a b c</div><p>{long}</p><div class="share"><div>x</div></div>') == long
+    # Nothing but marked elements, none of which holds most of the text: they are the candidates.
+    assert text_of('<div class="comment">one two</div><div class="comment">six ten</div><footer>foot</footer>') == "one two\nsix ten"

@@ -23,12 +23,14 @@ RAW = frozenset("script style textarea title noscript iframe noembed noframes xm
 #: Elements that never hold main text.  A ``header`` does so only outside an article.
 ASIDE = frozenset("head script style noscript template iframe noembed noframes object svg canvas map nav footer aside form button select option textarea input fieldset dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of a class or id that mark boilerplate.
+#: Words that make up a class or id that marks boilerplate.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe share sharing social related recommended comment comments respond reply "
     "replies disqus widget toolbar pagination pager login signup search masthead".split()
 )
+#: Elements that no class or id marks.
+UNMARKED = frozenset("html body article main".split())
 #: An end tag is implied when one of these follows an open element of the kind.
 BREAKS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -53,15 +55,13 @@ def _hash(text: str) -> int:
 
 
 def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no part of the main text, by tag, role, class, id or being hidden."""
+    """Whether an element is no part of the main text, by tag, role or being hidden."""
     if tag in ASIDE or tag == "header" and not in_article:
         return True
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and any(w in MARKS for w in _WORD.findall(value)) and tag not in ("html", "body"):
-            return True
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -69,6 +69,19 @@ def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _marked(tag: str, attributes: str) -> bool:
+    """Whether a class or id marks an element: a whole one that is made of ``MARKS`` only."""
+    if not attributes or tag in UNMARKED or "=" not in attributes:
+        return False
+    for name, value in _NAMES.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in value.strip("\"'").lower().split():
+                words = _WORD.findall(token)
+                if words and all(w in MARKS for w in words):
+                    return True
+    return False
+
+
 class Page:
     """Block-level tree of a page: parent, label and text hash of each node, and its blocks of text."""
 
@@ -77,7 +90,10 @@ class Page:
         self.label: list[str] = [""]
         self.path: list[str] = [""]
         self.blocks: list[tuple[int, str, bool, bool, bool]] = []  # node, text, boilerplate, in article, mostly links
-        self._stack: list[list] = [["", 0, False, False]]  # tag, node, boilerplate, in article
+        self.by_mark: list[int] = []  # places of blocks that are boilerplate by a class or id only
+        self._stack: list[list] = [["", 0, False, False, -1]]  # tag, node, boilerplate, in article, innermost mark
+        self._marks: list[list[int]] = []  # of each marked element the mark around it and the length of its text
+        self._at: list[int] = []  # innermost mark of each block
         self._text: list[str] = []
         self._links = self._linked = 0
         self._read(source)
@@ -109,6 +125,32 @@ class Page:
                 continue
             self._start(tag, attributes)
         self._flush()
+        self._settle()
+
+    def _settle(self) -> None:
+        """Take blocks of marked elements as boilerplate, except of those that hold most of the page's text."""
+        total = sum(len(b[1]) for b in self.blocks if not b[2])
+        for (_, text, boiler, *_), mark in zip(self.blocks, self._at, strict=True):
+            if mark >= 0 and not boiler:
+                self._marks[mark][1] += len(text)
+        for above, own in reversed(self._marks):  # marks around come first
+            if above >= 0:
+                self._marks[above][1] += own
+        dropped: list[bool] = []
+        for above, own in self._marks:
+            dropped.append(2 * own <= total or above >= 0 and dropped[above])
+        for i, mark in enumerate(self._at):
+            if mark >= 0 and dropped[mark] and not self.blocks[i][2]:
+                node, text, _, inside, links = self.blocks[i]
+                self.blocks[i] = (node, text, True, inside, links)
+                self.by_mark.append(i)
+
+    def _mark(self, tag: str, attributes: str, above: int) -> int:
+        """The innermost mark within an element."""
+        if not _marked(tag, attributes):
+            return above
+        self._marks.append([above, 0])
+        return len(self._marks) - 1
 
     def _add(self, text: str) -> None:
         self._text.append(text)
@@ -122,11 +164,12 @@ class Page:
         self._text, links, self._links = [], self._links, 0
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
-            _, node, boiler, inside = self._stack[-1]
+            _, node, boiler, inside, mark = self._stack[-1]
             self.parent.append(node)
             self.label.append("#")
             self.path.append(self.path[node])
             self.blocks.append((len(self.parent) - 1, text, boiler, inside, links * 2 > len(raw)))
+            self._at.append(mark)
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
@@ -135,9 +178,11 @@ class Page:
             elif tag == "a":
                 self._linked = 1
             top = self._stack[-1]
-            if attributes and not top[2] and tag not in VOID and _boiler(tag, attributes, top[3]):
-                self._flush()
-                self._stack.append([tag, top[1], True, top[3]])
+            if attributes and not top[2] and tag not in VOID:
+                boiler, mark = _boiler(tag, attributes, top[3]), self._mark(tag, attributes, top[4])
+                if boiler or mark != top[4]:
+                    self._flush()
+                    self._stack.append([tag, top[1], boiler, top[3], mark])
             return
         self._flush()
         self._linked = 0
@@ -147,13 +192,13 @@ class Page:
             self._close(SAME[tag], ("ul", "ol", "dl", "table", "select") if tag != "tr" else ("table",))
         if tag in VOID:
             return
-        _, parent, boiler, inside = self._stack[-1]
+        _, parent, boiler, inside, mark = self._stack[-1]
         boiler = boiler or _boiler(tag, attributes, inside)
         inside = not boiler and (inside or tag in ("article", "main") or "main" in attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I)))
         self.parent.append(parent)
         self.label.append(tag)
         self.path.append(f"{self.path[parent]}/{tag}")
-        self._stack.append([tag, len(self.parent) - 1, boiler, inside])
+        self._stack.append([tag, len(self.parent) - 1, boiler, inside, self._mark(tag, attributes, mark)])
 
     def _close(self, tags: tuple, stops: tuple) -> None:
         for i in range(len(self._stack) - 1, 0, -1):
@@ -210,9 +255,16 @@ class Page:
         return _hash(f"{self.path[node]}\n{text}")
 
     def main_blocks(self) -> list[tuple[int, str, bool]]:
-        """``(node, text, in article)`` of what may be main text: inside articles if there are any, else all but boilerplate and link lists."""
+        """``(node, text, in article)`` of what may be main text: inside articles if there are any, else all but boilerplate and link lists.
+
+        If that is nothing, what only a class or id marks may be main text.
+        """
         inside = [(n, t, True) for n, t, boiler, article, _ in self.blocks if article and not boiler]
-        return inside or [(n, t, False) for n, t, boiler, _, links in self.blocks if not boiler and not links]
+        return inside or [(n, t, False) for n, t, boiler, _, links in self.blocks if not boiler and not links] or self.marked_blocks()
+
+    def marked_blocks(self) -> list[tuple[int, str, bool]]:
+        """Blocks in page order that are boilerplate by a class or id only, without link lists."""
+        return [(n, t, False) for n, t, _, _, links in (self.blocks[i] for i in self.by_mark) if not links]
 
 
 def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
