@@ -34,12 +34,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` as a table into the shared folder and read it back: lineage ends, nothing is computed twice."""
+def materialize(df: DataFrame, name: str = "step", *folders: str) -> DataFrame:
+    """Write ``df`` as a table into the shared folder and read it back: lineage ends, nothing is computed twice.
+
+    Rows with one value in the columns ``folders`` go to a folder of their own, so that a filter reads only that.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def cached(key: tuple, make):
