@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -15,7 +14,7 @@ from tracemill.llm.common import Emitter, cached, rows_of
 
 #: Stands for a space in normalised text.
 SPACE = "▁"
-#: Units of text up to this length are remembered, so many of them, and so many answers of the pair test.
+#: Units of text up to this length are remembered, in two generations of so many, and so many answers of the pair test.
 UNIT, UNITS, PAIRS = 48, 400_000, 1_000_000
 #: A model of more bytes than this is refused: it is sent to every executor.
 MODEL_BYTES = 64 << 20
@@ -27,9 +26,11 @@ class Coder:
     A sequence of tokens is what the merges make of a text just if each two neighbours are what the merges
     make of their own text.  So every prefix has one last token: the piece that ends there, found by an
     automaton over all pieces, and is compatible with the last token of the prefix before it.  The table of
-    last tokens is filled from left to right, and the ids are read from its end.
+    last tokens is filled from left to right, and the ids are read from its end.  Where no longer piece fits, the
+    last token is the last character.
 
-    Text is cut first where no piece spans the cut, so that units (words, mostly) can be remembered.
+    Text is cut first between characters that are neighbours in no piece, so that units (words, mostly) can be
+    remembered.
     """
 
     def __init__(self, model: bytes):
@@ -47,20 +48,27 @@ class Coder:
         self.ids = {sp.id_to_piece(i): i for i in own}
         #: Merges make a piece of two neighbours: the highest score first, the leftmost of equal ones.
         self.score = {p: sp.get_score(i) for p, i in self.ids.items() if len(p) > 1}
+        #: Each piece comes with its answers of the pair test, by the token before it.
         self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            self.automaton.add_word(piece, len(piece))
+        self.answers: dict[str, dict[str, bool]] = {p: {} for p in self.score}
+        for piece, answers in self.answers.items():
+            self.automaton.add_word(piece, (len(piece), piece, answers))
         self.automaton.make_automaton()
-        inner = {c for p in self.score for c in p} - {SPACE}
-        spans = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.score)
-        word = "".join(map(re.escape, sorted(inner)))
-        # A character that no longer piece holds stands alone; a space begins a unit unless pieces hold one further on.
-        body = f"[{SPACE}{word}]+" if spans else f"{SPACE}*[{word}]+|{SPACE}+"
-        self.units = re.compile(f"{body}|." if word else f"{SPACE}+|.", re.DOTALL).findall
-        #: Histories of pieces, at most one per piece or unknown character; answers of the pair test; ids of units.
+        # Row and column of a character in the table of neighbours; 0 for one that no longer piece holds.
+        inner = sorted({c for p in self.score for c in p})
+        self.place = np.zeros(ord(inner[-1]) + 2 if inner else 1, np.int32)
+        self.place[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.joined = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in self.score:
+            at = self.place[[ord(c) for c in p]]
+            self.joined[at[:-1], at[1:]] = True
+        #: Stands between units whose tables are filled together: no piece holds it.
+        self.barrier = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in self.ids)
+        #: Histories of pieces, at most one per piece or unknown character; how many answers are held; ids of units.
         self.histories: dict[str, list | None] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.held = 0
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def merges(self, text: str) -> tuple[list[tuple[float, str, str]], list[str]]:
         """The merges of a short text, one at a time: score, first and last token after each; and the tokens left."""
@@ -92,9 +100,12 @@ class Coder:
         """
         own = self.history(token)
         whole = own is not None and (not before or not self._crossed(before, token, self.history(before), own))
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[before, token] = whole
+        if self.held >= PAIRS:
+            self.held = 0
+            for answers in self.answers.values():
+                answers.clear()
+        self.held += 1
+        self.answers[token][before] = whole
         return whole
 
     def _crossed(self, before: str, token: str, left: list, right: list) -> bool:
@@ -120,41 +131,60 @@ class Coder:
                 first = now
             cross = score.get(last + first)
 
-    def tokens(self, unit: str) -> list[str]:
-        """Tokens of a unit: fill the table of last tokens, then walk it from the end."""
-        last, known = [""] * (len(unit) + 1), self.pairs.get
-        done = 0
-        for end, length in chain(self.automaton.iter(unit), [(len(unit), 0)]):
-            # Prefixes that no piece ends have the character itself, which the model does not know.
-            while done < end:
-                done += 1
-                last[done] = last[done] or unit[done - 1]
-            if length and not last[end + 1]:
-                before, token = last[end + 1 - length], unit[end + 1 - length : end + 1]
-                whole = known((before, token))
-                if self.compatible(before, token) if whole is None else whole:
+    def tokens(self, units: list[str]) -> list[list[str]]:
+        """Tokens of each unit: fill one table of last tokens for all, then walk it from the end."""
+        text = self.barrier.join(units)
+        last = ["", *text]
+        at = 0
+        for unit in units[:-1]:
+            at += len(unit) + 1
+            last[at] = ""
+        settled = -1
+        for end, (length, token, answers) in self.automaton.iter(text):
+            if end != settled:
+                before = last[end + 1 - length]
+                whole = answers.get(before)
+                if whole or whole is None and self.compatible(before, token):
                     last[end + 1] = token
-        out, end = [], len(unit)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
+                    settled = end
+        out, end = [], len(text)
+        for unit in reversed(units):
+            start, own = end - len(unit), []
+            while end > start:
+                own.append(last[end])
+                end -= len(last[end])
+            out.append(own[::-1])
+            end -= 1
         return out[::-1]
 
-    def unit_ids(self, unit: str) -> tuple[int, ...]:
-        known = self.memo.get(unit)
-        if known is None:
-            own = ((t, self.ids.get(t)) for t in self.tokens(unit))
-            known = tuple(chain.from_iterable((i,) if i is not None else [self.byte[b] for b in t.encode()] for t, i in own))
-            if len(unit) <= UNIT:
-                if len(self.memo) >= UNITS:
-                    self.memo.clear()
-                self.memo[unit] = known
-        return known
+    def ids_of(self, tokens: list[str]) -> tuple[int, ...]:
+        """Ids of tokens; a character that the model does not know has those of its bytes."""
+        try:
+            return tuple([self.ids[t] for t in tokens])
+        except KeyError:
+            return tuple(chain.from_iterable([self.ids[t]] if t in self.ids else [self.byte[b] for b in t.encode()] for t in tokens))
+
+    def cut(self, text: str) -> list[str]:
+        """Units of normalised text."""
+        at = self.place[np.minimum(np.frombuffer(text.encode("utf-32-le"), "<u4"), len(self.place) - 1)]
+        edges = np.flatnonzero(~self.joined[at[:-1], at[1:]]) + 1
+        edges = [0, *edges.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, without begin or end."""
-        units = self.units(self.library.normalize(text))
-        return np.fromiter(chain.from_iterable(map(self.unit_ids, units)), np.int32)
+        units = self.cut(self.library.normalize(text))
+        found = list(map(self.memo.get, units))
+        if None in found:
+            new: dict[str, tuple[int, ...] | None] = {u: self.old.get(u) for u, ids in zip(units, found, strict=True) if ids is None}
+            novel = [u for u, ids in new.items() if ids is None]
+            for unit, own in zip(novel, self.tokens(novel), strict=True):
+                new[unit] = self.ids_of(own)
+            if len(self.memo) >= UNITS:
+                self.old, self.memo = self.memo, {}
+            self.memo.update((u, ids) for u, ids in new.items() if len(u) <= UNIT)
+            found = [new[u] if ids is None else ids for u, ids in zip(units, found, strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
