@@ -62,13 +62,48 @@ def test_odd_vectors(spark):
     assert fo.near_vectors(df.limit(0)).count() == 0
 
 
-def test_spill_keeps_close_pairs_together():
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 32))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    trees = fo.fit_forest(x, 200_000)
-    assert len(trees) == fo.TREES and max(len(cuts) for _, cuts in trees) >= 6
-    y = x[:500] + rng.normal(size=(500, 32)) * 0.08
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    pairs = [(a, b) for a, b, c in zip(fo.leaves(x[:500], trees), fo.leaves(y, trees), (x[:500] * y).sum(axis=1), strict=True) if c >= 0.9]
-    assert sum(bool(set(a) & set(b)) for a, b in pairs) >= 0.98 * len(pairs) > 100
+def test_lengths_and_shared_ids(spark):
+    """Vectors link within their own length; rows of one id and different vectors are linked apart."""
+    rows = [(1, [1.0, 0.01]), (2, [1.0, 0.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (5, [0.0, 0.0, 1.0]), (6, [0.0, 1.0]), (6, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in fo.near_vectors(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True), (6, 0, 6, True)]
+
+
+def forest_recall(spark, n, leaf, monkeypatch):
+    """Leaves of random vectors with a partner at a cosine of 0.9 to 0.95: share of partners met, levels, leaf sizes, visits."""
+    monkeypatch.setattr(fo, "LEAF", leaf)
+    monkeypatch.setattr(fo, "SAMPLE", 1024)
+    rng = np.random.default_rng(n)
+    x = fo.unit_vectors(rng.normal(size=(n // 2, 64)))
+    y = fo.unit_vectors(x + fo.unit_vectors(rng.normal(size=x.shape)) * rng.uniform(0.33, 0.48, (len(x), 1)))
+    rows = [(i, 64, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    df = spark.createDataFrame(rows, "id long, width int, vector array<double>").repartition(8)
+    codes = {r["id"]: r["codes"] for r in fo.place(df).collect()}
+    assert set(codes) == set(range(n))
+    met = [bool(set(codes[i]) & set(codes[i + len(x)])) for i in range(len(x))]
+    levels = [fo._level(c)[2] for own in codes.values() for c in own]
+    sizes = np.unique([c for own in codes.values() for c in own], return_counts=True)[1]
+    return np.mean(met), np.median(levels), sizes, sum(map(len, codes.values())) / n
+
+
+def test_recall_and_leaf_sizes_over_many_levels(spark, monkeypatch):
+    recall, levels, sizes, visits = forest_recall(spark, 12_000, 10, monkeypatch)
+    assert levels >= 10 and sizes.max() <= 10
+    assert recall >= 0.95
+    assert visits <= fo.TREES * (1 + fo.SPILL) ** (levels + 2)
+
+
+def test_leaves_stay_small_as_vectors_grow(spark, monkeypatch):
+    found = [forest_recall(spark, n, 64, monkeypatch) for n in (2000, 8000)]
+    assert all(sizes.max() <= 64 and recall >= 0.95 for recall, _, sizes, _ in found)
+    assert found[1][3] <= found[0][3] * (1 + fo.SPILL) ** 3  # two levels more, and one for chance
+
+
+def test_dense_groups_are_not_split(spark, monkeypatch):
+    monkeypatch.setattr(fo, "LEAF", 50)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=32)
+    rows = [(i, 32, (base + rng.normal(size=32) * 0.01).tolist()) for i in range(400)]
+    codes = [r["codes"] for r in fo.place(spark.createDataFrame(rows, "id long, width int, vector array<double>")).collect()]
+    assert all(c == codes[0] and len(c) == fo.TREES for c in codes)

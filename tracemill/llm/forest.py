@@ -2,76 +2,158 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.common import components, materialize
 
-#: Trees of the forest, and the vectors (by seeded hash) that their split points are fitted on.
-TREES, SAMPLE = 4, 20_000
-#: A node is split while its share of all vectors is expected to exceed this many.
+#: Trees of the forest; levels that one round splits.
+TREES, LEVELS = 8, 7
+#: Vectors (by seeded hash) of a node that its split points are fitted on, about; every node is sampled anew.
+SAMPLE = 4096
+#: A node with more vectors than this is split.
 LEAF = 512
-#: Vectors whose projection lies within this distance of a split go to both sides.
-SPILL = 0.03
+#: Share of a node's vectors, those nearest to the split point, that go to both sides.
+SPILL = 0.1
+#: A node whose projections, but for a tenth, lie within this width is one dense group and is not split.
+DENSE = 0.06
 #: Vectors per block where a leaf is compared; larger leaves are compared block by block.
 BLOCK = 512
-#: A node with fewer sampled vectors than this gives no split point.
-LEAST = 24
+#: A part of a sample with fewer vectors than this gives no split point.
+LEAST = 16
+#: A node of a tree is ``tree * 2^56`` and the path to it: 1, then a bit per level.  All trees begin at 0.
+_TREE = 56
+#: Nodes at this level are not split any more.
+LAST = 50
+
+
+def directions(tree: int, width: int) -> np.ndarray:
+    """Unit directions of a tree, one per level, for vectors of ``width`` entries."""
+    out = np.random.default_rng([7, tree, width]).normal(size=(_TREE, width))
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def starts(code: int) -> list[int]:
+    """Nodes to descend from: the roots of all trees, or the node itself."""
+    return [(t << _TREE) + 1 for t in range(TREES)] if code == 0 else [code]
 
 
-def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = 7) -> list[tuple[np.ndarray, list]]:
-    """Per tree the directions by level and, by level, the split point of each node (NaN: a leaf).
+def _level(code: int) -> tuple[int, int, int]:
+    """Tree, path and level of a node."""
+    path = code & ((1 << _TREE) - 1)
+    return code >> _TREE, path, path.bit_length() - 1
 
-    Nodes of one level share a random direction; the split point is the sampled median of the node.  A node
-    whose spread along the direction is within the spill is not split: all of it would go to both sides.
+
+def fit_node(sample: np.ndarray, code: int, total: int) -> np.ndarray:
+    """Split points and spill distances below a node of ``total`` vectors: two rows in heap order.
+
+    The split point is the sampled median of the projections.  NaN marks a dense group, or a node below the last level;
+    infinity a node whose part of the sample is too small: it is left for the next round.
     """
-    rng = np.random.default_rng(seed)
-    width = sample.shape[1] if sample.size else 1
-    depth = max(0, int(np.ceil(np.log2(max(total, 1) / LEAF))))
-    forest = []
-    for _ in range(trees):
-        directions = rng.normal(size=(depth, width))
-        directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-12)
-        projected = sample @ directions.T if sample.size else np.empty((0, depth))
-        nodes, cuts = [np.arange(len(sample))], []
-        for level in range(depth):
-            here, below = np.full(len(nodes), np.nan), []
-            for i, own in enumerate(nodes):
-                x = projected[own, level]
-                if len(own) >= LEAST and np.quantile(x, 0.95) - np.quantile(x, 0.05) > 2 * SPILL:
-                    here[i] = np.median(x)
-                    below += [own[x <= here[i]], own[x > here[i]]]
-                else:
-                    below += [own[:0], own[:0]]
-            cuts.append(here)
-            nodes = below
-            if np.isnan(here).all():
-                break
-        forest.append((directions[: len(cuts)], cuts))
-    return forest
-
-
-def leaves(vectors: np.ndarray, forest: list) -> list[list[int]]:
-    """Leaf codes of each vector over all trees, ascending: ``tree * 2^40 + 2^level + node``."""
-    out: list[list[int]] = [[] for _ in range(len(vectors))]
-    for t, (directions, cuts) in enumerate(forest):
-        projected = vectors @ directions.T
-        rows, nodes = np.arange(len(vectors)), np.zeros(len(vectors), np.int64)
-        done = []
-        for level, cut in enumerate(cuts):
-            at, x = cut[nodes], projected[rows, level]
-            leaf = np.isnan(at)
-            done.append((rows[leaf], (1 << level) + nodes[leaf]))
-            left, right = ~leaf & (x <= at + SPILL), ~leaf & (x > at - SPILL)
-            rows = np.concatenate([rows[left], rows[right]])
-            nodes = np.concatenate([2 * nodes[left], 2 * nodes[right] + 1])
-        done.append((rows, (1 << len(cuts)) + nodes))
-        for own, node in done:
-            for r, n in zip(own.tolist(), node.tolist(), strict=True):
-                out[r].append((t << 40) + n)
-    return [sorted(codes) for codes in out]
+    tree, _, level = _level(code)
+    depth = int(np.ceil(np.log2(max(total / LEAF, 2))))
+    depth = max(1, min(depth, LEVELS, int(np.log2(max(len(sample) / (2 * LEAST), 2)))))
+    if level + depth > LAST:
+        return np.full((2, 1), np.nan)
+    projected = sample @ directions(tree, sample.shape[1])[level : level + depth].T
+    out = np.full((2, (1 << depth) - 1), np.inf)
+    nodes = {0: np.arange(len(sample))}
+    for at in range(out.shape[1]):
+        own = nodes.pop(at, None)
+        if own is None or at and len(own) < LEAST:
+            continue
+        x = projected[own, (at + 1).bit_length() - 1]
+        if np.quantile(x, 0.95) - np.quantile(x, 0.05) <= DENSE:
+            out[:, at] = np.nan
+            continue
+        cut = np.median(x)
+        out[:, at] = cut, np.quantile(np.abs(x - cut), SPILL)
+        nodes[2 * at + 1], nodes[2 * at + 2] = own[x <= cut], own[x > cut]
+    return out
+
+
+def descend(unit: np.ndarray, code: int, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows and nodes that vectors of a node come to, and whether the node is a dense group."""
+    tree, path, level = _level(code)
+    depth = cuts.shape[1].bit_length()
+    projected = unit @ directions(tree, unit.shape[1])[level : level + depth].T
+    rows, at = np.arange(len(unit)), np.zeros(len(unit), np.int64)
+    done = []
+    for step in range(depth):
+        cut, spill, x = cuts[0, at], cuts[1, at], projected[rows, step]
+        ends = ~np.isfinite(cut)
+        done.append((rows[ends], at[ends], np.isnan(cut[ends])))
+        left, right = ~ends & (x <= cut + spill), ~ends & (x > cut - spill)
+        rows, at = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * at[left] + 1, 2 * at[right] + 2])
+    done.append((rows, at, np.zeros(len(rows), bool)))
+    rows, at, dense = (np.concatenate(c) for c in zip(*done, strict=True))
+    # A place in the heap is a path below the node: 1 and a bit per level.
+    below = at + 1
+    steps = np.floor(np.log2(below)).astype(np.int64)
+    return rows, (tree << _TREE) + (path << steps) + (below - (1 << steps)), dense
+
+
+def unit_vectors(rows: list) -> np.ndarray:
+    x = rescaled(rows)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def place(classes: DataFrame) -> DataFrame:
+    """``(id, codes)``: the leaves of each of ``classes(id, width, vector)`` over all trees, ascending.
+
+    All trees of one length of vectors begin as one node.  While a node holds more than ``LEAF`` vectors and is no dense
+    group, a round samples it, fits up to ``LEVELS`` levels below it in a task, and sends its vectors down.  So
+    leaves stay small however many vectors there are; samples, fits and split points are rows of tables, keyed by
+    node.  A vector visits ``(1 + SPILL)`` nodes per node and level at most, on average.
+    """
+    visits = classes.select("id", "width", F.lit(0).cast("long").alias("code"), F.lit(False).alias("dense"))
+    settled = []
+    while True:
+        sizes = visits.filter("not dense").groupBy("width", "code").agg(F.count("*").alias("total")).filter(F.col("total") > LEAF)
+        sizes = materialize(sizes, "sizes")
+        if sizes.isEmpty():
+            break
+        settled.append(visits.join(sizes, ["width", "code"], "left_anti").select("id", "code"))
+        full = visits.join(sizes, ["width", "code"]).select("id", "width", "code", "total").join(classes.select("id", "vector"), "id")
+        draw = F.pmod(F.xxhash64("id", "code"), F.lit(1 << 30)) < (SAMPLE / F.col("total") * (1 << 30))
+        models = full.filter(draw).groupBy("width", "code").applyInArrow(_fit, "width int, code long, start long, cuts array<double>, spills array<double>")
+        models = materialize(models, "models").groupBy("width", "code").agg(F.collect_list(F.struct("start", "cuts", "spills")).alias("models"))
+        # Vectors of a node follow each other where the join sorts, and nodes are few where it does not.
+        sent = full.join(models, ["width", "code"]).select("id", "width", "code", "vector", "models")
+        visits = materialize(sent.mapInArrow(_send, "id long, width int, code long, dense boolean"), "visits")
+    for other in settled:
+        visits = visits.select("id", "code").union(other)
+    return visits.groupBy("id").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+
+
+def _fit(key: tuple, rows: pa.Table) -> pa.Table:
+    width, code = (k.as_py() for k in key)
+    sample = unit_vectors(rows["vector"].to_pylist())
+    begin, total = starts(code), rows["total"][0].as_py()
+    fitted = [fit_node(sample, c, total) for c in begin]
+    columns = [[width] * len(begin), [code] * len(begin), begin, [f[0].tolist() for f in fitted], [f[1].tolist() for f in fitted]]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["width", "code", "start", "cuts", "spills"])
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("width", pa.int32()), ("code", pa.int64()), ("dense", pa.bool_())])
+    for batch in batches:
+        ids, widths, codes = (batch.column(n).to_numpy() for n in ("id", "width", "code"))
+        order = np.lexsort((codes, widths))
+        edges = np.flatnonzero((np.diff(codes[order]) != 0) | (np.diff(widths[order]) != 0)) + 1
+        for own in np.split(order, edges) if len(order) else []:
+            vectors = batch.column("vector").take(pa.array(own))
+            unit = unit_vectors(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1))
+            for model in batch.column("models")[int(own[0])].as_py():
+                rows, nodes, dense = descend(unit, model["start"], np.array([model["cuts"], model["spills"]]))
+                kept = ids[own[rows]]
+                yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(np.full(len(kept), widths[own[0]])), pa.array(nodes), pa.array(dense)], schema=schema)
 
 
 def _shared_before(a: list, b: list, code: int) -> np.ndarray:
@@ -132,11 +214,11 @@ def compare(pdf: pd.DataFrame, code: int, i: int, j: int, least: float) -> pd.Da
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9) -> DataFrame:
     """``(id, n_links, component_id, kept)`` per row; links are pairs found with a cosine of ``least`` or more.
 
-    Equal vectors are one class with a count.  Classes go down every tree; a leaf is compared in blocks,
+    Equal vectors are one class with a count.  Classes go down every tree (``place``); a leaf is compared in blocks,
     however large it is, and a pair is counted in the first leaf that it shares, so links are counted
     without writing pairs.  Edges to partners are kept per vector and leaf; components follow.
 
-    Null or zero vectors, those of another length than most, and those with null or non-finite
+    Vectors link with vectors of the same length only.  Null or zero vectors and those with null or non-finite
     components link with nothing.  A repeated row is one more vector with the same id.  Null ids link with nothing
     and have a null component.  An empty table gives no row; other columns are ignored.
     """
@@ -144,41 +226,30 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = materialize(rows.withColumn("usable", usable), "vectors")
-    good = rows.filter("usable")
-    widths = good.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    good = good.filter(F.size("vector") == (widths["width"] if widths else 0))
-    classes = materialize(good.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    total = classes.count()
-    drawn = classes.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").toPandas()
-    sample = rescaled(drawn["vector"].tolist()) if len(drawn) else np.empty((0, 1))
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    forest = table.sparkSession.sparkContext.broadcast(fit_forest(sample, total))
-    kind = dict(classes.dtypes)["vector"]
-
-    def descend(frames):
-        for pdf in frames:
-            if len(pdf):
-                x = rescaled(pdf["vector"].tolist())
-                yield pdf.assign(codes=leaves(x / np.linalg.norm(x, axis=1, keepdims=True), forest.value))
-
-    placed = materialize(classes.mapInPandas(descend, f"vector {kind}, id long, copies long, codes array<long>"), "placed")
+    good = rows.filter("usable").groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = good.withColumn("width", F.size("vector"))
+    # Ids name classes; rows of different vectors may share one, so a class has a number of its own.
+    classes = materialize(classes.withColumnRenamed("id", "name").withColumn("id", F.monotonically_increasing_id()), "classes")
+    placed = materialize(classes.join(place(classes), "id"), "placed")
     visits = placed.withColumn("code", F.explode("codes"))
-    # One row per large leaf; the number of leaves is bounded by the sample that the forest is fitted on.
-    sizes = visits.groupBy("code").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("blocks > 1")
-    visits = visits.join(F.broadcast(sizes), "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = visits.groupBy("width", "code").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("blocks > 1")
+    visits = visits.join(sizes, ["width", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     visits = visits.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     visits = visits.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    visits = visits.select("code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "vector", "codes")
+    visits = visits.select("width", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "copies", "vector", "codes")
 
     def run(key, pdf):
-        return compare(pdf, int(key[0]), int(key[1]), int(key[2]), least)
+        return compare(pdf, int(key[1]), int(key[2]), int(key[3]), least)
 
-    found = materialize(visits.groupBy("code", "i", "j").applyInPandas(run, "id long, links long, partner long"), "found")
+    found = materialize(visits.groupBy("width", "code", "i", "j").applyInPandas(run, "id long, links long, partner long"), "found")
     label = components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")))
-    linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(label, "id", "full").withColumnRenamed("id", "rep")
-    # Results go from classes to their members; a class is named by its smallest id, so components are too.
-    own = materialize(classes.withColumnRenamed("id", "rep").join(linked, "rep", "left").withColumn("usable", F.lit(True)), "own")
+    linked = found.groupBy("id").agg(F.sum("links").alias("links")).join(label, "id", "full")
+    # Results go from classes to their members; a component is named by the smallest id of its rows.
+    own = classes.join(linked, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
+    own = materialize(own, "own")
+    names = own.groupBy("group").agg(F.min("name").alias("component"))
+    own = own.join(names, "group").select("vector", "copies", "links", "component", F.lit(True).alias("usable"))
     out = rows.join(own, ["vector", "usable"], "left")
     links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    part = F.coalesce("component", "rep", "id")
+    part = F.coalesce("component", "id")
     return out.select("id", links.cast("long").alias("n_links"), part.alias("component_id"), (F.col("id") == part).alias("kept"))
