@@ -130,3 +130,16 @@ def test_query_matches_added_tokens(spark, tmp_path):
     rows = QUERIES["op1_hierarchical_packing"](spark, str(tmp_path)).collect()
     assert [(r["doc_tokens"], r["length"]) for r in rows] == [(9, 9)] and 50256 in ids
     assert rows[0]["ids_crc32"] == zlib.crc32(ids.tobytes())
+
+
+def test_very_long_white_space():
+    for text in (" " * 1_000_000 + "x", "a" + "\n" * 1_000_000, "a" + " " * 1_200_000 + "<|endoftext|>", "\t \n" * 400_000, "a " * 500_000):
+        assert pk.token_ids(text, JSON, 1).tolist() == [*_LOADED.encode(text, add_special_tokens=False).ids, 1]
+        assert pk.token_ids(text, RANKS, 1).tolist() == tokenizer_ids(text)
+
+
+def test_long_white_space_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000), (3, "b")], "doc_id long, text string")
+    rows = pk.pack_documents(docs, JSON, 1).collect()
+    sums = {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in (1, 2, 3)}
+    assert sums == {i: len(pk.token_ids(t, JSON, 1)) for i, t in docs.collect()}

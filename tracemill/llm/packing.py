@@ -47,10 +47,23 @@ def coder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def slow_coder(path: str):
+    """The tokenizer file itself, for texts that ``coder`` refuses: its pattern cannot hold a million spaces in a row."""
+    from tokenizers import Tokenizer
+
+    bpe = Tokenizer.from_file(path.removesuffix(".tiktoken") + ".json" if path.endswith(".tiktoken") else path)
+    bpe.encode_special_tokens = path.endswith(".tiktoken")
+    return bpe
+
+
 def token_ids(text: str | None, path: str, end_id: int) -> np.ndarray:
     """Ids of a text (null: none) and ``end_id`` as little-endian unsigned 32-bit numbers."""
     bpe = cached(("bpe", path), lambda: coder(path))
-    return np.array([*bpe.encode(text or "", allowed_special="all"), end_id], "<u4")
+    try:
+        ids = bpe.encode(text or "", allowed_special="all")
+    except ValueError:
+        ids = cached(("slow bpe", path), lambda: slow_coder(path)).encode(text, add_special_tokens=False).ids
+    return np.array([*ids, end_id], "<u4")
 
 
 def parts_of(length: int, tiers: tuple[int, ...] = TIERS) -> list[int]:
