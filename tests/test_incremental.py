@@ -45,6 +45,60 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def replay(rules, calls):
+    """The rules of one run played call by call: ``event_id -> (armed_at, fired_at)``."""
+    state = {r["event_id"]: [0, 0, None] if not r["activation_tools"] else [None, None, None] for r in rules}
+    history = 0
+
+    def meets(tools, args, tool, given):
+        return (not tools or tool in tools) and all(given.get(k) == v for k, v in args.items())
+
+    for index, (tool, given, raised) in enumerate(calls, 1):
+        ended = False
+        for r in rules:
+            s = state[r["event_id"]]
+            if s[2] is None and s[0] is not None and history - s[1] >= r["delay"] and meets(r["fire_tools"], r["fire_args"], tool, given):
+                s[2] = index
+                if r["effect_type"] in (None, "error_with_state_update"):
+                    ended = True
+                    break
+        history += ended or not raised
+        if not ended and not raised:
+            for r in rules:
+                s = state[r["event_id"]]
+                if s[0] is None and meets(r["activation_tools"], r["activation_args"], tool, given):
+                    s[0], s[1] = index, history
+    return {e: (s[0], s[2]) for e, s in state.items() if s[0] is not None}
+
+
+def test_coupled_rules_match_a_replay(spark):
+    """Random rules of both kinds, several on one tool, and calls that raise, against playing each run call by call."""
+    rnd = random.Random(17)
+    tools = ["signup", "click", "view", "purchase"]
+    rule_rows, call_rows, want = [], [], set()
+    for run in range(60):
+        rules = []
+        for place in range(rnd.randint(0, 5)):
+            rules.append({
+                "event_id": f"e{place}", "activation_tools": rnd.choice([[], [rnd.choice(tools)], rnd.sample(tools, 2)]), "activation_args": rnd.choice([{}, {"k": rnd.randint(0, 1)}]),
+                "fire_tools": rnd.choice([[], ["purchase"], [rnd.choice(tools)]]), "fire_args": rnd.choice([{}, {}, {"k": rnd.randint(0, 1)}]), "delay": rnd.randint(-1, 4),
+                "effect_type": rnd.choice([None, "error_with_state_update", "error_with_state_update", "state_update"]),
+            })
+        calls = [(rnd.choice(tools), {"k": rnd.randint(0, 1)}, rnd.random() < 0.4) for _ in range(rnd.randint(0, 25))]
+        text = lambda d: str(d).replace("'", '"')
+        rule_rows += [(run, r["event_id"], p, r["activation_tools"], text(r["activation_args"]), r["fire_tools"], text(r["fire_args"]), r["delay"], r["effect_type"]) for p, r in enumerate(rules)]
+        call_rows += [(run, 10 * i, tool, text(given), raised) for i, (tool, given, raised) in enumerate(calls)]
+        want |= {(run, e, a, f) for e, (a, f) in replay(rules, calls).items()}
+    schema = "run_id long, event_id string, place int, activation_tools array<string>, activation_args string, fire_tools array<string>, fire_args string, delay int, effect_type string"
+    rules = spark.createDataFrame(rule_rows, schema)
+    calls = spark.createDataFrame(call_rows, CALLS + ", raised boolean")
+    got = incremental.replay_rules(rules, calls, block_of("pos", 40))
+    assert {tuple(r) for r in got.collect()} == want and sum(f is not None for _, _, _, f in want) > 40
+    assert incremental.replay_rules(rules.limit(0), calls, block_of("pos")).count() == 0
+    idle = incremental.replay_rules(rules, calls.limit(0), block_of("pos")).collect()
+    assert all((r.armed_at, r.fired_at) == (0, None) for r in idle)
+
+
 def test_resume_stream_is_exactly_once(spark, tmp_path):
     keys, source, out, ck = ["sample_id", "behavior"], tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     schema = "sample_id string, behavior string, text string"

@@ -157,3 +157,6 @@ FAILURE_MODES = {
     "R3": "Wrong Params or Scope",
     "R4": "Forbidden Tool Called",
 }
+
+# --- fixed values: rules that arm and fire; the type that ends a call, also that of rules without one ---
+ERROR_EFFECT = "error_with_state_update"

@@ -178,3 +178,49 @@ def trigger_rules(t: Tables) -> DataFrame:
     )
     runs = t.events.select(F.col("user_id").alias("run_id")).distinct()
     return runs.select("run_id", F.explode(rules).alias("_r")).select("run_id", "_r.*")
+
+
+SQL_REPLAY = """WITH RECURSIVE c AS (
+  SELECT user_id AS run_id, event_type AS tool, CAST(json_extract(props, '$.k') AS INT) AS k, CAST(json_extract(props, '$.k') AS INT) % 5 = 0 AS raised,
+    row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events
+), s AS (
+  SELECT DISTINCT run_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS h, CAST(NULL AS BIGINT) AS a0, CAST(NULL AS BIGINT) AS l0, CAST(NULL AS BIGINT) AS f0,
+    CAST(NULL AS BIGINT) AS a1, CAST(NULL AS BIGINT) AS l1, CAST(NULL AS BIGINT) AS f1, CAST(NULL AS BIGINT) AS f2, CAST(NULL AS BIGINT) AS a3, CAST(NULL AS BIGINT) AS l3,
+    CAST(NULL AS BIGINT) AS f3 FROM c
+  UNION ALL
+  SELECT run_id, i, h + CAST((e0 OR e2 OR NOT raised) AS INT),
+    CASE WHEN a0 IS NULL AND NOT (e0 OR e2 OR raised) AND tool = 'signup' THEN i ELSE a0 END, CASE WHEN a0 IS NULL AND NOT (e0 OR e2 OR raised) AND tool = 'signup' THEN h + 1 ELSE l0 END,
+    CASE WHEN e0 THEN i ELSE f0 END,
+    CASE WHEN a1 IS NULL AND NOT (e0 OR e2 OR raised) AND tool = 'view' THEN i ELSE a1 END, CASE WHEN a1 IS NULL AND NOT (e0 OR e2 OR raised) AND tool = 'view' THEN h + 1 ELSE l1 END,
+    CASE WHEN e1 THEN i ELSE f1 END, CASE WHEN e2 THEN i ELSE f2 END,
+    CASE WHEN a3 IS NULL AND NOT (e0 OR e2 OR raised) AND tool IN ('click', 'view') AND k = 7 THEN i ELSE a3 END,
+    CASE WHEN a3 IS NULL AND NOT (e0 OR e2 OR raised) AND tool IN ('click', 'view') AND k = 7 THEN h + 1 ELSE l3 END, CASE WHEN e3 THEN i ELSE f3 END
+  FROM (SELECT *, NOT e0 AND NOT e2 AND f3 IS NULL AND a3 IS NOT NULL AND h - l3 >= 1 AS e3 FROM (SELECT *, NOT e0 AND f1 IS NULL AND a1 IS NOT NULL AND h - l1 >= 1 AND tool = 'purchase' AS e1,
+      NOT e0 AND f2 IS NULL AND h >= 3 AND tool IN ('error', 'purchase') AS e2
+    FROM (SELECT s.*  EXCLUDE (i), c.i, c.tool, c.k, c.raised, f0 IS NULL AND a0 IS NOT NULL AND h - l0 >= 2 AND tool = 'purchase' AS e0 FROM s JOIN c ON c.run_id = s.run_id AND c.i = s.i + 1) x) y) z
+), d AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY i DESC) AS n FROM s)
+SELECT run_id, event_id, armed_at, fired_at FROM (
+  SELECT run_id, unnest(['late_purchase', 'shadow_purchase', 'any_error', 'lucky']) AS event_id, unnest([a0, a1, 0, a3]) AS armed_at, unnest([f0, f1, f2, f3]) AS fired_at
+  FROM d WHERE n = 1) WHERE armed_at IS NOT NULL"""
+
+
+@plan("t2_error_rules", SQL_REPLAY)
+def _(t: Tables) -> DataFrame:
+    """Rules of both kinds, two of them on one tool, and calls that raise."""
+    texts = lambda *xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+
+    def rule(event_id, place, on, on_args, fire, delay, effect):
+        return F.struct(
+            F.lit(event_id).alias("event_id"), F.lit(place).alias("place"), on.alias("activation_tools"), F.lit(on_args).alias("activation_args"), fire.alias("fire_tools"),
+            F.lit("{}").alias("fire_args"), F.lit(delay).alias("delay"), F.lit(effect).cast("string").alias("effect_type"),
+        )
+
+    rules = F.array(
+        rule("late_purchase", 0, texts("signup"), "{}", texts("purchase"), 2, fixed.ERROR_EFFECT),
+        rule("shadow_purchase", 1, texts("view"), "{}", texts("purchase"), 1, "state_update"),
+        rule("any_error", 2, texts(), "{}", texts("error", "purchase"), 3, None),
+        rule("lucky", 3, texts("click", "view"), '{"k": 7}', texts(), 1, "state_update"),
+    )
+    runs = t.events.select(F.col("user_id").alias("run_id")).distinct()
+    calls = gold.calls(t).select("run_id", "pos", "tool", "arguments", (F.get_json_object("arguments", "$.k").cast("int") % 5 == 0).alias("raised"))
+    return incremental.replay_rules(runs.select("run_id", F.explode(rules).alias("_r")).select("run_id", "_r.*"), calls, block_of("pos"))
