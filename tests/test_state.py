@@ -10,7 +10,7 @@ from tracemill.operators import state
 
 
 def leaves(spark, docs, **kw):
-    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in docs.items()], "run_id string, doc string")
+    df = spark.createDataFrame([(str(k), json.dumps(v)) for k, v in docs.items()], "run_id string, doc string")
     return state.flatten_state(df, ["run_id"], "doc", **kw)
 
 
@@ -39,6 +39,57 @@ def test_any_depth_is_opened(spark):
     assert got == {("r", 41, "x}]", '{[\\"'), ("s", 1, "b", "1.0")}
 
 
+def flat(value, path=(), expand=False):
+    """Leaves by the definition: ``path -> value``."""
+    if isinstance(value, dict) and value or isinstance(value, dict) and not path:
+        return {k: v for key, x in value.items() for k, v in flat(x, (*path, key), expand).items()}
+    if expand and isinstance(value, list):
+        out = {(*path, "[#]"): len(value)}
+        for i, x in enumerate(value):
+            out |= flat(x, (*path, f"[{i}]"), expand)
+        return out
+    return {path: value}
+
+
+@pytest.mark.parametrize("expand", [False, True])
+def test_deep_documents_match_the_definition(spark, expand):
+    rnd = random.Random(31)
+
+    def grow(depth):
+        kind = rnd.random()
+        if depth == 0 or kind < 0.25:
+            return rnd.choice([1, -2.5, "x", 'q"}]{[,:\\', "", None, True, {}, [], "é☃"])
+        if kind < 0.7:
+            return {rnd.choice(["a", "b", "c.d", 'k"]', "[0]x", " "]): grow(depth - 1) for _ in range(rnd.randint(0, 3))}
+        return [grow(depth - 1) for _ in range(rnd.randint(0, 3))]
+
+    docs = {i: {"r": grow(12), "s": grow(8)} for i in range(150)}
+    got = {}
+    for r in leaves(spark, docs, expand_arrays=expand).collect():
+        got.setdefault(r["run_id"], {})[tuple(r["path"])] = (r["kind"], r["value"])
+    assert max(len(p) for own in got.values() for p in own) > 8
+    for key, doc in docs.items():
+        want = flat(doc, expand=expand)
+        assert set(got[str(key)]) == set(want)
+        for path, value in want.items():
+            kind, text = got[str(key)][path]
+            if kind in ("object", "array"):
+                assert json.loads(text) == value
+            elif kind in ("number", "length"):
+                assert float(text) == value
+            else:
+                assert text == (json.dumps(value) if value is None or isinstance(value, bool) else value)
+
+
+@pytest.mark.parametrize("depth", [40, 300, 900])
+def test_very_deep_documents(spark, depth):
+    """The plan does not grow with the depth, and a deep document does not end the job."""
+    deep = '{"a":' * depth + '{"b":[1,{"c":2}]}' + "}" * depth
+    df = spark.createDataFrame([("r", deep), ("s", '{"b":1}'), ("t", '{"a":' * 5000 + "1" + "}" * 5000)], "run_id string, doc string")
+    flat_ = state.flatten_state(df, ["run_id"], "doc")
+    assert {(r.run_id, len(r.path), r.value) for r in flat_.collect()} == {("r", depth + 1, '[1,{"c":2}]'), ("s", 1, "1.0")}
+
+
 def reference_diff(old, new, path=()):
     out = {}
     for key in old.keys() | new.keys():

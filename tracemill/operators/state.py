@@ -55,30 +55,75 @@ def _children(v: Column, expand_arrays: bool) -> Column:
     return F.coalesce(fields, F.concat(numbered, F.when(items.isNotNull(), length)))
 
 
-def nesting_depth(json_text: Column | str) -> Column:
-    """Levels of objects and arrays in a JSON text: the largest running count of open brackets outside strings."""
-    marks = F.regexp_replace(F.regexp_replace(tx.col(json_text), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}\[\]]", "")
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+#: Levels that are opened one by one; what lies deeper is read off its text in one pass.
+OPENED = 4
 
-    def step(acc: Column, mark: Column) -> Column:
-        now = acc["open"] + F.when(mark.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("open"), F.greatest(acc["most"], now).alias("most"))
 
-    return F.aggregate(F.filter(F.split(marks, ""), lambda m: m != ""), start, step)["most"]
+def _deep_leaves(json_text: Column, expand_arrays: bool) -> Column:
+    """``array<struct<path, text>>``: leaves of an object (or opened array) in minified JSON, at any depth.
+
+    One fold over the pieces of the text.  ``path`` holds a key, or ``[i]``, for each container that is open; an
+    array that is not opened is put together again from its pieces.
+    """
+    pieces = F.regexp_extract_all(json_text, F.lit(r'("(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^{}\[\]:,"\s]++)'), 1)
+    none = F.array().cast("array<string>")
+    start = F.struct(
+        none.alias("path"), F.lit("").alias("open"), F.lit(False).alias("key"), F.lit(False).alias("fresh"), F.lit(0).alias("inner"), none.alias("held"),
+        F.array().cast("array<struct<path:array<string>,text:string>>").alias("out"),
+    )
+
+    def step(acc: Column, piece: Column) -> Column:
+        path, opened, inner = acc["path"], acc["open"], acc["inner"]
+        last = F.size(path)
+        above = F.slice(path, F.lit(1), F.greatest(last - 1, F.lit(0)))
+        here = F.try_element_at(path, F.lit(-1))
+        in_array = opened.endswith("[")
+        index = F.regexp_extract(here, r"^\[(\d+)\]$", 1).cast("int")
+        starts, ends = piece.isin("{", "["), piece.isin("}", "]")
+        closed = piece.isin("[") if not expand_arrays else F.lit(False)
+        # Pieces of an array that stays whole.
+        deeper = inner + F.when(piece == "[", 1).when(piece == "]", -1).otherwise(0)
+        whole = F.concat(acc["held"], F.array(piece))
+        held = F.when((inner > 0) & (deeper == 0), none).when((inner > 0) | closed, whole).otherwise(none)
+        opens, shuts = starts & (inner == 0) & ~closed, ends & (inner == 0)
+        names, scalar = acc["key"] & piece.startswith('"'), ~piece.isin("{", "}", "[", "]", ":", ",")
+        leaf = (
+            F.when((inner > 0) & (deeper == 0), F.struct(path.alias("path"), F.array_join(whole, "").alias("text")))
+            .when(inner > 0, None)
+            .when(shuts & in_array, F.struct(F.concat(above, F.array(F.lit("[#]"))).alias("path"), F.when(acc["fresh"], 0).otherwise(index + 1).cast("string").alias("text")))
+            .when(shuts & acc["fresh"], F.struct(above.alias("path"), F.lit("{}").alias("text")))
+            .when(scalar & ~names, F.struct(path.alias("path"), piece.alias("text")))
+        )
+        name = F.when(names, F.try_variant_get(F.try_parse_json(piece), "$", "string")).when((piece == ",") & in_array, F.format_string("[%d]", index + 1))
+        moved = (
+            F.when(inner > 0, path)
+            .when(opens, F.concat(path, F.array(F.when(piece == "[", "[0]").otherwise(""))))
+            .when(shuts, above)
+            .when(name.isNotNull(), F.concat(above, F.array(name)))
+            .otherwise(path)
+        )
+        kinds = F.when(opens, F.concat(opened, piece)).when(shuts, opened.substr(F.lit(1), F.length(opened) - 1)).otherwise(opened)
+        key = F.when(inner > 0, False).when((piece == "{") | ((piece == ",") & ~in_array), True).otherwise(False)
+        return F.struct(
+            moved.alias("path"), kinds.alias("open"), key.alias("key"), opens.alias("fresh"), F.when(closed & (inner == 0), 1).when(inner > 0, deeper).otherwise(0).alias("inner"),
+            held.alias("held"), F.when(leaf.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(leaf))).alias("out"),
+        )
+
+    return F.aggregate(pieces, start, step)["out"]
 
 
 def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, expand_arrays: bool = False) -> DataFrame:
     """Leaf table of a JSON object column, in one narrow pass without a shuffle.
 
-    Every level opens the objects found at the level above; rows that are already leaves pass
-    through.  The number of levels is taken from the data (one aggregated row), so any depth is opened.
+    The first ``OPENED`` levels open the objects found at the level above, one by one; rows that are already leaves pass
+    through.  What is nested deeper is read off its text by a fold, so the plan is the same for any
+    depth and nothing is computed while it is built.  Documents nested more than 1000 deep do not parse in
+    Spark and give no leaf, like any text that is no JSON.
     """
-    parsed = df.filter(F.try_parse_json(json_col).isNotNull())
-    levels = parsed.agg(F.max(nesting_depth(json_col)).alias("n")).first()["n"] or 0
     rows = df.select(
         *keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("_v")
     ).filter(F.col("_v").isNotNull())
-    for _ in range(levels):
+    for _ in range(OPENED):
         opened = rows.select(*keys, "path", "_v", F.explode_outer(_children(F.col("_v"), expand_arrays)).alias("_e"))
         leaf = F.col("_e").isNull()
         rows = opened.select(
@@ -86,6 +131,16 @@ def flatten_state(df: DataFrame, keys: Sequence[str], json_col: str, expand_arra
             F.when(leaf, F.col("path")).otherwise(F.concat("path", F.array("_e.key"))).alias("path"),
             F.when(leaf, F.col("_v")).otherwise(F.col("_e.value")).alias("_v"),
         )
+    rows = rows.select("*", F.to_json("_v").alias("_t"))
+    nested = F.col("_t").startswith("{") & (F.col("_t") != "{}")
+    nested = nested | F.col("_t").startswith("[") if expand_arrays else nested
+    deep = rows.select(*keys, "path", "_v", F.explode_outer(F.when(nested, _deep_leaves(F.col("_t"), expand_arrays))).alias("_e"))
+    leaf = F.col("_e").isNull()
+    rows = deep.select(
+        *keys,
+        F.when(leaf, F.col("path")).otherwise(F.concat("path", "_e.path")).alias("path"),
+        F.when(leaf, F.col("_v")).otherwise(F.try_parse_json("_e.text")).alias("_v"),
+    )
     text = F.to_json("_v")
     leaves = rows.select(*keys, "path", "_v", F.coalesce(text, F.lit("null")).alias("_t"))
     value = (
