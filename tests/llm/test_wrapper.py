@@ -59,7 +59,31 @@ def test_simple_tree_matching():
         pairs = wr.match(a, b)
         assert len({p for p, _ in pairs}) == len(pairs) == len({q for _, q in pairs})
         assert all(a[p, 1] == b[q, 1] and a[p, 2] and b[q, 2] for p, q in pairs)
-        assert slow_match(a, b) >= 1.0
+        assert slow_match(a, b) == wr.align(a, b)[0]
+
+
+def test_long_odd_markup_is_linear():
+    import time
+
+    start = time.process_time()
+    for source in ("<a " * 60_000, "<div>" * 30_000 + "</x>" * 30_000, "<p>" * 30_000, "<x>" * 20_000 + "<p>" * 20_000, '<a "' * 40_000 + ">", "<!--" * 40_000, "<" * 200_000, "</p>" * 50_000):
+        wr.Page(source).skeleton()
+    assert time.process_time() - start < 20
+    assert text_of("<p>x</p> a < b <a ") == "x\na < b"
+
+
+def test_deep_pages(spark):
+    rows = [(i, f"http://deep.example.com/{i}", "<div>" * 1200 + f"<p>text {i}</p><p>same</p>" + "</div>" * 1200) for i in range(5)]
+    got = wr.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["id"], r["text"]) for r in got) == [(i, f"text {i}") for i in range(5)]
+
+
+def test_links_within_text_and_teasers():
+    assert text_of("<p>Read <a>the very long link text of this one</a> now</p><ul><li><a>Home</a></li></ul>") == "Read the very long link text of this one now"
+    long = "It was a dark night and the rain fell in torrents on the town."
+    assert text_of(f"<article>teaser</article><div><p>{long}</p></div>") == f"teaser\n{long}"
+    assert text_of(f'<article><p>{long}</p></article><div class="user-feedback">Great</div><div class="comment-list">x</div><p>Some notice</p>') == long
+    assert text_of(f'<p>{long}</p><div class="user-feedback">Great</div><section id="reader-comments">x</section>') == long
 
 
 def page(i, body):

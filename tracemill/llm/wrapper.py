@@ -27,8 +27,10 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
     "cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe share sharing social related recommended comment comments respond reply "
-    "replies disqus widget toolbar pagination pager login signup search masthead".split()
+    "replies disqus widget toolbar pagination pager login signup search masthead feedback".split()
 )
+#: Words that may stand beside those in a class or id.
+BESIDE = frozenset("user users reader readers visitor site page top bottom left right section list item items area box block container wrapper inner outer panel thread".split())
 #: Elements that no class or id marks.
 UNMARKED = frozenset("html body article main".split())
 #: An end tag is implied when one of these follows an open element of the kind.
@@ -43,6 +45,7 @@ FRAMES, TOP = frozenset("html body div section main article header footer nav as
 LEAST_PAGES = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPENS = re.compile(r"<[/!?a-zA-Z]")
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -70,14 +73,14 @@ def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def _marked(tag: str, attributes: str) -> bool:
-    """Whether a class or id marks an element: a whole one that is made of ``MARKS`` only."""
+    """Whether a class or id marks an element: a whole one that is made of ``MARKS`` and words beside them only."""
     if not attributes or tag in UNMARKED or "=" not in attributes:
         return False
     for name, value in _NAMES.findall(attributes):
         if name.lower() in ("class", "id"):
             for token in value.strip("\"'").lower().split():
                 words = _WORD.findall(token)
-                if words and all(w in MARKS for w in words):
+                if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
                     return True
     return False
 
@@ -88,23 +91,32 @@ class Page:
     def __init__(self, source: str):
         self.parent: list[int] = [-1]
         self.label: list[str] = [""]
-        self.path: list[str] = [""]
-        self.blocks: list[tuple[int, str, bool, bool, bool]] = []  # node, text, boilerplate, in article, mostly links
+        self.chain: list[int] = [0]  # hash of the tags from the root
+        self.frames: list[str | None] = [""]  # those tags, near the root and while all are frames
+        self.blocks: list[tuple[int, str, bool, bool, bool]] = []  # node, text, boilerplate, in article, nothing but links
         self.by_mark: list[int] = []  # places of blocks that are boilerplate by a class or id only
         self._stack: list[list] = [["", 0, False, False, -1]]  # tag, node, boilerplate, in article, innermost mark
         self._marks: list[list[int]] = []  # of each marked element the mark around it and the length of its text
         self._at: list[int] = []  # innermost mark of each block
         self._text: list[str] = []
-        self._links = self._linked = 0
+        self._open: dict[str, int] = {}  # how often each tag is on the stack
+        self._linked = 0
+        self._link = self._plain = False  # whether the block so far has words inside and outside of links
         self._read(source)
 
     def _read(self, source: str) -> None:
         at = 0
-        size = len(source)
+        # A tag needs its end; what looks like one behind the last end is no text either.
+        size = source.rfind(">") + 1
+        if source.startswith("<!--") or "<!--" in source[size:]:
+            size = len(source)
+        tail = source[size:]
+        cut = _OPENS.search(tail)
+        tail = tail[: cut.start()] if cut else tail
         while at < size:
-            found = _TOKEN.search(source, at)
+            found = _TOKEN.search(source, at, size)
             if found is None:
-                self._add(source[at:])
+                self._add(source[at:size])
                 break
             if found.start() > at:
                 self._add(source[at : found.start()])
@@ -119,11 +131,12 @@ class Page:
             attributes = found.group(3) or found.group(6) or ""
             if tag in RAW:
                 close = re.compile(f"</{tag}", re.I).search(source, at)
+                if close is None:
+                    tail = ""
                 at = close.start() if close else size
-                if tag == "textarea" or tag == "title":
-                    continue
                 continue
             self._start(tag, attributes)
+        self._add(tail)
         self._flush()
         self._settle()
 
@@ -154,21 +167,23 @@ class Page:
 
     def _add(self, text: str) -> None:
         self._text.append(text)
-        if self._linked:
-            self._links += len(text)
+        if re.search(r"\w", text):
+            self._link, self._plain = self._link or bool(self._linked), self._plain or not self._linked
 
     def _flush(self) -> None:
         if not self._text:
             return
         raw = "".join(self._text)
-        self._text, links, self._links = [], self._links, 0
+        links = self._link and not self._plain
+        self._text, self._link, self._plain = [], False, False
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
         if text:
             _, node, boiler, inside, mark = self._stack[-1]
             self.parent.append(node)
             self.label.append("#")
-            self.path.append(self.path[node])
-            self.blocks.append((len(self.parent) - 1, text, boiler, inside, links * 2 > len(raw)))
+            self.chain.append(self.chain[node])
+            self.frames.append(None)
+            self.blocks.append((len(self.parent) - 1, text, boiler, inside, links))
             self._at.append(mark)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -182,7 +197,7 @@ class Page:
                 boiler, mark = _boiler(tag, attributes, top[3]), self._mark(tag, attributes, top[4])
                 if boiler or mark != top[4]:
                     self._flush()
-                    self._stack.append([tag, top[1], boiler, top[3], mark])
+                    self._push([tag, top[1], boiler, top[3], mark])
             return
         self._flush()
         self._linked = 0
@@ -197,13 +212,26 @@ class Page:
         inside = not boiler and (inside or tag in ("article", "main") or "main" in attributes and bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I)))
         self.parent.append(parent)
         self.label.append(tag)
-        self.path.append(f"{self.path[parent]}/{tag}")
-        self._stack.append([tag, len(self.parent) - 1, boiler, inside, self._mark(tag, attributes, mark)])
+        above = self.frames[parent]
+        self.chain.append(_hash(f"{self.chain[parent]}/{tag}"))
+        self.frames.append(f"{above}/{tag}" if above is not None and tag in FRAMES and above.count("/") < TOP else None)
+        self._push([tag, len(self.parent) - 1, boiler, inside, self._mark(tag, attributes, mark)])
+
+    def _push(self, entry: list) -> None:
+        self._stack.append(entry)
+        self._open[entry[0]] = self._open.get(entry[0], 0) + 1
+
+    def _drop(self, start: int) -> None:
+        for entry in self._stack[start:]:
+            self._open[entry[0]] -= 1
+        del self._stack[start:]
 
     def _close(self, tags: tuple, stops: tuple) -> None:
+        if not any(self._open.get(t) for t in tags):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] in tags:
-                del self._stack[i:]
+                self._drop(i)
                 return
             if self._stack[i][0] in stops:
                 return
@@ -214,13 +242,15 @@ class Page:
                 self._linked = 0
             if self._stack[-1][0] == tag:
                 self._flush()
-                self._stack.pop()
+                self._drop(len(self._stack) - 1)
             return
         self._flush()
         self._linked = 0
+        if not self._open.get(tag):
+            return
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
-                del self._stack[i:]
+                self._drop(i)
                 return
 
     def skeleton(self) -> np.ndarray:
@@ -248,31 +278,38 @@ class Page:
 
     def layout(self) -> int:
         """Hash of the paths of frames near the root, without what articles are made of."""
-        tops = {p for p in self.path if p.count("/") <= TOP and all(t in FRAMES for t in p.split("/")[1:])}
-        return _hash("\n".join(sorted(tops)))
+        return _hash("\n".join(sorted({f for f in self.frames if f is not None})))
 
     def place(self, node: int, text: str) -> int:
-        return _hash(f"{self.path[node]}\n{text}")
+        return _hash(f"{self.chain[node]}\n{text}")
 
     def main_blocks(self) -> list[tuple[int, str, bool]]:
-        """``(node, text, in article)`` of what may be main text: inside articles if there are any, else all but boilerplate and link lists.
+        """``(node, text, in article)`` of what may be main text: all but boilerplate and blocks that are nothing but links.
 
-        If that is nothing, what only a class or id marks may be main text.
+        Articles stand for the page unless the text outside is more than ten times as long: those are teasers.  If there is no
+        such text, what only a class or id marks may be main text.
         """
         inside = [(n, t, True) for n, t, boiler, article, _ in self.blocks if article and not boiler]
-        return inside or [(n, t, False) for n, t, boiler, _, links in self.blocks if not boiler and not links] or self.marked_blocks()
+        plain = [(n, t, article) for n, t, boiler, article, links in self.blocks if not boiler and not links]
+        outside = sum(len(t) for _, t, article in plain if not article)
+        if inside and 10 * sum(len(t) for _, t, _ in inside) >= outside:
+            return inside
+        return [(n, t, False) for n, t, _ in plain] or self.marked_blocks()
 
     def marked_blocks(self) -> list[tuple[int, str, bool]]:
         """Blocks in page order that are boilerplate by a class or id only, without link lists."""
         return [(n, t, False) for n, t, _, _, links in (self.blocks[i] for i in self.by_mark) if not links]
 
 
-def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Aligned text nodes of two skeletons by simple tree matching.
+def align(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+    """Simple tree matching of two skeletons: the score of the roots, and the aligned nodes below them.
 
     Roots match if their labels do; the children of matched nodes are aligned in order so that the number of
-    matched nodes below is largest (equal texts count a little more).
+    matched nodes below is largest (equal texts count a little more).  Pairs of nodes wait on a stack until those below
+    them are solved, so depth is no limit.
     """
+    if a[0, 1] != b[0, 1]:
+        return 0.0, []
     below = []
     for rows in (a, b):
         own: list[list[int]] = [[] for _ in range(len(rows))]
@@ -281,20 +318,24 @@ def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
         below.append(own)
     kids_a, kids_b = below
     known: dict[tuple[int, int], tuple[float, list]] = {}
-
-    def solve(x: int, y: int) -> tuple[float, list]:
+    scores: dict[tuple[int, int], tuple[np.ndarray, list]] = {}
+    waiting = [(0, 0)]
+    while waiting:
+        x, y = waiting[-1]
         left, right = kids_a[x], kids_b[y]
-        if not left or not right:
-            return 1.0, []
-        score = (a[left, 1][:, None] == b[right, 1]) * (1.0 + 0.5 * ((a[left, 2][:, None] == b[right, 2]) & (a[left, 2][:, None] != 0)))
-        deep = {}
-        for i, j in zip(*np.nonzero(score), strict=True):
-            p, q = left[i], right[j]
-            if kids_a[p] and kids_b[q]:
-                if (p, q) not in known:
-                    known[p, q] = solve(p, q)
-                deep[i, j] = known[p, q]
-                score[i, j] = deep[i, j][0]
+        if (x, y) in known or not left or not right:
+            known.setdefault((x, y), (1.0, []))
+            waiting.pop()
+            continue
+        if (x, y) not in scores:
+            score = (a[left, 1][:, None] == b[right, 1]) * (1.0 + 0.5 * ((a[left, 2][:, None] == b[right, 2]) & (a[left, 2][:, None] != 0)))
+            inner = [(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(score)), strict=True) if kids_a[left[i]] and kids_b[right[j]]]
+            scores[x, y] = score, inner
+            waiting += [p for p in ((left[i], right[j]) for i, j in inner) if p not in known]
+            continue
+        score, inner = scores.pop((x, y))
+        for i, j in inner:
+            score[i, j] = known[left[i], right[j]][0]
         table = np.zeros((len(left) + 1, len(right) + 1))
         for i in range(len(left)):
             table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + score[i]))
@@ -307,13 +348,20 @@ def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             else:
                 i, j = i - 1, j - 1
                 pairs.append((left[i], right[j]))
-                if (i, j) in deep:
-                    pairs += deep[i, j][1]
-        return 1.0 + float(table[-1, -1]), pairs
+        known[x, y] = 1.0 + float(table[-1, -1]), pairs
+        waiting.pop()
+    score, out = known[0, 0][0], []
+    todo = list(known[0, 0][1])
+    while todo:
+        pair = todo.pop()
+        out.append(pair)
+        todo += known.get(pair, (0.0, []))[1]
+    return score, out
 
-    if a[0, 1] != b[0, 1]:
-        return []
-    return [(p, q) for p, q in solve(0, 0)[1] if a[p, 2] and b[q, 2]]
+
+def match(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Aligned text nodes of two skeletons."""
+    return [(p, q) for p, q in align(a, b)[1] if a[p, 2] and b[q, 2]]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
@@ -382,8 +430,8 @@ def templates(parsed: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, text, n_chars)`` per page: blocks of main text in page order, joined by a line feed.
 
-    Inside an article (or ``main``) all blocks but marked boilerplate are main text; pages without one give all
-    blocks that are no marked boilerplate and no link list.  Then blocks go that are template on the host;
+    Inside an article (or ``main``) all blocks but marked boilerplate are main text; pages without one, or with little
+    more than teasers in it, give all blocks that are no marked boilerplate and hold words outside of links.  Then blocks go that are template on the host;
     should none remain the page keeps them, as pages that agree in everything are copies and no template.
 
     Null or empty html: empty text.  Null URLs and hosts with fewer than three pages have no template.  Rows
