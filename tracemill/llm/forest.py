@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tracemill.llm.common import components, materialize
 
 #: Trees of the forest; levels that one round splits.
-TREES, LEVELS = 8, 7
+TREES, LEVELS = 8, 8
 #: Vectors (by seeded hash) of a node that its split points are fitted on, about; every node is sampled anew.
-SAMPLE = 4096
+SAMPLE = 8192
 #: A node with more vectors than this is split.
 LEAF = 512
 #: Share of a node's vectors, those nearest to the split point, that go to both sides.
@@ -56,7 +56,7 @@ def fit_node(sample: np.ndarray, code: int, total: int) -> np.ndarray:
     infinity a node whose part of the sample is too small: it is left for the next round.
     """
     tree, _, level = _level(code)
-    depth = int(np.ceil(np.log2(max(total / LEAF, 2))))
+    depth = int(np.ceil(np.log(max(total / LEAF, 1)) / np.log(2 / (1 + SPILL))))
     depth = max(1, min(depth, LEVELS, int(np.log2(max(len(sample) / (2 * LEAST), 2)))))
     if level + depth > LAST:
         return np.full((2, 1), np.nan)
