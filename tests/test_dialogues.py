@@ -57,6 +57,17 @@ def test_behavior_plan(spark, total):
     assert got == want and len(sequence) == total
 
 
+def test_needles_with_one_prefix_have_few_candidates(spark):
+    """Identifiers that share their beginning, and phrases of common words, are looked up by what sets them apart."""
+    ids = spark.range(10_000).selectExpr("id AS nid", "concat('ORD-2024-', lpad(conv(id * 7919 + 13, 10, 36), 7, 'x')) AS needle")
+    phrases = spark.range(300).selectExpr("id + 20000 AS nid", "concat('of the unit', id, ' and the rest') AS needle")
+    needles = ids.union(phrases)
+    texts = spark.range(3000).selectExpr("id", "concat('see ORD-2024-', lpad(conv((id * 3) * 7919 + 13, 10, 36), 7, 'x'), ' ORD-2024-none of the unit', id, ' and the rest') AS text")
+    pairs = bp.containment_join(texts, needles, "id", "text", "nid", "needle").collect()
+    assert {(r.id, r.nid) for r in pairs} == {(i, 3 * i) for i in range(3000)} | {(i, i + 20000) for i in range(300)}
+    assert bp.anchored(texts, needles, "id", "text", "nid", "needle").count() <= 2 * len(pairs)
+
+
 def test_containment_join_short_and_long(spark):
     rnd = random.Random(3)
     words = ["ab", "Cd", "e_1", "fg-2", "hij", "k"]

@@ -64,6 +64,18 @@ def test_ordered_name_match(spark, width):
             at = min(later) if later else at
 
 
+def test_block_results_meet_in_a_tree(spark, monkeypatch):
+    """Few results a row and narrow blocks give the same matches; so do very many sparse blocks of one run."""
+    monkeypatch.setattr(m, "FAN", 4)
+    test_ordered_name_match(spark, 2)
+    monkeypatch.setattr(m, "FAN", 1024)
+    names = ["a", "b", "a", "c", "missing", "b"]
+    n = spark.createDataFrame([("r", i, i + 1, t) for i, t in enumerate(names)], "run_id string, node int, step_index int, tool string")
+    c = spark.range(200_000).select(F.lit("r").alias("run_id"), (F.col("id") * (1 << 21)).alias("pos"), F.when(F.col("id") % 50_000 == 7, "a").when(F.col("id") == 60_000, "b").when(F.col("id") == 190_000, "c").otherwise("b").alias("tool"))
+    got = {r.node: r.position for r in m.ordered_name_match(n, c).collect()}
+    assert got == {0: 7 << 21, 1: 8 << 21, 2: 50_007 << 21, 3: 190_000 << 21, 4: None, 5: 190_001 << 21}
+
+
 def test_gold_trace_matches_itself(spark):
     nodes = [("r", i, i + 1, "write" if i % 2 else "read", "t", json.dumps({"i": i})) for i in range(6)]
     calls = [("r", i + 1, "t", json.dumps({"i": float(i)})) for i in range(6)]

@@ -136,11 +136,12 @@ def validate_blueprint(df: DataFrame) -> DataFrame:
 # --- containment join -------------------------------------------------------------------------
 #
 # "needle occurs in text" has no equi-key.  Tokens strictly inside a needle are whole tokens of
-# any text that contains it, so a run of inner tokens is a key both sides can compute.  Needles
-# with no inner token use their leading characters instead.  Every candidate is then verified.
+# any text that contains it, and so are its runs of characters, so both sides can compute grams
+# of these.  A needle is looked up by the one of its grams that fewest texts have; a needle with a gram that
+# no text has occurs nowhere.  Every candidate is then verified.
 
 _WORDS = {"w5": 5, "w2": 2, "w1": 1}
-_CHARS = {"c3": 3, "c1": 1}
+_CHARS = {"c8": 8, "c3": 3, "c1": 1}
 
 
 def _tokens(c: Column) -> Column:
@@ -149,36 +150,37 @@ def _tokens(c: Column) -> Column:
 
 def _anchor_level(needle: Column) -> Column:
     inner, size = F.size(_tokens(needle)) - 2, F.length(needle)
-    return (
-        F.when(inner >= 5, "w5").when(inner >= 2, "w2").when(inner >= 1, "w1").when(size >= 3, "c3").otherwise("c1")
-    )
+    words = F.when(inner >= 5, "w5").when(inner >= 2, "w2").when(inner >= 1, "w1")
+    return words.when(size >= 8, "c8").when(size >= 3, "c3").otherwise("c1")
 
 
-def _anchor(needle: Column, level: Column) -> Column:
-    inner = lambda n: F.xxhash64(*[F.xxhash64(F.get(_tokens(needle), F.lit(1 + i))) for i in range(n)])
-    chars = lambda n: F.xxhash64(F.substring(F.lower(needle), 1, n))
-    out = F.when(level == "w5", inner(5)).when(level == "w2", inner(2)).when(level == "w1", inner(1))
-    return out.when(level == "c3", chars(3)).otherwise(chars(1))
+def _word_grams(hashed: Column, n: int) -> Column:
+    """Hashes of runs of ``n`` token hashes."""
+    starts = F.sequence(F.lit(0), F.size(hashed) - n)
+    grams = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashed, i + j) for j in range(n)]))
+    return F.when(F.size(hashed) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _grams(text: Column, level: str) -> Column:
-    empty = F.array().cast("array<bigint>")
+def _char_grams(body: Column, n: int) -> Column:
+    starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
+    grams = F.transform(starts, lambda i: F.xxhash64(F.substr(body, i, F.lit(n))))
+    return F.when(F.length(body) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<bigint>"))
 
-    def word_grams(items: Column) -> Column:
-        # Hash each token once; a gram is the hash of its token hashes.
-        n = _WORDS[level]
-        starts = F.sequence(F.lit(0), F.size(items) - n)
-        grams = F.transform(starts, lambda i: F.xxhash64(*[F.get(items, i + j) for j in range(n)]))
-        return F.when(F.size(items) >= n, F.array_distinct(grams)).otherwise(empty)
-
-    def char_grams(body: Column) -> Column:
-        n = _CHARS[level]
-        starts = F.sequence(F.lit(1), F.length(body) - (n - 1))
-        grams = F.transform(starts, lambda i: F.xxhash64(F.substr(body, i, F.lit(n))))
-        return F.when(F.length(body) >= n, F.array_distinct(grams)).otherwise(empty)
 
+def _grams(text: Column, level: str) -> Column:
     hashed = F.transform(_tokens(text), lambda w: F.xxhash64(w))
-    return tx.let(hashed, word_grams) if level in _WORDS else tx.let(F.lower(text), char_grams)
+    if level in _WORDS:
+        return tx.let(hashed, lambda items: _word_grams(items, _WORDS[level]))
+    return tx.let(F.lower(text), lambda body: _char_grams(body, _CHARS[level]))
+
+
+def _needle_grams(needle: Column, level: Column) -> Column:
+    """All grams of a needle at its level; of its tokens only those strictly inside."""
+    hashed = F.transform(_tokens(needle), lambda w: F.xxhash64(w))
+    inner = F.slice(hashed, F.lit(2), F.greatest(F.size(hashed) - 2, F.lit(0)))
+    out = F.when(level == "w5", _word_grams(inner, 5)).when(level == "w2", _word_grams(inner, 2)).when(level == "w1", _word_grams(inner, 1))
+    body = F.lower(needle)
+    return out.when(level == "c8", _char_grams(body, 8)).when(level == "c3", _char_grams(body, 3)).otherwise(_char_grams(body, 1))
 
 
 def containment_join(
@@ -186,31 +188,45 @@ def containment_join(
 ) -> DataFrame:
     """Exact pairs ``(*keys, text_id, needle_id)`` where the needle occurs in the text, ignoring case.
 
-    Only ids and hashes are exploded and shuffled; texts are joined back for the candidates.
-    The needle lengths decide which gram sizes the texts have to produce (at most five).
+    Two passes over the texts: how many have each gram of a needle, partially aggregated, and which
+    have the rarest gram of each needle.  Only ids and hashes are exploded and shuffled; texts are joined
+    back for the candidates.  Texts produce the gram sizes that some needle has; which, a scalar subquery says.
     """
     keys = list(keys)
-    wanted = needles.select(*keys, needle_id, tx.strip(needle).alias("_needle")).filter("_needle <> ''")
-    wanted = wanted.withColumn("_level", _anchor_level(F.col("_needle")))
-    wanted = wanted.withColumn("_h", _anchor(F.col("_needle"), F.col("_level")))
-    levels = [r[0] for r in wanted.select("_level").distinct().collect()]  # at most five values
-    if not levels:
-        levels = ["w5"]
-    grams = F.concat(*[_leveled(text, level) for level in levels])
-    exploded = texts.select(*keys, text_id, F.explode(grams).alias("_g")).select(
-        *keys, text_id, F.col("_g.level").alias("_level"), F.col("_g.h").alias("_h")
-    )
-    candidates = exploded.join(wanted, [*keys, "_level", "_h"]).select(*keys, text_id, needle_id, "_needle")
     bodies = texts.select(*keys, text_id, text)
     return (
-        candidates.join(bodies, [*keys, text_id])
+        anchored(texts, needles, text_id, text, needle_id, needle, keys)
+        .join(bodies, [*keys, text_id])
         .filter(F.contains(F.lower(text), F.lower("_needle")))
         .select(*keys, text_id, needle_id)
     )
 
 
-def _leveled(text: str, level: str) -> Column:
-    return F.transform(_grams(F.col(text), level), lambda h: F.struct(F.lit(level).alias("level"), h.alias("h")))
+def anchored(
+    texts: DataFrame, needles: DataFrame, text_id: str, text: str, needle_id: str, needle: str, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Candidates ``(*keys, text_id, needle_id, _needle)``: texts that have the rarest gram of a needle."""
+    keys = list(keys)
+    wanted = needles.select(*keys, needle_id, tx.strip(needle).alias("_needle")).filter("_needle <> ''")
+    wanted = wanted.withColumn("_level", _anchor_level(F.col("_needle")))
+    levels = wanted.agg(F.collect_set("_level")).scalar()
+    grams = F.concat(*[_leveled(text, level, levels) for level in [*_WORDS, *_CHARS]])
+    exploded = texts.select(*keys, text_id, F.explode(grams).alias("_g")).select(
+        *keys, text_id, F.col("_g.level").alias("_level"), F.col("_g.h").alias("_h")
+    )
+    key = [*keys, "_level", "_h"]
+    held = wanted.select(*keys, needle_id, "_needle", "_level", F.explode(_needle_grams(F.col("_needle"), F.col("_level"))).alias("_h"))
+    counts = exploded.join(held.select(*key).distinct(), key, "left_semi").groupBy(*key).agg(F.count("*").alias("_n"))
+    # A gram that no text has counts 0 and is the rarest; it then finds no text.
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_h").alias("h"))).alias("_least")
+    anchors = held.join(counts, key, "left").groupBy(*keys, needle_id, "_needle", "_level").agg(rarest)
+    anchors = anchors.filter("_least.n > 0").select(*keys, needle_id, "_needle", "_level", F.col("_least.h").alias("_h"))
+    return exploded.join(anchors, key).select(*keys, text_id, needle_id, "_needle")
+
+
+def _leveled(text: str, level: str, levels: Column) -> Column:
+    found = F.transform(_grams(F.col(text), level), lambda h: F.struct(F.lit(level).alias("level"), h.alias("h")))
+    return F.when(F.array_contains(levels, level), found).otherwise(F.array().cast("array<struct<level:string,h:bigint>>"))
 
 
 def hidden_identifiers(leaves: DataFrame, exposed: DataFrame) -> DataFrame:

@@ -17,6 +17,10 @@ from tracemill.operators.running import BLOCK_ROWS, block_of, first_per_key, wit
 from tracemill.operators.state import _nodes, is_soft_path, path_parts
 
 
+#: Block results that one row composes.
+FAN = 1024
+
+
 def _strings() -> Column:
     return F.array().cast("array<string>")
 
@@ -215,12 +219,36 @@ def greedy_assign(nodes: DataFrame, candidates: DataFrame, width: int = BLOCK_RO
     )
 
 
+def _composed(blocks: DataFrame, width: int) -> DataFrame:
+    """One function per run from those of its blocks ``(run_id, _b, _step)``.
+
+    A block's function takes a pointer to the pointer after it and its hits.  Composition is associative, so
+    ``FAN`` neighbouring block numbers meet in one row, then as many of those, until all of a run are one; no row holds more.
+    """
+    bits = FAN.bit_length() - 1
+    levels = max(1, -(-(64 - (width.bit_length() - 1)) // bits))
+
+    def follow(acc: Column, block: Column) -> Column:
+        def on(a: Column) -> Column:
+            after = F.get(block["_step"], a["p"])
+            return F.struct(after["p"].alias("p"), F.concat(a["hits"], after["hits"]).alias("hits"))
+
+        return F.transform(acc, on)
+
+    for level in range(levels):
+        above = F.shiftright("_b", bits) if level < levels - 1 else F.lit(0).cast("bigint")
+        parts = blocks.groupBy("run_id", above.alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_b", "_step"))).alias("_parts"))
+        rest = F.slice("_parts", F.lit(2), F.size("_parts"))
+        blocks = parts.select("run_id", "_b", F.aggregate(rest, F.col("_parts")[0]["_step"], follow).alias("_step"))
+    return blocks.select("run_id", "_step")
+
+
 def ordered_name_match(nodes: DataFrame, calls: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
     """Match gold tool names in order, each to the first later call of that name.
 
     A name with no later call is skipped.  Knowing each name's last position makes this a
     left-to-right scan with one pointer, so a run is cut into blocks, every block is folded
-    for each possible pointer, and the block results are chained per run.
+    for each possible pointer, and the block results are composed in a tree.
     """
     calls = calls.select("run_id", "pos", "tool")
     tools = nodes.select("run_id", "tool").distinct()
@@ -263,15 +291,10 @@ def ordered_name_match(nodes: DataFrame, calls: DataFrame, width: int = BLOCK_RO
             F.transform(F.sequence(F.lit(0), size), lambda s: F.aggregate("_calls", state(s, none), scan)).alias("_step"),
         )
     )
-    chains = blocks.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("_b", "_step"))).alias("_chain"))
-
-    def follow(acc: Column, block: Column) -> Column:
-        step = F.get(block["_step"], acc["p"])
-        return state(step["p"], F.concat(acc["hits"], step["hits"]))
-
-    start = state(next_open(F.lit(0), F.lit(-1).cast("bigint")), none)
-    done = gold.join(chains, "run_id", "left").withColumn(
-        "_hits", F.when(F.col("_chain").isNull(), none).otherwise(F.aggregate("_chain", start, follow)["hits"])
+    whole = _composed(blocks, width).withColumnRenamed("_step", "_whole")
+    start = next_open(F.lit(0), F.lit(-1).cast("bigint"))
+    done = gold.join(whole, "run_id", "left").withColumn(
+        "_hits", F.when(F.col("_whole").isNull(), none).otherwise(F.get("_whole", start)["hits"])
     )
     return done.select("run_id", F.posexplode("_gold").alias("_i", "_n"), "_hits").select(
         "run_id",
