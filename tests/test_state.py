@@ -210,3 +210,27 @@ def test_fold_updates_of_overlapping_paths(spark):
         "c.d": ("number", "5.0", 0), "c.e": ("list", None, 2), "t": ("text", "some text", 0), "u.v": ("number", "9.0", 0),
         "k": ("number", "2.0", 0), "m.o": ("number", "4.0", 0), "m.p": ("number", "6.0", 0),
     }
+
+
+def test_step_diffs_match_the_definition(spark):
+    """Random states at uneven steps, some equal to the one before, one of them broken: topmost differing keys."""
+    rnd = random.Random(12)
+    rows, want = [], set()
+    for run in range(40):
+        last = None
+        for step in sorted(rnd.sample(range(100), rnd.randint(1, 8))):
+            doc = last if last is not None and rnd.random() < 0.4 else {k: random_state(rnd) for k in rnd.sample("pqrs", rnd.randint(0, 4))}
+            rows.append((run, step, json.dumps(doc, sort_keys=rnd.random() < 0.5)))
+            if last is not None:
+                want |= {(run, step, path, op) for path, op in reference_diff(last, doc).items()}
+            last = doc
+    rows += [(99, 1, '{"a":1}'), (99, 5, "broken"), (99, 9, '{"b":{"c":2}}')]
+    want |= {(99, 5, ("a",), "removed"), (99, 9, ("b",), "added")}
+    df = spark.createDataFrame(rows, "run long, step long, doc string")
+    got = state.step_diffs(df, "run", "step", "doc")
+    assert {(r.run, r.step, tuple(r.path), r.op) for r in got.collect()} == want and len(want) > 200
+
+
+def test_equal_states_are_not_opened(spark):
+    same = spark.range(50).selectExpr("id % 5 AS run", "id AS step", """'{"a":{"b":1},"c":2}' AS doc""")
+    assert state.step_diffs(same, "run", "step", "doc").count() == 0

@@ -291,6 +291,41 @@ def snapshot_diffs(snapshots: DataFrame, run: str, step: str) -> DataFrame:
     return arrived.unionByName(removed)
 
 
+def _differing_parts(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, _top)``: top-level keys whose subtrees are not equal, by digests of their leaves."""
+    leaf = F.xxhash64("path", "kind", "value")
+    again = F.xxhash64("value", "kind", "path", F.lit(1))
+
+    def digests(leaves: DataFrame, name: str) -> DataFrame:
+        sums = F.struct(F.count(F.lit(1)), F.bit_xor(leaf), F.bit_xor(again))
+        return leaves.groupBy(*keys, F.col("path")[0].alias("_top")).agg(sums.alias(name))
+
+    both = digests(before, "_b").join(digests(after, "_a"), [*keys, "_top"], "full")
+    return both.filter(~F.col("_b").eqNullSafe(F.col("_a"))).select(*keys, "_top")
+
+
+def step_diffs(snapshots: DataFrame, run: str, step: str, json_col: str) -> DataFrame:
+    """Each state of a run against the one before it, lifted: the rows of :func:`state_diff` per ``(run, step)``.
+
+    ``snapshots(run, step, json)`` holds one JSON state per step; steps are any increasing numbers.  Digests decide
+    what is opened: states equal to the one before are not flattened, and of the others only top-level
+    subtrees whose digests differ are compared.  A state that is no JSON object counts as an empty one; the first
+    of a run has no row.
+    """
+    keys = [run, step]
+    seen = with_previous(snapshots.select(run, step, F.coalesce(fingerprint(json_col), F.lit("")).alias("_d")), [run], step, ["_d"])
+    moved = seen.filter(F.col("prev._d") != F.col("_d")).select(run, step, F.col(f"prev.{step}").alias("_prev"))
+    now = snapshots.join(moved.select(*keys), keys)
+    last = snapshots.withColumnRenamed(step, "_prev").join(moved, [run, "_prev"]).select(run, step, json_col)
+    before, after = flatten_state(last, keys, json_col), flatten_state(now, keys, json_col)
+    parts = _differing_parts(before, after, keys)
+
+    def pruned(leaves: DataFrame) -> DataFrame:
+        return leaves.withColumn("_top", F.col("path")[0]).join(parts, [*keys, "_top"], "left_semi").drop("_top")
+
+    return state_diff(pruned(before), pruned(after), keys)
+
+
 def update_diffs(updates: DataFrame, run: str, step: str, path: str, value: str) -> DataFrame:
     """Diff each single-path update makes: added, changed, or no row when nothing changed."""
     seen = with_previous(updates, [run, path], step, [value])

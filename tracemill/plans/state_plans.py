@@ -81,6 +81,32 @@ def _(t: Tables) -> DataFrame:
     return state.snapshot_diffs(snaps, "conv_id", "turn")
 
 
+@plan(
+    "s3_lifted_step_diffs",
+    """WITH c AS (SELECT conv_id, turn, role, left(text, 12) AS head, length(text) // 40 AS size, turn % 3 AS kind FROM conversations WHERE turn % 5 <> 3),
+    p AS (SELECT *, lag(turn) OVER w AS p_turn, lag(role) OVER w AS p_role, lag(head) OVER w AS p_head, lag(size) OVER w AS p_size, lag(kind) OVER w AS p_kind
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    x AS (SELECT * FROM p WHERE p_turn IS NOT NULL),
+    d AS (SELECT conv_id, turn, 'who.' || role AS path, 'added' AS op, NULL AS old_value, NULL AS new_value, 2 AS leaf_count FROM x WHERE role <> p_role
+      UNION ALL SELECT conv_id, turn, 'who.' || p_role, 'removed', NULL, NULL, 2 FROM x WHERE role <> p_role
+      UNION ALL SELECT conv_id, turn, 'who.' || role || '.head', 'changed', p_head, head, 1 FROM x WHERE role = p_role AND head <> p_head
+      UNION ALL SELECT conv_id, turn, 'who.' || role || '.size', 'changed', CAST(CAST(p_size AS DOUBLE) AS VARCHAR), CAST(CAST(size AS DOUBLE) AS VARCHAR), 1
+        FROM x WHERE role = p_role AND size <> p_size
+      UNION ALL SELECT conv_id, turn, 'extra.at', 'changed', CAST(CAST(p_turn AS DOUBLE) AS VARCHAR), CAST(CAST(turn AS DOUBLE) AS VARCHAR), 1 FROM x WHERE kind = 0 AND p_kind = 0
+      UNION ALL SELECT conv_id, turn, 'extra', CASE WHEN p_kind = 2 THEN 'added' WHEN kind = 2 THEN 'removed' ELSE 'changed' END,
+        CASE WHEN p_kind = 1 THEN 'x' END, CASE WHEN kind = 1 THEN 'x' END, CASE WHEN kind = 2 OR p_kind = 2 THEN 1 ELSE 2 END FROM x WHERE kind <> p_kind)
+    SELECT * FROM d""",
+)
+def _(t: Tables) -> DataFrame:
+    """States that hold the speaker, a part that never changes, and a part that is an object, a value or missing."""
+    turns = t.conversations.filter("turn % 5 <> 3")
+    speaker = F.create_map("role", F.struct(F.substring("text", 1, 12).alias("head"), F.floor(F.length("text") / 40).alias("size")))
+    base = F.concat(F.lit('{"fixed":{"a":{"b":[1,2]},"c":"same"},"who":'), F.to_json(speaker))
+    extra = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(',"extra":{"at":'), F.col("turn").cast("string"), F.lit("}"))).when(F.col("turn") % 3 == 1, ',"extra":"x"').otherwise("")
+    states = turns.select("conv_id", "turn", F.concat(base, extra, F.lit("}")).alias("state"))
+    return state.step_diffs(states, "conv_id", "turn", "state").withColumn("path", F.array_join("path", "."))
+
+
 @plan(
     "s4_is_write",
     """WITH e AS (SELECT user_id AS run_id, event_id AS pos, event_type AS tool, CAST(json_extract(props, '$.k') AS INT) AS arg_k FROM events)
