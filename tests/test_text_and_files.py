@@ -160,3 +160,53 @@ def test_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).filter("variant = 'stable'").count() == 1
     sinks.write_report(df, str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).filter(F.col("dimension") == "b").first().n == 2
+
+
+def test_packaged_samples_feed_the_matchers(spark, tmp_path):
+    """Written in one job, a folder per part; graph, diff and assertions are derived where a blueprint has none."""
+    from tracemill.operators import matching as m
+    from tracemill.operators import packaging as pk
+    from tracemill.sources.files import read_packaged
+    from tracemill.sources.sinks import write_packaged
+
+    samples = spark.createDataFrame([("s1", "t1", "stable"), ("u1", "t1", "unstable"), ("s2", "t2", "stable"), ("s3", "t3", "stable")], "sample_id string, base_task_id string, variant string")
+    steps = [("look", False), ("write", True), ("look", False)]
+    trace = spark.createDataFrame(
+        [(s, i + 1, tool, '{"i":%d}' % i, has) for s in ("s1", "u1", "s2", "gone") for i, (tool, has) in enumerate(steps)],
+        "sample_id string, step_index int, tool_name string, arguments string, has_diff boolean",
+    )
+    turns = spark.createDataFrame([(s, 1, f"say {s}") for s in ("s1", "u1", "s2", "s3")], "sample_id string, turn int, text string")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    diff = "path array<string>, op string, old_value string, new_value string"
+    dialogue = {
+        "turns": turns, "stable_turns": turns.filter("sample_id = 'u1'").withColumn("text", F.lit("stable words")), "alignment": none("sample_id string, step_index int, turn int"),
+        "trace": trace, "state_diff": spark.createDataFrame([("s1", ["a", "b"], "changed", "1", "2")], f"sample_id string, {diff}"),
+    }
+    blueprint = {
+        "nodes": spark.createDataFrame([("t2", 1, "write", "write", "{}")], "task_id string, step_index int, node_kind string, tool_name string, arguments string"),
+        "edges": none("task_id string, before_step int, after_step int"),
+        "assertions": spark.createDataFrame([("t3", "x", "removed", None, None, "1", True)], "task_id string, path string, assertion_type string, old_value string, new_value string, value string, is_hard boolean"),
+        "state_diff": spark.createDataFrame([("t1", ["c"], "added", None, "9"), ("t3", ["d"], "added", None, "8")], f"task_id string, {diff}"),
+        "rules": spark.createDataFrame([("t1", "never delete")], "task_id string, rule string"),
+    }
+    parts = pk.packaged_children(samples, dialogue, blueprint)
+    assert set(parts) == set(pk.PARTS)
+    write_packaged(pk.packaged_rows(samples, parts), str(tmp_path / "out"))
+    read = lambda part, schema: read_packaged(spark, str(tmp_path / "out"), part, schema)
+    assert {tuple(r) for r in read("stable_turns", "turn int, text string").collect()} == {("s1", 1, "say s1"), ("u1", 1, "stable words"), ("s2", 1, "say s2"), ("s3", 1, "say s3")}
+    assert {(r.sample_id, tuple(r.path)) for r in read("state_diff", diff).collect()} == {("s1", ("a", "b")), ("u1", ("c",)), ("s3", ("d",))}
+    kept = read("assertions", "path string, assertion_type string, old_value string, new_value string, value string, is_hard boolean")
+    assert {(r.sample_id, r.path, r.assertion_type) for r in kept.collect()} == {("s1", "a.b", "changed"), ("u1", "c", "added"), ("s3", "x", "removed")}
+    nodes = read("nodes", "step_index int, node_kind string, tool_name string, arguments string")
+    assert {r.sample_id: r["count"] for r in nodes.groupBy("sample_id").count().collect()} == {"s1": 3, "u1": 3, "s2": 1}
+    # A run that does what the packaged trace says meets every node and every edge.
+    gold = nodes.select(F.col("sample_id").alias("run_id"), F.col("step_index").alias("node"), "step_index", F.col("node_kind").alias("role"), F.col("tool_name").alias("tool"), "arguments")
+    calls = read("trace", "step_index int, tool_name string, arguments string, has_diff boolean").filter("sample_id <> 's2'")
+    calls = calls.select(F.col("sample_id").alias("run_id"), F.col("step_index").cast("long").alias("pos"), F.col("tool_name").alias("tool"), "arguments")
+    given = m.greedy_assign(gold.filter("run_id <> 's2'"), m.candidate_matches(gold.filter("run_id <> 's2'"), calls))
+    assert {(r.run_id, r.step_index): r.position for r in given.collect()} == {(s, i): i for s in ("s1", "u1") for i in (1, 2, 3)}
+    edges = read("edges", "before_step int, after_step int").withColumnRenamed("sample_id", "run_id")
+    assert {tuple(r) for r in edges.collect()} == {(s, i, i + 1) for s in ("s1", "u1") for i in (1, 2)}
+    assert all(r.satisfied for r in m.check_precedence(edges, given).collect())
+    assert {tuple(r) for r in read("rules", "rule string").collect()} == {("s1", "never delete"), ("u1", "never delete")}
+    assert pk.packaged_children(samples.limit(0), dialogue, blueprint)["assertions"].count() == 0

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
-from tracemill.operators.blueprints import min_action_turns
+from tracemill.operators.blueprints import gold_nodes, min_action_turns, precedence_edges
 from tracemill.operators.running import first_per_key
+from tracemill.operators.state import diff_to_assertions
 
 
 def index_blueprints(df: DataFrame, order: str) -> DataFrame:
@@ -303,6 +304,61 @@ def qc_rollup(checked: DataFrame, pairs: DataFrame, envs: DataFrame, gate: DataF
 
 __all__ = [
     "behavior_facts", "coverage_floor", "env_summary", "first_stable", "global_gate", "imbalance_ratio", "index_blueprints",
-    "label_distributions", "min_action_turns", "orphan_tasks", "package", "package_order", "pair_summary",
+    "label_distributions", "min_action_turns", "orphan_tasks", "package", "package_order", "packaged_children", "packaged_rows", "pair_summary",
     "primary_distribution", "qc_rollup", "validate_sample",
 ]
+
+
+#: Child tables of a packaged sample.
+PARTS = ("turns", "stable_turns", "alignment", "trace", "nodes", "edges", "state_diff", "assertions", "rules")
+
+
+def _own_or(samples: DataFrame, own: DataFrame, other: DataFrame, have: DataFrame | None = None) -> DataFrame:
+    """Rows ``own`` per sample; samples without any (or not among ``have``) take those of ``other``."""
+    missing = samples.select("sample_id").join((own if have is None else have).select("sample_id").distinct(), "sample_id", "left_anti")
+    return own.unionByName(other.join(missing, "sample_id", "left_semi"))
+
+
+def packaged_children(
+    samples: DataFrame, dialogue: Mapping[str, DataFrame], blueprint: Mapping[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Content of packaged samples: one table per name in ``PARTS``, each with a ``sample_id``.
+
+    ``dialogue`` tables carry the ``sample_id`` of :func:`package`: ``turns``, ``stable_turns``, ``alignment``,
+    ``trace(step_index, tool_name, arguments, has_diff)`` and ``state_diff(path, op, old_value, new_value)``.
+    ``blueprint`` tables carry a ``task_id``: ``nodes(step_index, node_kind, tool_name, arguments)``,
+    ``edges(before_step, after_step)``, ``assertions(path, assertion_type, old_value, new_value, value, is_hard)``, ``state_diff`` and
+    ``rules``.
+
+    Per sample: stable turns are the turns where there are none; a dialogue's state diff goes before the
+    blueprint's; the graph is the blueprint's, or read off the trace; assertions are the blueprint's, or one per
+    row of the state diff.  Children stay rows; nothing of a sample is gathered.
+    """
+    tasks = samples.select("sample_id", F.col("base_task_id").alias("task_id"))
+    known = samples.select("sample_id")
+    told = {name: dialogue[name].join(known, "sample_id", "left_semi") for name in ("turns", "stable_turns", "alignment", "trace", "state_diff")}
+    given = {name: tasks.join(blueprint[name], "task_id").drop("task_id") for name in ("nodes", "edges", "assertions", "state_diff", "rules")}
+    graph = given["nodes"].select("sample_id").unionByName(given["edges"].select("sample_id"))
+    read = gold_nodes(told["trace"]).select("sample_id", "step_index", "node_kind", "tool_name", "arguments")
+    diff = _own_or(samples, told["state_diff"], given["state_diff"])
+    return {
+        "turns": told["turns"],
+        "stable_turns": _own_or(samples, told["stable_turns"], told["turns"]),
+        "alignment": told["alignment"],
+        "trace": told["trace"],
+        "nodes": _own_or(samples, given["nodes"], read, graph),
+        "edges": _own_or(samples, given["edges"], precedence_edges(told["trace"], "sample_id", "step_index"), graph),
+        "state_diff": diff,
+        "assertions": _own_or(samples, given["assertions"], diff_to_assertions(diff)),
+        "rules": given["rules"],
+    }
+
+
+def packaged_rows(samples: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:
+    """Samples and children as one table ``(part, sample_id, content)``, the content as JSON: one job writes it all."""
+    out = None
+    for part, rows in {"samples": samples, **children}.items():
+        content = F.to_json(F.struct(*[c for c in rows.columns if c != "sample_id"]))
+        shaped = rows.select(F.lit(part).alias("part"), "sample_id", content.alias("content"))
+        out = shaped if out is None else out.unionByName(shaped)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions import fixed_values as fixed
 from tracemill.operators import packaging as pk
-from tracemill.plans.blueprint_plans import TASKS
+from tracemill.plans.blueprint_plans import TASKS, TRACE
 from tracemill.plans.registry import plan
 from tracemill.sources import tasks as src
 from tracemill.sources.tables import Tables
@@ -80,6 +80,7 @@ def dialogues(t: Tables) -> DataFrame:
         F.col("l_quantity").cast("int").alias("total_action_turns"), F.when(F.col("l_discount") < 0.08, 45).alias("max_allowed_action_turns"),
         F.lit(1).alias("user_turn_count"), (F.col("l_linenumber") - 1).alias("stable_turn_count"), F.lit(1).alias("alignment_count"),
         (tax <= 0.07).alias("has_rewrite_metadata"), "l_linenumber", "l_extendedprice",
+        F.col("l_orderkey").alias("l_orderkey_"), F.col("l_linestatus").alias("l_linestatus_"),
     )
 
 
@@ -126,6 +127,63 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def children(t: Tables) -> dict[str, DataFrame]:
+    """Packaged content: traces up to the line of each dialogue, a graph and assertions of their own for some tasks."""
+    rows = dialogues(t).select("sample_id", F.col("l_orderkey_").alias("task_id"), "l_linenumber", "l_linestatus_")
+    steps = src.trace(t).select("task_id", "step_index", "tool_name", F.lit("{}").alias("arguments"), "has_diff")
+    told = rows.join(steps, "task_id").filter("step_index <= l_linenumber").select("sample_id", "step_index", "tool_name", "arguments", "has_diff")
+    text = F.lit(None).cast("string")
+    diff = lambda rows, key, path, old, new: rows.select(key, path.alias("path"), F.lit("changed").alias("op"), F.lit(old).alias("old_value"), F.lit(new).alias("new_value"))
+    line = F.array(F.lit("lines"), F.col("l_linenumber").cast("string"))
+    tasks = blueprints(t).select("task_id", "env_id")
+    own = src.trace(t).withColumn("task_id", F.col("task_id").cast("string")).join(tasks.filter("env_id = '1-URGENT'"), "task_id")
+    turn = rows.select("sample_id", F.lit(1).alias("turn"), F.lit("request").alias("text"))
+    return pk.packaged_children(
+        samples(t),
+        {
+            "turns": turn, "stable_turns": turn.filter("false"), "alignment": told.select("sample_id", "step_index", F.lit(1).alias("turn")), "trace": told,
+            "state_diff": diff(rows.filter("l_linestatus_ = 'F'"), "sample_id", line, "O", "F"),
+        },
+        {
+            "nodes": own.select("task_id", "step_index", F.when(F.col("has_diff"), "write").otherwise("read").alias("node_kind"), F.concat(F.lit("gold_"), "tool_name").alias("tool_name"), F.lit("{}").alias("arguments")),
+            "edges": own.select("task_id", F.col("step_index").alias("before_step"), F.col("step_index").alias("after_step")).filter("false"),
+            "assertions": tasks.filter("env_id = '2-HIGH'").select(
+                "task_id", F.concat(F.lit("orders."), "task_id").alias("path"), F.lit("removed").alias("assertion_type"), text.alias("old_value"), text.alias("new_value"), text.alias("value"), F.lit(True).alias("is_hard"),
+            ),
+            "state_diff": diff(tasks, "task_id", F.array(F.lit("orders"), F.col("task_id"), F.lit("status")), "P", "done"),
+            "rules": tasks.select("task_id", F.lit("never delete orders").alias("rule")),
+        },
+    )
+
+
+LINES = f"""WITH {SAMPLES}, {TRACE}, s AS (SELECT *, CAST(split_part(sample_id, '_', 2) AS INT) AS line FROM samples),
+    g AS (SELECT s.sample_id, s.env_id, r.step_index, r.has_diff, r.tool_name, r.step_index <= line AS told FROM s JOIN trace r ON r.task_id = s.task_id)"""
+
+
+@plan(
+    "q2_packaged_graph",
+    f"""{LINES} SELECT sample_id, step_index AS a, CASE WHEN has_diff THEN 'write' ELSE 'read' END AS kind, CASE WHEN env_id = '1-URGENT' THEN 'gold_' ELSE '' END || tool_name AS tool
+      FROM g WHERE env_id = '1-URGENT' OR told
+    UNION ALL SELECT sample_id, step_index, 'edge', CAST(step_index - 1 AS VARCHAR) FROM g WHERE env_id <> '1-URGENT' AND told AND step_index > 1""",
+)
+def _(t: Tables) -> DataFrame:
+    parts = children(t)
+    nodes = parts["nodes"].select("sample_id", F.col("step_index").alias("a"), F.col("node_kind").alias("kind"), F.col("tool_name").alias("tool"))
+    edges = parts["edges"].select("sample_id", F.col("after_step").alias("a"), F.lit("edge").alias("kind"), F.col("before_step").cast("string").alias("tool"))
+    return nodes.unionByName(edges)
+
+
+@plan(
+    "q2_packaged_assertions",
+    f"""{LINES}, f AS (SELECT l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS sample_id FROM lineitem WHERE l_linestatus = 'F')
+    SELECT s.sample_id, CASE WHEN env_id = '2-HIGH' THEN 'orders.' || task_id WHEN f.sample_id IS NOT NULL THEN 'lines.' || line ELSE 'orders.' || task_id || '.status' END AS path,
+      CASE WHEN env_id = '2-HIGH' THEN 'removed' ELSE 'changed' END AS assertion_type, CASE WHEN env_id = '2-HIGH' THEN NULL WHEN f.sample_id IS NOT NULL THEN 'O' ELSE 'P' END AS old_value,
+      CASE WHEN env_id = '2-HIGH' THEN NULL WHEN f.sample_id IS NOT NULL THEN 'F' ELSE 'done' END AS new_value FROM s LEFT JOIN f USING (sample_id)""",
+)
+def _(t: Tables) -> DataFrame:
+    return children(t)["assertions"].select("sample_id", "path", "assertion_type", "old_value", "new_value")
+
+
 @plan(
     "q3_orphan_dialogues",
     f"WITH {TASKS} SELECT DISTINCT l_orderkey::VARCHAR AS task_id FROM lineitem WHERE l_orderkey NOT IN (SELECT task_id FROM tasks WHERE status <> 'F')",

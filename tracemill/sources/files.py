@@ -83,3 +83,9 @@ def read_dialogues(items: DataFrame, current: str, legacy: str) -> DataFrame:
     now, old = exploded(current), exploded(legacy)
     used = now.limit(1).agg(F.count(F.lit(1))).scalar()
     return now.unionByName(old.filter(used == 0))
+
+
+def read_packaged(spark: SparkSession, path: str, part: str, schema: str) -> DataFrame:
+    """One part of packaged samples: ``sample_id`` and the columns of ``schema``.  Only the folder of the part is read."""
+    rows = spark.read.parquet(path).filter(F.col("part") == part)
+    return rows.select("sample_id", F.from_json("content", schema).alias("_c")).select("sample_id", "_c.*")

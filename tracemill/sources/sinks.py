@@ -18,3 +18,8 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def split_write(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Stable and unstable samples in one pass; reading the folder whole gives the full set."""
     samples.write.mode(mode).partitionBy("variant").parquet(path)
+
+
+def write_packaged(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Packaged samples and their child tables in one job, a folder per part; ``rows`` from ``packaging.packaged_rows``."""
+    rows.write.mode(mode).partitionBy("part").parquet(path)
