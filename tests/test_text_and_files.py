@@ -151,6 +151,13 @@ def test_read_dialogues_falls_back(spark, tmp_path):
     assert load([{"env_id": "e", "now": [], "old": [{"t": 9}]}, {"old": [{"t": 8}]}]) == [9, 8]
 
 
+def test_read_dialogues_falls_back_by_item(spark, tmp_path):
+    doc = [{"now": [{"t": 1}, 3], "old": [{"t": 9}]}, {"old": [{"t": 8}, "x"]}, {"now": [], "old": [{"t": 7}]}, {"now": "odd", "old": [{"t": 6}]}, {"now": [5], "old": [{"t": 4}]}, {}]
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    rows = files.read_dialogues(files.read_items(spark, str(tmp_path)), "now", "old", per_item=True).orderBy("source_index", "position").collect()
+    assert [json.loads(r.dialogue)["t"] for r in rows] == [1, 8, 7, 6]
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("stable", "a", 1), ("unstable", "b", 2)], "variant string, dimension string, n int")
     sinks.write_jsonl(df, str(tmp_path / "j"))

@@ -18,14 +18,44 @@ CONFLICT_CODES = ["T1", "T2", "T3", "S1", "S2", "S3", "ST1", "ST2", "ST3"]
 # --- fixed values: catalogue ---
 NO_CONSTRAINTS = "No explicit constraint rules provided."
 STANDARD_TOOLS = [
-    ("list_state_containers", [], []),
-    ("list_state_entities", ["container_name", "limit", "offset"], ["container_name"]),
-    (
-        "search_state_entities",
-        ["query", "container_name", "field_names", "exact", "limit"],
-        ["query"],
-    ),
-    ("get_state_entity", ["container_name", "entity_key"], ["container_name", "entity_key"]),
+    {
+        "name": "list_state_containers",
+        "description": "List the environment's public state containers and their sizes. Use this first when you need to discover where entities and ids are stored. Read-only utility.",
+        "parameters": {"type": "object", "properties": {}, "required": []},
+    },
+    {
+        "name": "list_state_entities",
+        "description": "List entities or key/value entries from a state container. Useful for browsing available records and recovering internal ids when specialized lookup tools are missing. Read-only utility.",
+        "parameters": {
+            "type": "object",
+            "properties": {"container_name": {"type": "string"}, "limit": {"type": "integer"}, "offset": {"type": "integer"}},
+            "required": ["container_name"],
+        },
+    },
+    {
+        "name": "search_state_entities",
+        "description": "Search environment state records by free-text query across ids and common scalar fields such as name, title, username, ticker, symbol, email, phone, and status. Use it to map natural-language entity mentions to internal records. Read-only utility.",
+        "parameters": {
+            "type": "object",
+            "properties": {
+                "query": {"type": "string"},
+                "container_name": {"type": ["string", "null"]},
+                "field_names": {"type": ["array", "null"], "items": {"type": "string"}},
+                "exact": {"type": "boolean"},
+                "limit": {"type": "integer"},
+            },
+            "required": ["query"],
+        },
+    },
+    {
+        "name": "get_state_entity",
+        "description": "Fetch a specific entity or entry from a state container by its key or id-like handle. Useful after listing or searching records. Read-only utility.",
+        "parameters": {
+            "type": "object",
+            "properties": {"container_name": {"type": "string"}, "entity_key": {"type": "string"}},
+            "required": ["container_name", "entity_key"],
+        },
+    },
 ]
 ENTITY_ID_FIELDS = ["id", "name", "title", "username", "ticker", "symbol", "email", "phone"]
 

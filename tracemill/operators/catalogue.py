@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -98,20 +99,24 @@ def normalize_tools(raw: DataFrame, env: str, order: str, tool_json: str) -> Dat
 
 
 def append_standard_tools(tools: DataFrame, env: str, order: str) -> DataFrame:
-    """Add the four browse tools to every environment unless it has one of that name."""
+    """Add the four browse tools to every environment unless it has one of that name.
+
+    They come with their descriptions and, where ``tools`` has a column ``parameters``, with their schemas as JSON.
+    """
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     listed = F.array(
         *[
             F.struct(
-                F.lit(i).alias("i"), F.lit(n).alias("name"),
-                F.array(*[F.lit(p) for p in ps]).cast("array<string>").alias("properties"),
-                F.array(*[F.lit(r) for r in rs]).cast("array<string>").alias("required"),
+                F.lit(i).alias("i"), F.lit(tool["name"]).alias("name"), F.lit(tool["description"]).alias("description"),
+                texts(tool["parameters"]["properties"]).alias("properties"), texts(tool["parameters"]["required"]).alias("required"),
+                F.lit(json.dumps(tool["parameters"])).alias("parameters"),
             )
-            for i, (n, ps, rs) in enumerate(fixed.STANDARD_TOOLS)
+            for i, tool in enumerate(fixed.STANDARD_TOOLS)
         ]
     )
-    standard = tools.select(env).distinct().select(env, F.explode(listed).alias("_t")).select(
-        env, (F.lit(1 << 62) + F.col("_t.i")).alias(order), "_t.name", F.lit("").alias("description"), "_t.properties", "_t.required"
-    )
+    kept = ["name", "description", "properties", "required", *(["parameters"] if "parameters" in tools.columns else [])]
+    standard = tools.select(env).distinct().select(env, F.explode(listed).alias("_t"))
+    standard = standard.select(env, (F.lit(1 << 62) + F.col("_t.i")).alias(order), *[f"_t.{c}" for c in kept])
     return tools.unionByName(standard.join(tools.select(env, "name"), [env, "name"], "left_anti"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +136,8 @@ def _(t: Tables) -> DataFrame:
     return out.select("o_orderkey", "tool", F.array_join("required", ",").alias("required"), pairs("defaults").alias("defaults"), pairs("types").alias("types"))
 
 
-STANDARD = ", ".join(f"('{n}', {len(p)})" for n, p, _ in fixed.STANDARD_TOOLS)
+STANDARD = ", ".join(f"('{tool['name']}', {len(tool['parameters']['properties'])})" for tool in fixed.STANDARD_TOOLS)
+STANDARD_CONTENT = ", ".join(f"({q.quote(tool['name'])}, {q.quote(tool['description'])}, {q.quote(json.dumps(tool['parameters']))})" for tool in fixed.STANDARD_TOOLS)
 
 
 @plan(
@@ -147,6 +150,20 @@ def _(t: Tables) -> DataFrame:
     return both.select("env_id", "name", F.size("properties").alias("parameter_count"))
 
 
+@plan(
+    "e5_standard_tool_content",
+    f"""WITH {TOOLS} SELECT env_id, n AS name, d AS description, json_extract_string(p, '$.required[0]') AS first_required, json_extract_string(p, '$.type') AS kind,
+    array_to_string(json_keys(p, '$.properties'), ',') AS properties FROM (SELECT DISTINCT env_id FROM tools), (VALUES {STANDARD_CONTENT}) v(n, d, p)""",
+)
+def _(t: Tables) -> DataFrame:
+    """Descriptions and schemas of the added tools."""
+    both = cat.append_standard_tools(tools(t).withColumn("parameters", F.lit("{}")), "env_id", "ord").filter(F.col("ord") >= 1 << 62)
+    return both.select(
+        "env_id", "name", "description", F.get_json_object("parameters", "$.required[0]").alias("first_required"), F.get_json_object("parameters", "$.type").alias("kind"),
+        F.array_join("properties", ",").alias("properties"),
+    )
+
+
 @plan(
     "e6_tool_summary",
     f"WITH {TOOLS} SELECT env_id, ord, 2 AS parameter_count, '- ' || name || '(brand, size*): ' || brand AS summary_line FROM tools",

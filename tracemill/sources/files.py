@@ -65,11 +65,21 @@ def read_parquet_tree(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(folder)
 
 
-def read_dialogues(items: DataFrame, current: str, legacy: str) -> DataFrame:
+def read_dialogues(items: DataFrame, current: str, legacy: str, per_item: bool = False) -> DataFrame:
     """Dialogues nested in item records under the current field name.
 
-    The legacy name is used only when no item holds a dialogue under the current one.
+    The legacy name is used only when no item holds a dialogue under the current one; with ``per_item`` by
+    each item whose current list is missing or empty.
     """
+    if per_item:
+        listed = lambda field: F.try_variant_get(F.try_parse_json("record"), f"$.{field}", "array<variant>")
+        chosen = F.when(F.size(listed(current)) > 0, listed(current)).otherwise(listed(legacy))
+        return items.filter("is_object").select(
+            "source_key",
+            "source_index",
+            F.get_json_object("record", "$.env_id").alias("env_id"),
+            F.posexplode(F.transform(chosen, lambda v: F.to_json(v))).alias("position", "dialogue"),
+        ).filter(F.startswith("dialogue", F.lit("{")))
 
     def exploded(field: str) -> DataFrame:
         listed = F.try_variant_get(F.try_parse_json("record"), f"$.{field}", "array<variant>")
