@@ -1,5 +1,7 @@
 import itertools
 
+import numpy as np
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -126,6 +128,38 @@ def test_any_number_of_sources(spark):
     names = sorted(sizes)
     want = mx.targets({s: sizes[s][0] for s in names}, mx.cycle_weights(names))
     assert len(names) == 30_000 and all(n == m and abs(t - want[s]) <= 1e-6 * want[s] for s, (n, m, t) in sizes.items())
-    # Only patterns of several sources go to the flow.
+    # Some sources overlap, most do not.
     several = docs.select("doc_id", "text", F.when(F.col("doc_id") < 10, F.array(F.lit("x"), F.lit("h3"))).otherwise(F.array("source")).alias("source"))
     assert mx.mix(several, mx.cycle_weights).filter("copies > 0 AND id < 10").count() > 0
+
+
+def test_many_groups_of_overlapping_patterns(spark):
+    """Groups are found by their shared sources and solved apart, in tasks; no number of patterns is refused."""
+    rng = np.random.default_rng(8)
+    patterns, quotas = {}, {}
+    for g in range(200):
+        names = [f"g{g}s{i}" for i in range(8)]
+        quotas |= {n: float(rng.integers(0, 400)) for n in names}
+        for _ in range(30):
+            patterns[tuple(sorted(rng.choice(names, rng.integers(1, 4), replace=False).tolist()))] = int(rng.integers(0, 60))
+    rows = spark.createDataFrame([(list(p), w) for p, w in patterns.items()] + [([], 5)], "sources array<string>, words long")
+    quota = spark.createDataFrame([(n, 1, q) for n, q in quotas.items()], "name string, source_size long, target double")
+    got = {tuple(r["sources"]): r["amount"] for r in mx.flown(rows, quota, True).collect()}
+    assert got.pop(()) == 0 and set(got) == set(patterns)
+    want = mx.flow(patterns, quotas)
+    assert all(abs(got[p] - want[p]) < 1e-6 for p in patterns)
+    assert len(patterns) > 4000
+
+
+def test_a_source_of_its_own_gives_what_the_flow_says(spark):
+    rows = spark.createDataFrame([(["a"], 10), ([None], 7), (["c"], 0), (["d"], 5)], "sources array<string>, words long")
+    quota = spark.createDataFrame([("a", 10, 4.5), (None, 7, 30.0), ("c", 0, 0.0), ("d", 5, 12.25)], "name string, source_size long, target double")
+    got = {r["sources"][0]: (r["amount"], r["source_size"], r["target"]) for r in mx.flown(rows, quota, False).collect()}
+    assert got == {"a": (4.5, 10, 4.5), None: (21.0, 7, 30.0), "c": (0.0, 0, 0.0), "d": (12.25, 5, 12.25)}
+
+
+def test_columns_named_like_inner_ones(spark):
+    docs = spark.createDataFrame([(i, "a b c", "s", "x", i) for i in range(4)], "doc_id long, text string, source string, _copies string, _times long")
+    docs = docs.withColumns({c: F.lit("clash") for c in ("copies", "time", "c0", "c4", "id")})
+    rows = mx.mix_documents(docs, mx.cycle_weights)
+    assert rows.columns == docs.columns and rows.count() == 4 and {r["_times"] for r in rows.collect()} == {0, 1, 2, 3}

@@ -11,14 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.llm.common import WORD, Emitter, materialize, rows_of
+from tracemill.llm.common import WORD, Emitter, components, materialize, rows_of
 
 #: Words per copy cost these amounts: each further copy of a document costs more than the one before.
 COPY_COST = (0, 1, 3)
-#: The flow is solved on one row per pattern of several sources; more of these are refused.
-MAX_PATTERNS = 20_000
-#: Of patterns that share sources, directly or through others, more than this are refused.
-MAX_OVERLAPS = 2_000
+#: Connected groups of patterns are dealt to at most so many tasks, which solve each group for itself.
+BUCKETS = 1 << 14
 #: Documents of a pattern are split into so many hash ranges when the share of one more copy is chosen.
 RANGES = 1 << 12
 SEED = 20_240_601
@@ -57,13 +55,11 @@ def flow(patterns: dict[tuple, int], quotas: dict, costs: tuple[int, ...] = COPY
         for s in p[1:]:
             root[find(s)] = find(p[0])
     groups: dict = {}
-    for p in patterns:
+    for p in filter(None, patterns):
         groups.setdefault(find(p[0]), []).append(p)
     out: dict[tuple, float] = {}
     for own in groups.values():
-        if len(own) > MAX_OVERLAPS:
-            raise ValueError(f"more than {MAX_OVERLAPS} connected membership patterns; merge rare sources first")
-        out |= _flow(own, patterns, quotas, costs)
+        out |= _flow(sorted(own, key=repr), patterns, quotas, costs)
     return out
 
 
@@ -77,6 +73,7 @@ def _flow(names: list[tuple], patterns: dict[tuple, int], quotas: dict, costs: t
     room = {s: float(quotas[s]) for s in sources}
     used = dict.fromkeys(names, 0.0)
     sent: dict[tuple, float] = {}
+    holders: dict = {s: {} for s in sources}  # patterns that a source has words of, in the order they came
     eps = 1e-9 * max([1.0, *room.values()])
 
     def layer(p):
@@ -103,7 +100,7 @@ def _flow(names: list[tuple], patterns: dict[tuple, int], quotas: dict, costs: t
                 if kind == "s" and room[key] > eps:
                     goal = node
                     break
-                ways = [("s", s) for s in key] if kind == "p" else [("p", p) for p in names if sent.get((p, key), 0.0) > eps]
+                ways = [("s", s) for s in key] if kind == "p" else [("p", p) for p in holders[key]]
                 for way in ways:
                     if way not in back:
                         back[way] = node
@@ -121,8 +118,12 @@ def _flow(names: list[tuple], patterns: dict[tuple, int], quotas: dict, costs: t
         for (kind, a), (_, b) in moves:
             if kind == "p":
                 sent[a, b] = sent.get((a, b), 0.0) + amount
+                if sent[a, b] > eps:
+                    holders[b][a] = None
             else:
                 sent[b, a] -= amount
+                if sent[b, a] <= eps:
+                    holders[a].pop(b, None)
         used[path[0][1]] += amount
         room[goal[1]] -= amount
 
@@ -246,17 +247,30 @@ def select(sizes: DataFrame, plans: DataFrame, seed: int = SEED) -> DataFrame:
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("whole", "rest", "n", "extra", "_n")
 
 
-def _overlapping(patterns: DataFrame, quota: DataFrame) -> dict[tuple, float]:
-    """``flow`` over the patterns of several sources and those that share a source with one; the others need none."""
-    several = patterns.filter("size(sources) > 1").limit(MAX_PATTERNS + 1).collect()
-    if len(several) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of several sources; merge rare sources first")
-    if not several:
-        return {}
-    names = patterns.sparkSession.createDataFrame([(s,) for s in {s for r in several for s in r["sources"]}], "_s string")
-    quotas = {r["name"]: r["target"] for r in quota.join(names, _same("name", "_s")).collect()}
-    one = patterns.filter("size(sources) = 1").join(names, F.col("sources")[0].eqNullSafe(F.col("_s"))).collect()
-    return flow({tuple(r["sources"]): r["words"] for r in [*several, *one]}, quotas)
+def flown(patterns: DataFrame, quota: DataFrame, overlapping: bool) -> DataFrame:
+    """``(sources, words, source_size, target, amount)``: the words that ``flow`` takes from each of ``patterns(sources, words)``.
+
+    Patterns that share sources, directly or through others, are one group and meet in one task; a pattern of a
+    source of its own is a group.  Size and target are those of the source, null for patterns of several or of none.
+    """
+    named = patterns.select("sources", "words", F.explode("sources").alias("_n")).join(quota, _same("_n", "name"))
+    quotas = F.collect_list(F.struct("name", F.col("target").alias("quota"))).alias("quotas")
+    single = [F.when(F.size("sources") == 1, F.max(c)).alias(c) for c in ("source_size", "target")]
+    rows = named.groupBy("sources", "words").agg(quotas, *single).withColumn("_key", F.xxhash64("sources"))
+    if overlapping:
+        links = named.select(F.xxhash64("sources").alias("a"), F.xxhash64(F.lit("source"), "name").alias("b"))
+        rows = rows.join(components(links), F.col("_key") == F.col("id")).withColumn("_key", F.col("component"))
+    rows = rows.select("sources", "words", "quotas", "source_size", "target", F.pmod(F.xxhash64("_key"), F.lit(BUCKETS)).alias("bucket"))
+
+    def solve(pdf):
+        names = [tuple(s) for s in pdf["sources"]]
+        goals = {q["name"]: q["quota"] for own in pdf["quotas"] for q in own}
+        given = flow(dict(zip(names, pdf["words"].tolist(), strict=True)), goals)
+        return pdf.assign(amount=[given[n] for n in names])[["sources", "words", "source_size", "target", "amount"]]
+
+    schema = "sources array<string>, words long, source_size long, target double, amount double"
+    solved = rows.groupBy("bucket").applyInPandas(solve, schema)
+    return solved.unionByName(patterns.filter("size(sources) = 0").withColumn("amount", F.lit(0.0)), allowMissingColumns=True)
 
 
 def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source", seed: int = SEED) -> DataFrame:
@@ -282,14 +296,7 @@ def mix(docs: DataFrame, weights, id_col: str = "doc_id", text_col: str = "text"
         words, total = patterns.filter("size(sources) > 0").agg(F.sum("words")).first()[0], quota.agg(F.sum("source_size")).first()[0]
         quota = quota.withColumn("target", F.col("target") * F.lit(words / total if total else 1.0))
     quota = materialize(quota, "quotas")
-    one = patterns.filter("size(sources) = 1").join(quota, F.col("sources")[0].eqNullSafe(F.col("name"))).drop("name")
-    # A source of its own gives its quota, as far as three copies reach.
-    plans = one.withColumn("amount", F.least("target", float(len(COPY_COST)) * F.col("words")))
-    plans = plans.unionByName(patterns.filter("size(sources) <> 1").withColumn("amount", F.lit(0.0)), allowMissingColumns=True)
-    amounts = _overlapping(patterns, quota) if many else {}
-    if amounts:
-        flown = docs.sparkSession.createDataFrame([(list(p), a) for p, a in amounts.items()], "_s array<string>, flown double")
-        plans = plans.join(flown, _same("sources", "_s"), "left").withColumn("amount", F.coalesce("flown", "amount")).drop("_s", "flown")
+    plans = materialize(flown(patterns, quota, many), "flow")
     whole = F.coalesce(F.floor(F.col("amount") / F.nullif(F.col("words"), F.lit(0))), F.lit(0)).cast("int")
     rest = F.rint(F.col("amount") - F.col("whole") * F.col("words")).cast("long")
     plans = plans.withColumn("whole", whole).withColumn("rest", rest)
@@ -310,7 +317,8 @@ def mix_documents(docs: DataFrame, weights, id_col: str = "doc_id", text_col: st
 
     A repeated id counts once per size: its rows are all taken alike.
     """
-    taken = mix(docs, weights, id_col, text_col, sources, seed).filter("id IS NOT NULL").groupBy("id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(taken.filter("_copies > 0"), docs[id_col].cast("long") == taken["id"]).select(*(docs[c] for c in docs.columns), "_copies")
-    times = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return rows.withColumn("_times", times).drop("_copies", "_times")
+    own = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]  # no name of a column can clash with these
+    taken = mix(docs, weights, id_col, text_col, sources, seed).filter("id IS NOT NULL").groupBy("id").agg(F.max("copies").alias("copies"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), *own).join(taken.filter("copies > 0"), "id")
+    rows = rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
