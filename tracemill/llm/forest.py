@@ -16,14 +16,14 @@ from tracemill.llm.common import components, materialize
 TREES, LEVELS = 8, 8
 #: Vectors (by seeded hash) of a node that its split points are fitted on, about; every node is sampled anew.
 SAMPLE = 8192
-#: A node with more vectors than this is split.
-LEAF = 512
+#: A node with more vectors than this is split, into nodes of about two thirds of it.
+LEAF = 768
 #: Share of a node's vectors, those nearest to the split point, that go to both sides.
 SPILL = 0.1
 #: A node whose projections, but for a tenth, lie within this width is one dense group and is not split.
 DENSE = 0.06
 #: Vectors per block where a leaf is compared; larger leaves are compared block by block.
-BLOCK = 512
+BLOCK = 768
 #: A part of a sample with fewer vectors than this gives no split point.
 LEAST = 16
 #: A node of a tree is ``tree * 2^56`` and the path to it: 1, then a bit per level.  All trees begin at 0.
@@ -56,8 +56,8 @@ def fit_node(sample: np.ndarray, code: int, total: int) -> np.ndarray:
     infinity a node whose part of the sample is too small: it is left for the next round.
     """
     tree, _, level = _level(code)
-    depth = int(np.ceil(np.log(max(total / LEAF, 1)) / np.log(2 / (1 + SPILL))))
-    depth = max(1, min(depth, LEVELS, int(np.log2(max(len(sample) / (2 * LEAST), 2)))))
+    depth = int(np.ceil(np.log(max(1.5 * total / LEAF, 1)) / np.log(2 / (1 + SPILL))))
+    depth = max(1, min(depth, LEVELS, int(np.log2(max(len(sample) / LEAST, 2)))))
     if level + depth > LAST:
         return np.full((2, 1), np.nan)
     projected = sample @ directions(tree, sample.shape[1])[level : level + depth].T
@@ -123,8 +123,9 @@ def place(classes: DataFrame) -> DataFrame:
         draw = F.pmod(F.xxhash64("id", "code"), F.lit(1 << 30)) < (SAMPLE / F.col("total") * (1 << 30))
         models = full.filter(draw).groupBy("width", "code").applyInArrow(_fit, "width int, code long, start long, cuts array<double>, spills array<double>")
         models = materialize(models, "models").groupBy("width", "code").agg(F.collect_list(F.struct("start", "cuts", "spills")).alias("models"))
-        # Vectors of a node follow each other where the join sorts, and nodes are few where it does not.
         sent = full.join(models, ["width", "code"]).select("id", "width", "code", "vector", "models")
+        if settled[1:]:  # many nodes: the vectors of one follow each other
+            sent = sent.repartition("width", "code", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("width", "code")
         visits = materialize(sent.mapInArrow(_send, "id long, width int, code long, dense boolean"), "visits")
     for other in settled:
         visits = visits.select("id", "code").union(other)
