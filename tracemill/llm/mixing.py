@@ -16,7 +16,7 @@ from tracemill.llm.common import WORD, Emitter, components, materialize, rows_of
 #: Words per copy cost these amounts: each further copy of a document costs more than the one before.
 COPY_COST = (0, 1, 3)
 #: Connected groups of patterns are dealt to at most so many tasks, which solve each group for itself.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 10
 #: Documents of a pattern are split into so many hash ranges when the share of one more copy is chosen.
 RANGES = 1 << 12
 SEED = 20_240_601
