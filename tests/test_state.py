@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -234,3 +235,26 @@ def test_step_diffs_match_the_definition(spark):
 def test_equal_states_are_not_opened(spark):
     same = spark.range(50).selectExpr("id % 5 AS run", "id AS step", """'{"a":{"b":1},"c":2}' AS doc""")
     assert state.step_diffs(same, "run", "step", "doc").count() == 0
+
+
+def test_diff_keeps_repeats_and_rows_without_key(spark):
+    """Objects that meet plain values or nothing, keys that repeat, and a run without a number."""
+    docs = [
+        (1, '{"a": {"b": {"c": 1, "d": 2}}, "e": {}, "f": 5}', '{"a": {"b": 7}, "e": {"x": 1}, "g": {"h": {"i": 1}}}'),
+        (2, '{"a": {"b": 1}}', '{"a": {"b": 2}}'),
+        (None, '{"a": {"b": 1}}', '{"a": {"b": 1}}'),
+    ]
+    df = spark.createDataFrame(docs, "run_id long, b string, a string")
+    before, after = state.flatten_state(df, ["run_id"], "b"), state.flatten_state(df, ["run_id"], "a")
+    twice = before.unionByName(before.filter("run_id = 2"))
+    leaves = state.diff_leaves(twice, after, ["run_id"])
+    found = sorted(((r.run_id or 0, ".".join(r.diff_path), r.op, ".".join(r.path), r.old_value, r.new_value) for r in leaves.collect()), key=repr)
+    assert found == sorted([
+        (1, "a.b", "changed", "a.b", None, "7.0"), (1, "a.b", "changed", "a.b.c", "1.0", None), (1, "a.b", "changed", "a.b.d", "2.0", None),
+        (1, "e.x", "added", "e.x", None, "1.0"), (1, "f", "removed", "f", "5.0", None), (1, "g", "added", "g.h.i", None, "1.0"),
+        (2, "a.b", "changed", "a.b", "1.0", "2.0"), (2, "a.b", "changed", "a.b", "1.0", "2.0"),
+        (0, "a", "added", "a.b", None, "1.0"), (0, "a", "removed", "a.b", "1.0", None),
+    ], key=repr)
+    # Paths go through few shuffles: two of objects above leaves, two of both sides, and those of objects that are missing.
+    plan = leaves._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert len(re.findall(r"Exchange hashpartitioning\(.*path#", plan)) <= 8

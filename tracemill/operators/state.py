@@ -165,63 +165,61 @@ def _nodes(leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _topmost(only: DataFrame, other_leaves: DataFrame, keys: Sequence[str], missing_op: str) -> DataFrame:
-    """Lift leaves found on one side to the highest key that differs from the other side."""
-    prefixes = only.select("*", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_d")).withColumn(
-        "node", F.slice("path", F.lit(1), F.col("_d"))
-    )
-    seen = prefixes.join(_nodes(other_leaves, keys), [*keys, "node"], "left")
-    split = F.when(F.col("is_object").isNull(), F.struct("_d", F.lit(missing_op).alias("op"))).when(
-        ~F.col("is_object"), F.struct("_d", F.lit("changed").alias("op"))
-    )
-    lifted = seen.groupBy(*keys, "path", "kind", "value").agg(F.min(split).alias("_s"))
-    # All prefixes are objects on the other side: an object became a plain value, unless this
-    # side is an empty object, whose missing children are reported by the other side.
-    return lifted.filter(F.col("_s").isNotNull() | (F.col("kind") != "object")).select(
-        *keys,
-        "path",
-        "kind",
-        "value",
-        F.coalesce(F.col("_s.op"), F.lit("changed")).alias("op"),
-        F.slice("path", F.lit(1), F.coalesce(F.col("_s._d"), F.size("path"))).alias("diff_path"),
-    )
+def _with_inner(leaves: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
+    """Leaves of one side and, as rows of kind ``inner``, the distinct objects above them."""
+    named = lambda rows: rows.select(*keys, "path", F.col("kind").alias(f"{side}_kind"), F.col("value").alias(f"{side}_value"))
+    above = leaves.filter(F.size("path") > 1).select(*keys, "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("_d"))
+    inner = above.select(*keys, F.slice("path", F.lit(1), F.col("_d")).alias("path")).distinct()
+    inner = inner.select("*", F.lit("inner").alias("kind"), F.lit(None).cast("string").alias("value"))
+    return named(leaves).unionByName(named(inner))
 
 
 def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every differing leaf with the highest differing key (``diff_path``) it belongs to."""
+    """Every differing leaf with the highest differing key (``diff_path``) it belongs to.
+
+    Leaves and the objects above them meet their like on the other side in one join.  Below an object that the other side
+    does not hold as one, nothing can agree; only those objects are looked up again, for the highest of them.
+    """
     keys = list(keys)
     before, after = before.filter("kind <> 'length'"), after.filter("kind <> 'length'")
-    b = before.select(*keys, "path", F.col("kind").alias("b_kind"), F.col("value").alias("b_value"))
-    a = after.select(*keys, "path", F.col("kind").alias("a_kind"), F.col("value").alias("a_value"))
     same = (F.col("b_kind") == F.col("a_kind")) & F.col("b_value").eqNullSafe(F.col("a_value"))
-    joined = b.join(a, [*keys, "path"], "full")
+    joined = _with_inner(before, keys, "b").join(_with_inner(after, keys, "a"), [*keys, "path"], "full")
     moved = joined.filter(~F.coalesce(same, F.lit(False)))
-    changed = moved.filter("b_kind IS NOT NULL AND a_kind IS NOT NULL").select(
-        *keys,
-        F.col("path").alias("diff_path"),
-        F.lit("changed").alias("op"),
-        "path",
-        F.col("b_value").alias("old_value"),
-        F.col("a_value").alias("new_value"),
-        F.col("b_kind").alias("old_kind"),
-        F.col("a_kind").alias("new_kind"),
-    )
-    none = F.lit(None).cast("string")
-    only_after = moved.filter("b_kind IS NULL").select(
-        *keys, "path", F.col("a_kind").alias("kind"), F.col("a_value").alias("value")
-    )
-    only_before = moved.filter("a_kind IS NULL").select(
-        *keys, "path", F.col("b_kind").alias("kind"), F.col("b_value").alias("value")
-    )
-    gained = _topmost(only_after, before, keys, "added").select(
-        *keys, "diff_path", "op", "path", none.alias("old_value"), F.col("value").alias("new_value"),
-        none.alias("old_kind"), F.col("kind").alias("new_kind"),
-    )
-    lost = _topmost(only_before, after, keys, "removed").select(
-        *keys, "diff_path", "op", "path", F.col("value").alias("old_value"), none.alias("new_value"),
-        F.col("kind").alias("old_kind"), none.alias("new_kind"),
-    )
-    return changed.unionByName(gained).unionByName(lost)
+    inner = F.coalesce(F.col("b_kind") == "inner", F.lit(False)), F.coalesce(F.col("a_kind") == "inner", F.lit(False))
+    changed = moved.filter("b_kind IS NOT NULL AND a_kind IS NOT NULL").filter(~inner[0] & ~inner[1]).select(
+        *keys, F.col("path").alias("diff_path"), F.lit("changed").alias("op"), "path", F.col("b_value").alias("old_value"),
+        F.col("a_value").alias("new_value"), F.col("b_kind").alias("old_kind"), F.col("a_kind").alias("new_kind"),
+    )
+    # One row per side that has something here: its own kind and value, and the kind it meets.
+    facing = lambda own, other, gained: F.when(
+        F.col(f"{own}_kind").isNotNull(),
+        F.struct(F.lit(gained).alias("gained"), F.col(f"{own}_kind").alias("kind"), F.col(f"{own}_value").alias("value"), F.col(f"{other}_kind").alias("met")),
+    )
+    sides = F.filter(F.array(facing("b", "a", False), facing("a", "b", True)), lambda x: x.isNotNull())
+    faced = moved.filter(F.col("b_kind").isNull() | F.col("a_kind").isNull() | inner[0] | inner[1]).select(*keys, "path", F.explode(sides).alias("_f"))
+    faced = faced.select(*keys, "path", "_f.*")
+    # A struct is compared as a whole, so rows without a key find their own objects too.
+    at = lambda node: F.struct(*keys, "gained", node.alias("node")).alias("_at")
+    missing = F.when(F.col("gained"), "added").otherwise("removed")
+    bad = faced.filter((F.col("kind") == "inner") & (F.col("met").isNull() | ~F.col("met").isin("inner", "object")))
+    bad = bad.select(*keys, "gained", "path", F.when(F.col("met").isNull(), missing).otherwise("changed").alias("op"))
+    tops = bad.select(at(F.col("path")).alias("_up"), F.struct(F.size("path").alias("d"), "op").alias("_s"))
+    chain = bad.select(at(F.col("path")), *keys, "gained", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("_d"))
+    chain = chain.select("_at", at(F.slice("path", F.lit(1), F.col("_d"))).alias("_up"))
+    lift = chain.join(tops, "_up").groupBy("_at").agg(F.min("_s").alias("_s"))
+    # An empty object that meets a filled one is reported by the other side; any other leaf that meets an object was changed.
+    own = faced.filter((F.col("kind") != "inner") & ~((F.col("kind") == "object") & F.col("met").eqNullSafe(F.lit("inner"))))
+    parent = F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0)))
+    placed = own.select(at(parent), F.slice("path", F.size("path"), F.lit(1)).alias("_last"), "kind", "value", F.col("met").isNull().alias("alone")).join(lift, "_at", "left")
+    placed = placed.groupBy("_at", "_last", "kind", "value", "alone").agg(F.min("_s").alias("_s"))
+    placed = placed.select("_at.*", F.concat("_at.node", "_last").alias("path"), "kind", "value", "alone", "_s")
+    op = F.coalesce("_s.op", F.when(F.col("alone"), missing).otherwise("changed"))
+    old, new = (lambda c: F.when(~F.col("gained"), F.col(c))), (lambda c: F.when(F.col("gained"), F.col(c)))
+    lifted = placed.select(
+        *keys, F.slice("path", F.lit(1), F.coalesce("_s.d", F.size("path"))).alias("diff_path"), op.alias("op"), "path",
+        old("value").alias("old_value"), new("value").alias("new_value"), old("kind").alias("old_kind"), new("kind").alias("new_kind"),
+    )
+    return changed.unionByName(lifted)
 
 
 def state_diff(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
