@@ -15,6 +15,7 @@ from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
 from tracemill.operators.running import BLOCK_ROWS, block_of, first_per_key, with_position
 from tracemill.operators.state import _nodes, is_soft_path, path_parts
+from tracemill.sources.stages import stored
 
 
 #: Block results that one row composes.
@@ -439,7 +440,7 @@ def check_assertions(
     the asserted value below that path (an empty ``rel_path`` for the path itself); without ``run_id``
     assertions are unique over all runs.  A hard change compares whole values: all old and new leaves and
     no others.  An expected empty object only needs an object there; ``empty_objects=False`` saves looking
-    for those where none is expected.
+    for those where none is expected.  Leaves met and entities renamed are stored steps with plans of their own.
     """
     base = assertions.withColumn("parts", path_parts("path")).withColumn("is_hard", ~is_soft_path(F.col("parts")))
     own = [c for c in ("run_id", "assertion") if c in expected.columns]
@@ -480,6 +481,8 @@ def check_assertions(
         F.count("old_kind").alias("old_leaves"),
         F.bool_or(~(F.col("b_kind").eqNullSafe(F.col("a_kind")) & F.col("b_value").eqNullSafe(F.col("a_value")))).alias("differs"),
     )
+    facts = stored(facts, "facts")
+    renamed = stored(_renamed(placed.filter(~own_id), before, after), "renamed")
 
     def held(nodes: DataFrame, name: str) -> DataFrame:
         return nodes.select("run_id", F.col("node").alias("parts"), F.col("leaves").alias(name))
@@ -489,7 +492,7 @@ def check_assertions(
         .join(held(nodes_after, "final_leaves"), ["run_id", "parts"], "left")
         .fillna(0, ["initial_leaves", "final_leaves"])
         .join(facts, ["run_id", "assertion"], "left")
-        .join(_renamed(placed.filter(~own_id), before, after), ["run_id", "assertion"], "left")
+        .join(renamed, ["run_id", "assertion"], "left")
     )
     start, end = F.col("initial_leaves") > 0, F.col("final_leaves") > 0
     yes = lambda c: F.coalesce(F.col(c), F.lit(True))  # noqa: E731  no expected leaves: nothing to miss

@@ -12,6 +12,7 @@ from tracemill.plans import sqltext as q
 from tracemill.plans.registry import plan
 from tracemill.plans.state_plans import DIFF_CTE, order_diff
 from tracemill.sources import bridge, gold
+from tracemill.sources.stages import stored
 from tracemill.sources.tables import Tables
 
 CALLS = """calls AS (SELECT user_id AS run_id, event_id AS pos, event_type AS tool,
@@ -165,18 +166,21 @@ def replies(t: Tables) -> DataFrame:
 
 
 def completion(t: Tables, runs: DataFrame | None = None) -> DataFrame:
+    """Completion rows; every judgement is a stored step of few columns, so no plan holds all of them."""
     calls = gold.calls(t)
     nodes = gold.nodes(t)
-    given = matching.greedy_assign(nodes, matching.candidate_matches(nodes, calls))
+    given = stored(matching.greedy_assign(nodes, matching.candidate_matches(nodes, calls)), "given")
+    names = matching.ordered_name_match(nodes.filter("role = 'write'"), calls).select("run_id", "position")
+    edges = matching.check_precedence(gold.edges(t), given).select("run_id", "satisfied")
     return scoring.completion_rows(
         gold.samples(t).drop("clarify", "refuse") if runs is None else runs,
         given,
-        matching.ordered_name_match(nodes.filter("role = 'write'"), calls),
-        matching.check_precedence(gold.edges(t), given),
-        asserted(t),
-        diff_ok(t),
-        replies(t),
-        matching.forbidden_hits(gold.rules(t), calls),
+        stored(names, "named"),
+        stored(edges, "ordered"),
+        stored(asserted(t).select("run_id", "is_hard", "passed"), "asserted"),
+        stored(diff_ok(t), "diff_ok"),
+        stored(replies(t), "replies"),
+        stored(matching.forbidden_hits(gold.rules(t), calls), "forbidden"),
     )
 
 
@@ -193,7 +197,7 @@ def run_facts(t: Tables) -> DataFrame:
 
 def score_rows(t: Tables) -> DataFrame:
     """Full score row per sample: completion, efficiency, reliability, relaxed success, failure mode."""
-    rows = completion(t, run_facts(t))
+    rows = completion(t, stored(run_facts(t), "run_facts"))
     steps = F.col("read_total") + F.col("write_total")
     rows = rows.withColumns(
         {
@@ -392,7 +396,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """A recorded change holds against the states that it was taken from: diff, assertions and check compose."""
     before, after = bridge.state_before(t), bridge.state_after(t)
-    header, expected = state.assertion_tables(state.diff_leaves(before, after, ["run_id"]), ["run_id"])
+    leaves = stored(state.diff_leaves(before, after, ["run_id"]), "diff_leaves")
+    header, expected = state.assertion_tables(leaves, ["run_id"])
     judged = matching.check_assertions(header, expected, before, after)
     return judged.select("run_id", "path", "assertion_type", "passed")
 
