@@ -14,6 +14,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are Python values at one time.
+ROWS_HELD = 256
+
 #: A word is a run of characters other than space and \x09-\x0D; ``bytes.split`` cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -81,9 +84,11 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples of Python values."""
+    """Rows of Arrow batches as tuples of Python values, a slice of a batch at a time: a batch may hold thousands of whole texts."""
     for batch in batches:
-        yield from zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+        for at in range(0, batch.num_rows, ROWS_HELD):
+            part = batch.slice(at, ROWS_HELD)
+            yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
 
 
 class Emitter:

@@ -107,7 +107,7 @@ def text_evidence(rows: DataFrame, model: dict) -> DataFrame:
         kinds = pa.list_(pa.float64())
         for batch in batches:
             logs, drops = [], []
-            for text in batch.column("text").to_pylist():
+            for (text,) in rows_of(iter([batch]), "text"):
                 bins = trigrams(text or b"")
                 if not len(bins) or not m["names"]:
                     logs.append(None)

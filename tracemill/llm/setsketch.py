@@ -15,8 +15,9 @@ from tracemill.llm.common import Emitter, components, hash_words, materialize, m
 #: Base and offset of the register values, and registers per band.  With so small a base two registers
 #: agree about as often as the minima behind them.
 BASE, RATE, ROWS = 1.001, 20.0, 5
-#: Where a bucket holds several components, up to so many members are paired in a join, more compared in blocks of ``BLOCK``.
-SMALL, BLOCK = 32, 512
+#: Where a bucket holds several components, up to so many members are paired in a join, more compared in blocks of ``BLOCK``
+#: or, where documents are long, of ``WEIGHT`` shingles (a block holds one document at least); a block's matrix has ``COLUMNS`` columns at a time.
+SMALL, BLOCK, WEIGHT, COLUMNS = 32, 512, 1 << 20, 2048
 
 
 def shingle_set(words: list[bytes], k: int) -> np.ndarray:
@@ -147,34 +148,37 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
-def _block_links(one, two, same: bool, k: int, percent: int) -> list[tuple[int, int]]:
+def _block_links(one: pa.Table, two: pa.Table, same: bool, k: int, percent: int) -> list[tuple[int, int]]:
     """Links between the documents of two blocks, exact: per document one for each component it is linked with.
 
     Shingles that a single document of the blocks holds take no part in any intersection; the others give
-    the columns of two 0/1 matrices whose product holds all intersections.
+    the columns of two 0/1 matrices whose product holds all intersections, some columns at a time.
     """
     if not len(one) or not len(two):
         return []
-    sides = [[shingle_set(t.lower().split(), k) for t in p["text"]] for p in (one, two)]
-    both = sides[0] + ([] if same else sides[1])
-    values, times = np.unique(np.concatenate(both), return_counts=True)
-    values = values[times > 1]
+    sides = [[shingle_set(t.lower().split(), k) for (t,) in rows_of(iter(p.to_batches()), "text")] for p in ((one,) if same else (one, two))]
+    values = np.concatenate([x for own in sides for x in own])
+    values.sort()  # in place, as these are the largest array here
+    values = values[1:][values[1:] == values[:-1]]
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    values = values[first]
+    sides = [sides[0], sides[-1]]
     common = np.zeros((len(one), len(two)), np.float32)
-    for at in range(0, len(values), 8192):
-        part = values[at : at + 8192]
-        flags = []
-        for own in sides:
-            flag = np.zeros((len(own), len(part)), np.float32)
+    for at in range(0, len(values), COLUMNS):
+        part = values[at : at + COLUMNS]
+        flags = [np.zeros((len(own), len(part)), np.float32) for own in sides]
+        for own, flag in zip(sides, flags, strict=True):
             for i, items in enumerate(own):
-                where = np.searchsorted(part, items)
-                flag[i, where[(where < len(part)) & (part[np.minimum(where, len(part) - 1)] == items)]] = 1
-            flags.append(flag)
+                near = items[np.searchsorted(items, part[0]) : np.searchsorted(items, part[-1], "right")]
+                where = np.searchsorted(part, near)
+                flag[i, where[part[where] == near]] = 1
         common += flags[0] @ flags[1].T
     sizes = [np.array([len(x) for x in own], np.float64) for own in sides]
     linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
     linked &= one["component"].to_numpy()[:, None] != two["component"].to_numpy()[None, :]
     ids, parts, out = two["id"].to_numpy(), two["component"].to_numpy(), []
-    for i, own in enumerate(one["id"]):
+    for i, own in enumerate(one["id"].to_numpy()):
         hit = np.flatnonzero(linked[i])
         _, first = np.unique(parts[hit], return_index=True)
         out += [(int(own), int(ids[hit[x]])) for x in first]
@@ -182,19 +186,21 @@ def _block_links(one, two, same: bool, k: int, percent: int) -> list[tuple[int,
 
 
 def _large_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``(a, b)`` between components in buckets of more than ``SMALL`` members, for ``rows(leader, id, size, component)``.
+    """Links ``(a, b)`` between components in buckets of more than ``SMALL`` members, for ``rows(leader, id, n, size, component)``.
 
     Buckets with one leader are compared together, so a document that shares many bands counts once.  The members
     outside the group's largest component are compared with all others, the largest component is not compared
-    with itself.  Both are cut into blocks by hash; each pair of blocks is one group, so no group holds more than
-    two blocks, and only links leave it.
+    with itself.  Both are cut by hash into blocks that hold about ``BLOCK`` documents and ``WEIGHT`` shingles at
+    most; each pair of blocks is one group, so no group holds more than two blocks, and only links leave it.
     """
-    large = rows.filter(F.col("size") > SMALL).select("leader", "id", "component").distinct()
-    counts = large.groupBy("leader", "component").agg(F.count("*").alias("n"))
-    tops = counts.groupBy("leader").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
-    top = F.ceil(F.col("top.n") / BLOCK).alias("most")
-    rest = F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("rest")
-    tops = materialize(tops.filter("all > top.n").select("leader", F.col("top.component").alias("main"), top, rest), "tops")
+    large = rows.filter(F.col("size") > SMALL).groupBy("leader", "id", "component").agg(F.max("n").alias("n"))
+    counts = large.groupBy("leader", "component").agg(F.count("*").alias("n"), F.sum("n").alias("weight"))
+    sums = [F.max(F.struct("n", "component", "weight")).alias("top"), F.sum("n").alias("all"), F.sum("weight").alias("weight")]
+    tops = counts.groupBy("leader").agg(*sums).filter("all > top.n")
+    blocks = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / WEIGHT))
+    top = blocks(F.col("top.n"), F.col("top.weight")).alias("most")
+    rest = blocks(F.col("all") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("rest")
+    tops = materialize(tops.select("leader", F.col("top.component").alias("main"), top, rest), "tops")
     placed = large.join(tops, "leader")
     is_main, draw = F.col("component") == F.col("main"), F.xxhash64("id")
     block = F.when(is_main, F.pmod(draw, F.col("most"))).otherwise(F.col("most") + F.pmod(draw, F.col("rest")))
@@ -205,14 +211,15 @@ def _large_links(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
     spread = placed.withColumn("block", block).withColumn("other", F.explode(others)).join(texts, "id")
     spread = spread.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "text")
 
-    def run(key, pdf):
-        import pandas as pd
+    def run(key, rows):
+        i, j = key[1].as_py(), key[2].as_py()
+        block = rows["block"].to_numpy()
+        one = rows.filter(pa.array(block == i))
+        two = one if i == j else rows.filter(pa.array(block == j))
+        found = np.array(_block_links(one, two, i == j, k, percent), np.int64).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-        one, two = pdf[pdf["block"] == key[1]], pdf[pdf["block"] == key[2]]
-        found = _block_links(one, two, key[1] == key[2], k, percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64) if found else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    return spread.groupBy("leader", "i", "j").applyInPandas(run, "a long, b long")
+    return spread.groupBy("leader", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
