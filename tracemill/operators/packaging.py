@@ -12,6 +12,7 @@ from tracemill.functions import text as tx
 from tracemill.operators.blueprints import gold_nodes, min_action_turns, precedence_edges
 from tracemill.operators.running import first_per_key
 from tracemill.operators.state import diff_to_assertions
+from tracemill.sources.stages import stored
 
 
 def index_blueprints(df: DataFrame, order: str) -> DataFrame:
@@ -313,16 +314,20 @@ __all__ = [
 PARTS = ("turns", "stable_turns", "alignment", "trace", "nodes", "edges", "state_diff", "assertions", "rules")
 
 
-def _own_or(samples: DataFrame, own: DataFrame, other: DataFrame, have: DataFrame | None = None) -> DataFrame:
-    """Rows ``own`` per sample; samples without any (or not among ``have``) take those of ``other``."""
-    missing = samples.select("sample_id").join((own if have is None else have).select("sample_id").distinct(), "sample_id", "left_anti")
-    return own.unionByName(other.join(missing, "sample_id", "left_semi"))
+def _without(samples: DataFrame, own: DataFrame) -> DataFrame:
+    """Ids of samples that have no row of their own."""
+    return samples.select("sample_id").join(own.select("sample_id").distinct(), "sample_id", "left_anti")
+
+
+def _own_or(samples: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows ``own`` per sample; samples without any take those of ``other``."""
+    return own.unionByName(other.join(_without(samples, own), "sample_id", "left_semi"))
 
 
 def packaged_children(
-    samples: DataFrame, dialogue: Mapping[str, DataFrame], blueprint: Mapping[str, DataFrame]
+    samples: DataFrame, dialogue: Mapping[str, DataFrame], blueprint: Mapping[str, DataFrame], parts: Sequence[str] = PARTS
 ) -> dict[str, DataFrame]:
-    """Content of packaged samples: one table per name in ``PARTS``, each with a ``sample_id``.
+    """Content of packaged samples: one table per name in ``parts``, each with a ``sample_id``.
 
     ``dialogue`` tables carry the ``sample_id`` of :func:`package`: ``turns``, ``stable_turns``, ``alignment``,
     ``trace(step_index, tool_name, arguments, has_diff)`` and ``state_diff(path, op, old_value, new_value)``.
@@ -332,26 +337,35 @@ def packaged_children(
 
     Per sample: stable turns are the turns where there are none; a dialogue's state diff goes before the
     blueprint's; the graph is the blueprint's, or read off the trace; assertions are the blueprint's, or one per
-    row of the state diff.  Children stay rows; nothing of a sample is gathered.
+    row of the state diff.  Children stay rows; nothing of a sample is gathered.  For the graph, the blueprint's nodes and
+    the traces of samples without them are stored steps.
     """
     tasks = samples.select("sample_id", F.col("base_task_id").alias("task_id"))
     known = samples.select("sample_id")
     told = {name: dialogue[name].join(known, "sample_id", "left_semi") for name in ("turns", "stable_turns", "alignment", "trace", "state_diff")}
     given = {name: tasks.join(blueprint[name], "task_id").drop("task_id") for name in ("nodes", "edges", "assertions", "state_diff", "rules")}
-    graph = given["nodes"].select("sample_id").unionByName(given["edges"].select("sample_id"))
-    read = gold_nodes(told["trace"]).select("sample_id", "step_index", "node_kind", "tool_name", "arguments")
     diff = _own_or(samples, told["state_diff"], given["state_diff"])
-    return {
+    out = {
         "turns": told["turns"],
         "stable_turns": _own_or(samples, told["stable_turns"], told["turns"]),
         "alignment": told["alignment"],
         "trace": told["trace"],
-        "nodes": _own_or(samples, given["nodes"], read, graph),
-        "edges": _own_or(samples, given["edges"], precedence_edges(told["trace"], "sample_id", "step_index"), graph),
         "state_diff": diff,
         "assertions": _own_or(samples, given["assertions"], diff_to_assertions(diff)),
         "rules": given["rules"],
     }
+    if "nodes" in parts or "edges" in parts:
+        out |= _graph(samples, dialogue["trace"], stored(given["nodes"], "given_nodes"), given["edges"])
+    return {name: out[name] for name in parts}
+
+
+def _graph(samples: DataFrame, trace: DataFrame, nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """Nodes and edges as given, or read off the trace for samples that have neither."""
+    missing = _without(samples, nodes.select("sample_id").unionByName(edges.select("sample_id")))
+    steps = trace.select("sample_id", "step_index", "tool_name", "arguments", "has_diff").join(missing, "sample_id", "left_semi")
+    steps = stored(steps, "told_steps")
+    read = gold_nodes(steps).select("sample_id", "step_index", "node_kind", "tool_name", "arguments")
+    return {"nodes": nodes.unionByName(read), "edges": edges.unionByName(precedence_edges(steps, "sample_id", "step_index"))}
 
 
 def packaged_rows(samples: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tracemill.operators import packaging as pk
 from tracemill.plans.blueprint_plans import TASKS, TRACE
 from tracemill.plans.registry import plan
 from tracemill.sources import tasks as src
+from tracemill.sources.stages import stored
 from tracemill.sources.tables import Tables
 
 DIALOGUES = """dlg AS (SELECT l_orderkey AS tk, l_returnflag = 'N' AS is_stable, l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey AS sample_id,
@@ -127,19 +130,24 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-def children(t: Tables) -> dict[str, DataFrame]:
-    """Packaged content: traces up to the line of each dialogue, a graph and assertions of their own for some tasks."""
+def children(t: Tables, parts: Sequence[str] = pk.PARTS) -> dict[str, DataFrame]:
+    """Packaged content: traces up to the line of each dialogue, a graph and assertions of their own for some tasks.
+
+    Samples and traces are stored steps where a graph is asked for, which takes both several times.
+    """
+    keep = stored if "nodes" in parts or "edges" in parts else lambda df, name: df
     rows = dialogues(t).select("sample_id", F.col("l_orderkey_").alias("task_id"), "l_linenumber", "l_linestatus_")
-    steps = src.trace(t).select("task_id", "step_index", "tool_name", F.lit("{}").alias("arguments"), "has_diff")
+    trace = keep(src.trace(t).select("task_id", "step_index", "tool_name", "has_diff"), "trace")
+    steps = trace.withColumn("arguments", F.lit("{}"))
     told = rows.join(steps, "task_id").filter("step_index <= l_linenumber").select("sample_id", "step_index", "tool_name", "arguments", "has_diff")
     text = F.lit(None).cast("string")
     diff = lambda rows, key, path, old, new: rows.select(key, path.alias("path"), F.lit("changed").alias("op"), F.lit(old).alias("old_value"), F.lit(new).alias("new_value"))
     line = F.array(F.lit("lines"), F.col("l_linenumber").cast("string"))
     tasks = blueprints(t).select("task_id", "env_id")
-    own = src.trace(t).withColumn("task_id", F.col("task_id").cast("string")).join(tasks.filter("env_id = '1-URGENT'"), "task_id")
+    own = trace.withColumn("task_id", F.col("task_id").cast("string")).join(tasks.filter("env_id = '1-URGENT'"), "task_id")
     turn = rows.select("sample_id", F.lit(1).alias("turn"), F.lit("request").alias("text"))
     return pk.packaged_children(
-        samples(t),
+        keep(samples(t).select("sample_id", "base_task_id"), "samples"),
         {
             "turns": turn, "stable_turns": turn.filter("false"), "alignment": told.select("sample_id", "step_index", F.lit(1).alias("turn")), "trace": told,
             "state_diff": diff(rows.filter("l_linestatus_ = 'F'"), "sample_id", line, "O", "F"),
@@ -153,6 +161,7 @@ def children(t: Tables) -> dict[str, DataFrame]:
             "state_diff": diff(tasks, "task_id", F.array(F.lit("orders"), F.col("task_id"), F.lit("status")), "P", "done"),
             "rules": tasks.select("task_id", F.lit("never delete orders").alias("rule")),
         },
+        parts,
     )
 
 
@@ -167,7 +176,7 @@ LINES = f"""WITH {SAMPLES}, {TRACE}, s AS (SELECT *, CAST(split_part(sample_id,
     UNION ALL SELECT sample_id, step_index, 'edge', CAST(step_index - 1 AS VARCHAR) FROM g WHERE env_id <> '1-URGENT' AND told AND step_index > 1""",
 )
 def _(t: Tables) -> DataFrame:
-    parts = children(t)
+    parts = children(t, ("nodes", "edges"))
     nodes = parts["nodes"].select("sample_id", F.col("step_index").alias("a"), F.col("node_kind").alias("kind"), F.col("tool_name").alias("tool"))
     edges = parts["edges"].select("sample_id", F.col("after_step").alias("a"), F.lit("edge").alias("kind"), F.col("before_step").cast("string").alias("tool"))
     return nodes.unionByName(edges)
@@ -181,7 +190,7 @@ def _(t: Tables) -> DataFrame:
       CASE WHEN env_id = '2-HIGH' THEN NULL WHEN f.sample_id IS NOT NULL THEN 'F' ELSE 'done' END AS new_value FROM s LEFT JOIN f USING (sample_id)""",
 )
 def _(t: Tables) -> DataFrame:
-    return children(t)["assertions"].select("sample_id", "path", "assertion_type", "old_value", "new_value")
+    return children(t, ("assertions",))["assertions"].select("sample_id", "path", "assertion_type", "old_value", "new_value")
 
 
 @plan(

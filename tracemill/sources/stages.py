@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes the shuffle files of an execution when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str | None:
     """``spark.checkpoint.dir``; a local master may do without and gets a temporary folder, a cluster has none then."""
@@ -20,13 +23,18 @@ def shared_folder(spark: SparkSession) -> str | None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: what follows is planned without what came before.
 
-    The driver holds the plan of one step at a time, and no step is computed twice.  Without a shared folder ``df``
-    stays as it is.
+    The driver holds the plan of one step at a time, and no step is computed twice.  The shuffle files of a step go once
+    it is written, so the disk holds those of one step.  Without a shared folder ``df`` stays as it is.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
     if folder is None:
         return df
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
