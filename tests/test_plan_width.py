@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tracemill.operators import packaging as pk
+from tracemill.operators import state
 from tracemill.plans.catalog import PLANS
 from tracemill.sources.stages import stored
 from tracemill.sources.tables import Tables
@@ -71,3 +72,10 @@ def test_packaged_graph_keeps_repeats(spark):
     assert found == [("", 1, "read", "n")] * 2 + [("a", 1, "read", "n")] * 2 + [("b", 1, "write", "y"), ("b", 2, "read", "z")]
     assert [(r.sample_id, r.before_step, r.after_step) for r in parts["edges"].collect()] == [("b", 1, 2)]
     assert list(pk.packaged_children(samples, dialogue, blueprint)) == list(pk.PARTS)
+
+
+def test_diff_joins_leaves_once(spark):
+    """What differs is stored: leaves and the objects above them are joined while the step is made, not for each use of it."""
+    rows = spark.createDataFrame([(1, ["a", "b"], "string", "x")], "run_id long, path array<string>, kind string, value string")
+    plan = state.diff_leaves(rows, rows.withColumn("value", F.lit("y")), ["run_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "FullOuter" not in plan

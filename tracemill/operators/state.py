@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracemill.functions import fixed_values as fixed
 from tracemill.functions import text as tx
 from tracemill.operators.running import first_per_key, with_position, with_previous
+from tracemill.sources.stages import stored
 
 
 def canonical_json(c: Column | str) -> Column:
@@ -178,7 +179,8 @@ def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     """Every differing leaf with the highest differing key (``diff_path``) it belongs to.
 
     Leaves and the objects above them meet their like on the other side in one join.  Below an object that the other side
-    does not hold as one, nothing can agree; only those objects are looked up again, for the highest of them.
+    does not hold as one, nothing can agree; only those objects are looked up again, for the highest of them.  What differs
+    is a stored step, so the join is done once, here.
     """
     keys = list(keys)
     before, after = before.filter("kind <> 'length'"), after.filter("kind <> 'length'")
@@ -186,18 +188,23 @@ def diff_leaves(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> Dat
     joined = _with_inner(before, keys, "b").join(_with_inner(after, keys, "a"), [*keys, "path"], "full")
     moved = joined.filter(~F.coalesce(same, F.lit(False)))
     inner = F.coalesce(F.col("b_kind") == "inner", F.lit(False)), F.coalesce(F.col("a_kind") == "inner", F.lit(False))
-    changed = moved.filter("b_kind IS NOT NULL AND a_kind IS NOT NULL").filter(~inner[0] & ~inner[1]).select(
-        *keys, F.col("path").alias("diff_path"), F.lit("changed").alias("op"), "path", F.col("b_value").alias("old_value"),
-        F.col("a_value").alias("new_value"), F.col("b_kind").alias("old_kind"), F.col("a_kind").alias("new_kind"),
+    # One row for two leaves that differ, without ``gained``; else one per side that has something here: its own kind and
+    # value, and the kind it meets.
+    facing = lambda own, other, gained: F.struct(
+        gained.alias("gained"), F.col(f"{own}_kind").alias("kind"), F.col(f"{own}_value").alias("value"),
+        F.col(f"{other}_kind").alias("met"), F.col(f"{other}_value").alias("met_value"),
     )
-    # One row per side that has something here: its own kind and value, and the kind it meets.
-    facing = lambda own, other, gained: F.when(
-        F.col(f"{own}_kind").isNotNull(),
-        F.struct(F.lit(gained).alias("gained"), F.col(f"{own}_kind").alias("kind"), F.col(f"{own}_value").alias("value"), F.col(f"{other}_kind").alias("met")),
+    side = lambda own, other, gained: F.when(F.col(f"{own}_kind").isNotNull(), facing(own, other, F.lit(gained)))
+    leaf = F.col("b_kind").isNotNull() & F.col("a_kind").isNotNull() & ~inner[0] & ~inner[1]
+    both = F.array(facing("b", "a", F.lit(None).cast("boolean")))
+    sides = F.filter(F.array(side("b", "a", False), side("a", "b", True)), lambda x: x.isNotNull())
+    faced = moved.select(*keys, "path", F.explode(F.when(leaf, both).otherwise(sides)).alias("_f")).select(*keys, "path", "_f.*")
+    faced = stored(faced, "faced")  # read four times below
+    changed = faced.filter("gained IS NULL").select(
+        *keys, F.col("path").alias("diff_path"), F.lit("changed").alias("op"), "path", F.col("value").alias("old_value"),
+        F.col("met_value").alias("new_value"), F.col("kind").alias("old_kind"), F.col("met").alias("new_kind"),
     )
-    sides = F.filter(F.array(facing("b", "a", False), facing("a", "b", True)), lambda x: x.isNotNull())
-    faced = moved.filter(F.col("b_kind").isNull() | F.col("a_kind").isNull() | inner[0] | inner[1]).select(*keys, "path", F.explode(sides).alias("_f"))
-    faced = faced.select(*keys, "path", "_f.*")
+    faced = faced.filter("gained IS NOT NULL").drop("met_value")
     # A struct is compared as a whole, so rows without a key find their own objects too.
     at = lambda node: F.struct(*keys, "gained", node.alias("node")).alias("_at")
     missing = F.when(F.col("gained"), "added").otherwise("removed")
